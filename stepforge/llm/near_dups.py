@@ -239,3 +239,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     of = rows.join(changed, ["digest_a", "digest_b"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
     bare = all_rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return of.union(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def first_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates of a kept document; rows that repeat a doc_id stay once."""
+    found = kept(near_duplicates(docs, percent).select("doc_id", "kept"), "near-found")
+    own = F.col("doc_id").cast("long")
+    rest = docs.join(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), own == F.col("_gone"), "left_anti")
+    repeated = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").select("_again")
+    repeated = kept(repeated, "near-repeated")
+    if repeated.isEmpty():
+        return rest
+    once = rest.join(repeated, own == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(repeated, own == F.col("_again"), "left_anti").unionByName(once)
