@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: UTF-8 bytes of text that a Python worker handles at a time.
@@ -94,3 +95,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def seeded(n: int, seed: int) -> np.ndarray:
     """n fixed 64-bit values that depend on seed alone."""
     return mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def member_bits(hashes: DataFrame, column: str, power: int) -> np.ndarray:
+    """2 ** power bits, those set whose number is the top of a hash in column: summed up in the cluster into words of 64.
+
+    A filter that loses none of the hashes; what passes it by chance is for an exact join to drop."""
+    top = F.shiftrightunsigned(column, 64 - power)
+    words = hashes.groupBy(F.shiftright(top, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - power}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (power - 6), dtype=np.int64)
+    out[np.asarray(words["word"])] = np.asarray(words["bits"])
+    return out.view(np.uint64)
+
+
+def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    at = hashes.view(np.uint64) >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
+    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
