@@ -9,8 +9,9 @@ corrected for the chance collisions that the compression adds, drops the far one
 intersections of the full shingle sets confirm the rest.
 
 Copies (equal shingle sets) form one class before any of this. Within a band bucket every member is
-paired with one hub only; members that this leaves in different components are compared in blocks
-of bounded size, so no bucket is cut short and none is expanded into all its pairs.
+paired with one hub only; members that this leaves in different components are compared in blocks of
+bounded size, with their full sets at hand, and a block returns only the links that join components. So no
+bucket is cut short, and none is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -149,14 +150,19 @@ def _named(bits: np.ndarray):
     return keep
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets have 100 * intersection >= percent * union; pairs must be a kept table."""
-    ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and full shingle set of the documents of ids (doc_id)."""
+    ids = kept(ids, "near-ids")
     power = min(FILTER_BITS, max(16, (16 * ids.count()).bit_length()))
     bits = member_bits(ids.select(F.xxhash64("doc_id").alias("hash")), "hash", power)
     # few documents are in pairs: the filter drops the others before their texts are shuffled
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").withColumn("hash", F.xxhash64("doc_id")).mapInArrow(_named(bits), "doc_id long, text string")
-    sets = kept(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles array<long>"), "near-sets")
+    return kept(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles array<long>"), "near-sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets have 100 * intersection >= percent * union; pairs must be a kept table."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     union = F.size("set_a") + F.size("set_b") - common
@@ -165,45 +171,69 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def _buckets(reps: DataFrame) -> DataFrame:
     """A row (bucket, rep) for each band of each class."""
-    return reps.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
+    return reps.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "band", F.xxhash64("band", "key").alias("bucket"))
 
 
-def _blocks(threshold: float):
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum()) if len(b) else 0
+
+
+def _blocks(percent: int):
+    """Links between the members of two blocks of a bucket that are not in one component yet; of these, as many as join them."""
+    threshold = percent / 100
     floor = _floor(threshold)
 
     def compare(group: pa.Table) -> pa.Table:
-        rep, comp, n = (np.asarray(group.column(c)) for c in ("rep", "comp", "n_shingles"))
-        lanes = _lanes(group.column("bands").combine_chunks())
-        block = np.asarray(group.column("block"))
-        i, j = block == group.column("i")[0].as_py(), block == group.column("j")[0].as_py()
-        left, right, apart = np.flatnonzero(i), np.flatnonzero(j), not np.array_equal(i, j)
-        found_a, found_b = [], []
+        rep, n, band = (np.asarray(group.column(c)) for c in ("rep", "n_shingles", "band"))
+        comp = np.unique(np.asarray(group.column("comp")), return_inverse=True)[1]
+        bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+        lists = group.column("shingles").combine_chunks()
+        flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        sets = [flat[ends[k] : ends[k + 1]] for k in range(len(rep))]
+        lanes, block = bands.view(np.uint16), np.asarray(group.column("block"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found: list[tuple[int, int]] = []
         for x in left:
-            y = right[((rep[right] > rep[x]) | apart) & (comp[right] != comp[x])]
+            y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i != j))]
             y = y[np.minimum(n[y], n[x]) >= np.maximum(n[y], n[x]) * threshold]
-            if not len(y):
-                continue
-            equal = (lanes[y] == lanes[x]).mean(axis=1)
-            y = y[corrected(equal, np.full(len(y), n[x]), n[y]) >= floor]
-            found_a += [np.minimum(rep[y], rep[x])]
-            found_b += [np.maximum(rep[y], rep[x])]
-        ids = [np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b)]
-        return pa.table({"a": ids[0], "b": ids[1]})
+            y = y[(bands[y] == bands[x]).argmax(axis=1) == band[x]]  # a pair is compared in the first band it shares
+            if len(y):
+                y = y[corrected((lanes[y] == lanes[x]).mean(axis=1), np.full(len(y), n[x]), n[y]) >= floor]
+            for k in y:
+                if comp[k] == comp[x]:
+                    continue
+                both = _common(sets[x], sets[k])
+                if 100 * both >= percent * (n[x] + n[k] - both):
+                    found.append((min(rep[x], rep[k]), max(rep[x], rep[k])))
+                    comp[comp == comp[k]] = comp[x]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return compare
 
 
-def _left_over(reps: DataFrame, hubs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Close pairs of bucket members that no hub has brought into one component."""
-    members = _buckets(reps).join(hubs.filter("members > 2"), "bucket").filter("rep <> hub").select("bucket", "rep")
-    members = members.join(labels, F.col("rep") == F.col("id"), "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
-    members = kept(members, "near-members")
-    open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def _open_members(reps: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, band, rep, comp, block, blocks for members of buckets that hold several components beside their hub."""
+    members = _buckets(reps).join(hubs.filter("members > 2"), "bucket").filter("rep <> hub").select("bucket", "band", "rep")
+    members = kept(members.join(labels, F.col("rep") == F.col("id"), "left").select("bucket", "band", "rep", F.coalesce("comp", "rep").alias("comp")), "near-members")
+    several = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return kept(rows, "near-open")
+
+
+def _left_over(open_: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links of bucket members that are still in different components, compared block by block with their full sets."""
+    sets = _sets(open_.select(F.col("rep").alias("doc_id")).distinct(), docs).select(F.col("doc_id").alias("rep"), "shingles")
+    rows = open_.join(reps.select("rep", "n_shingles", "bands"), "rep").join(sets, "rep")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.join(reps.select("rep", "n_shingles", "bands"), "rep")
-    rows = rows.select("bucket", "rep", "comp", "n_shingles", "bands", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return rows.groupBy("bucket", "i", "j").applyInArrow(_blocks(threshold), "a long, b long").distinct()
+    rows = rows.select("bucket", "band", "rep", "comp", "n_shingles", "bands", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return rows.groupBy("bucket", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,8 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = _buckets(reps).join(hubs, "bucket").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = kept(_confirmed(kept(_close_pairs(pairs, reps, threshold), "near-pairs"), docs, percent), "near-links")
     labels = components(links)
-    rest = kept(_left_over(reps, hubs, labels, threshold), "near-rest")
-    more = kept(_confirmed(rest, docs, percent), "near-more")
+    more = kept(_left_over(_open_members(reps, hubs, labels), reps, docs, percent), "near-more")
     if not more.isEmpty():
         labels = components(links.union(more))
     changed = reps.join(labels, F.col("rep") == F.col("id"), "left").select("digest_a", "digest_b", F.coalesce("comp", "rep").alias("comp"), "copies", "rep").filter("copies > 1 or comp <> rep")
