@@ -70,7 +70,9 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches between rows so that the texts of a slice have at most limit bytes, or one row."""
+    """Cuts and joins batches between rows so that the texts of a slice have at most limit bytes, or one row."""
+    held: list[pa.RecordBatch] = []
+    held_bytes = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -78,9 +80,21 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         ends, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            yield batch.slice(start, stop - start)
+            stop = int(np.searchsorted(ends, before + limit - held_bytes, side="right"))
+            if stop <= start:
+                if held:
+                    yield pa.concat_batches(held)
+                    held, held_bytes = [], 0
+                    continue
+                stop = start + 1
+            held.append(batch.slice(start, stop - start))
+            held_bytes += int(ends[stop - 1] - before)
             start = stop
+            if start < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm.common import kept, ready, text_slices
-from stepforge.llm.pretokens import REMEMBERED, loaded, units
+from stepforge.llm.pretokens import REMEMBERED, SLICE, loaded, units
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a group, groups that the next level joins, and the fill from which a bin is closed before the last level.
@@ -53,7 +53,7 @@ def slice_ids(path: str, texts: pa.Array) -> Iterator[np.ndarray]:
 
 def _pieces(path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             rows = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), slice_ids(path, part.column("text")), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

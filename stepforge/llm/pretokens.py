@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,22 @@ import pyarrow.compute as pc
 import regex
 
 #: Distinct pre-tokens and units that a Python worker remembers; beyond it starts afresh (only time is lost).
-REMEMBERED = 200_000
+REMEMBERED = 800_000
+#: UTF-8 bytes of a slice of texts: the more, the more often a unit is met within it.
+SLICE = 6 << 20
+#: Stands between strings that are split together; strings that hold it are split one by one.
+_BETWEEN = "\U0010ffff"
 
 # The splitting patterns of the tokenizers' own files.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _among_others(pattern: str) -> str:
+    """The pattern for many strings in one, _BETWEEN standing where one ends."""
+    return _BETWEEN + "|" + pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{L}}\p{{N}}{_BETWEEN}]").replace(r"(?!\S)", rf"(?![^\s{_BETWEEN}])")
+
+
 class Pretokens:
     """Ids of pre-tokens by the tokenizers library, for strings cut where no pre-token crosses."""
 
@@ -34,44 +44,70 @@ class Pretokens:
         self.bare = Tokenizer.from_str(json.dumps(spec))
         self.words = words
         self.pattern = regex.compile(WORD_PATTERN if words else BYTE_PATTERN)
+        self.joined = regex.compile(_among_others(self.pattern.pattern))
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens in order; a special string stays whole, marked by a leading NUL pair."""
         if self.cut is not None and self.cut.search(text):
             parts = self.cut.split(text)
-            return [x for i, p in enumerate(parts) for x in ([f"\0\0{p}"] if i % 2 else self._plain(p))]
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
-        if self.words:
-            text = unicodedata.normalize("NFC", text)
-            text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
-        return self.pattern.findall(text)
+            return [x for i, p in enumerate(parts) for x in ([f"\0\0{p}"] if i % 2 else self.pattern.findall(self._normal(p)))]
+        return self.pattern.findall(self._normal(text))
+
+    def _normal(self, text: str) -> str:
+        if not self.words:
+            return text
+        text = unicodedata.normalize("NFC", text)
+        return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
+
+    def split_all(self, strings: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of all strings in turn, and how many each string has."""
+        text = _BETWEEN.join(strings)
+        if text.count(_BETWEEN) != max(0, len(strings) - 1) or (self.cut is not None and self.cut.search(text)):
+            lists = [self.split(s) for s in strings]
+            return [p for x in lists for p in x], np.array([len(x) for x in lists], dtype=np.int64)
+        coded = self.joined.findall(self._normal(text))
+        ends = np.flatnonzero(np.array([p == _BETWEEN for p in coded], dtype=bool))
+        sizes = np.diff(np.concatenate([[-1], ends, [len(coded)]])) - 1
+        return [p for p in coded if p != _BETWEEN], sizes if strings else sizes[:0]
 
     def ids(self, distinct: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each pre-token."""
-        new = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+        known = self.known
+        new = [p for p in distinct if p not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
             new = distinct
-        plain = [p for p in new if not (p.startswith("\0\0") and p[2:] in self.special)]
-        for p, e in zip(plain, self.bare.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for p in new:
-            if p.startswith("\0\0") and p[2:] in self.special:
-                self.known[p] = np.array([self.special[p[2:]]], dtype="<u4").tobytes()
-        return [self.known[p] for p in distinct]
-
-    def counts(self, distinct: list[str]) -> np.ndarray:
-        return np.array([len(b) // 4 for b in self.ids(distinct)], dtype=np.int64)
+        special = [p for p in new if p.startswith("\0\0") and p[2:] in self.special]
+        plain = [p for p in new if not p.startswith("\0\0") or p[2:] not in self.special] if special else new
+        own = [e.ids for e in self.bare.encode_batch_fast(plain, add_special_tokens=False)]
+        flat, at = np.fromiter(chain.from_iterable(own), dtype="<u4").tobytes(), 0
+        for p, e in zip(plain, own, strict=True):
+            known[p] = flat[at : (at := at + 4 * len(e))]
+        known.update((p, np.array([self.special[p[2:]]], dtype="<u4").tobytes()) for p in special)
+        return [known[p] for p in distinct]
+
+    def coded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Pre-tokens of each string: how many it has, the codes of all in turn, and the ids of each distinct one."""
+        flat, sizes = self.split_all(strings)
+        table = pa.array(flat, type=pa.string()).dictionary_encode()
+        return sizes, np.asarray(table.indices).astype(np.int64), self.ids(table.dictionary.to_pylist())
+
+    def counts(self, strings: list[str]) -> np.ndarray:
+        """Tokens of each string: the frequencies of its pre-tokens times the pieces of each distinct one."""
+        sizes, codes, ids = self.coded(strings)
+        pieces = np.array([len(b) // 4 for b in ids], dtype=np.int64)
+        owner = np.repeat(np.arange(len(strings)), sizes)
+        return np.bincount(owner, weights=pieces[codes] if len(owner) else None, minlength=len(strings)).astype(np.int64)
 
     def encoded(self, strings: list[str]) -> list[bytes]:
         """Ids of whole strings, their distinct pre-tokens looked up once."""
-        lists = [self.split(s) for s in strings]
-        distinct = list({p for x in lists for p in x})
-        table = dict(zip(distinct, self.ids(distinct), strict=True))
-        return [b"".join([table[p] for p in x]) for x in lists]
+        sizes, codes, ids = self.coded(strings)
+        parts, at, out = [ids[c] for c in codes.tolist()], 0, []
+        for n in sizes.tolist():
+            out.append(parts[at] if n == 1 else b"".join(parts[at : at + n]))
+            at += n
+        return out
 
 
 _loaded: dict[tuple[str, bool], Pretokens] = {}

@@ -17,20 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm.common import ready, text_slices
-from stepforge.llm.pretokens import REMEMBERED, Pretokens, loaded, units
+from stepforge.llm.pretokens import REMEMBERED, SLICE, Pretokens, loaded, units
 
 _unit_counts: dict[str, dict[str, int]] = {}
 
 
-def _of_strings(pre: Pretokens, strings: list[str]) -> np.ndarray:
-    """Tokens of each string: frequencies of its pre-tokens times the pieces of each distinct one."""
-    lists = [pre.split(s) for s in strings]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    coded = pa.array([p for x in lists for p in x], type=pa.string()).dictionary_encode()
-    pieces = pre.counts(coded.dictionary.to_pylist())
-    return np.bincount(owner, weights=pieces[np.asarray(coded.indices)] if len(owner) else None, minlength=len(lists)).astype(np.int64)
-
-
 def slice_counts(pre: Pretokens, known: dict[str, int], texts: pa.Array) -> np.ndarray:
     """Tokens of each text. A unit is what follows one space; -1 marks units that a space before can change."""
     offsets, codes, distinct = units(texts)
@@ -41,23 +32,23 @@ def slice_counts(pre: Pretokens, known: dict[str, int], texts: pa.Array) -> np.n
     loose = [u for u in new if not u or u[0].isspace()]
     known.update(dict.fromkeys(loose, -1))
     plain = [u for u in new if u and not u[0].isspace()]
-    known.update(zip(plain, _of_strings(pre, [f" {u}" for u in plain]).tolist(), strict=True))
+    known.update(zip(plain, pre.counts([f" {u}" for u in plain]).tolist(), strict=True))
     each = np.array([known[u] for u in distinct], dtype=np.int64)[codes]
     first = offsets[:-1]
     each[first] = 0
     total = np.add.reduceat(np.maximum(each, 0), first)
     heads = [distinct[c] for c in codes[first]]
-    total += _of_strings(pre, heads)
+    total += pre.counts(heads)
     odd = np.flatnonzero(np.minimum.reduceat(each, first) < 0)
     if len(odd):
-        total[odd] = _of_strings(pre, [texts[int(i)].as_py() for i in odd])
+        total[odd] = pre.counts([texts[int(i)].as_py() for i in odd])
     return total
 
 
 def _counted(path: str, limit: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, known = loaded(path, words=False), _unit_counts.setdefault(path, {})
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             texts = part.column("text")
             n = slice_counts(pre, known, texts)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
