@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import kept, ready, text_slices
+from stepforge.llm.common import among, kept, member_bits, ready, text_slices
 from stepforge.llm.words import joined, runs, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -29,6 +29,8 @@ WINDOW, SUPPORT = 8, 3
 DISCLOSURE, REMOVED, BITS = 0.5, 0.9, 6.0
 #: Bits (as a power of two) of the filter that keeps most terms of no interest from being shuffled; it loses none of the others.
 FILTER_BITS = 23
+#: Terms that a task holds counts of before it hands them on.
+HELD_TERMS = 1_000_000
 #: Bytes of a term at least.
 SHORTEST = 4
 
@@ -134,27 +136,56 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "spans", "pairs", "entities"])
 
 
-_HIT = "doc_id long, row_key long, term long, start int, stop int, first boolean"
+_HIT = "doc_id long, row_key long, term long, start int, stop int"
 
 
-def _hits(words: np.ndarray):
-    """Occurrences of terms whose bit is set in the filter; `first` marks the first of a term in its document."""
+def _present(part: pa.RecordBatch, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Terms of a slice that pass the filter: document's place, hash, start and end byte, with the slice's bytes and bounds."""
+    data, bounds = joined(part.column("text").to_pylist())
+    starts, ends = runs(data, terms=True)
+    hashes = word_hashes(data, starts, ends)
+    take = np.flatnonzero(among(bits, hashes) & _is_term(data, starts, ends))
+    owner = np.searchsorted(bounds, starts[take], side="right") - 1
+    return owner, hashes[take], starts[take], ends[take], data, bounds
+
+
+def _counted(bits: np.ndarray):
+    """term, n: documents that have it, summed up over the task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
+
+        for part in text_slices(batches):
+            owner, hashes, *_ = _present(part, bits)
+            order = np.lexsort((owner, hashes))
+            owner, hashes = owner[order], hashes[order]
+            new = np.ones(len(owner), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+            own, counts = np.unique(hashes[new], return_counts=True)
+            terms, at = np.unique(np.concatenate([terms, own]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n, counts]), minlength=len(terms)).astype(np.int64)
+            if len(terms) > HELD_TERMS:
+                yield out()
+                terms, n = terms[:0], n[:0]
+        yield out()
+
+    return count
+
+
+def _hits(bits: np.ndarray):
+    """Occurrences of terms whose bit is set in the filter, by code points."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            data, bounds = joined(part.column("text").to_pylist())
-            starts, ends = runs(data, terms=True)
-            hashes = word_hashes(data, starts, ends)
-            bit = hashes >> np.uint64(64 - FILTER_BITS)
-            take = np.flatnonzero(((words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool) & _is_term(data, starts, ends))
+            owner, hashes, starts, ends, data, bounds = _present(part, bits)
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before a byte
-            owner = np.searchsorted(bounds, starts[take], side="right") - 1
             base = points[bounds[owner]]
-            first = np.zeros(len(take), dtype=bool)
-            first[np.unique(np.stack([owner.astype(np.uint64), hashes[take]]), axis=1, return_index=True)[1] if len(take) else []] = True
             doc, key = (part.column(c).take(pa.array(owner)) for c in ("doc_id", "row_key"))
-            columns = [doc, key, pa.array(hashes[take].view(np.int64)), pa.array((points[starts[take]] - base).astype(np.int32)), pa.array((points[ends[take]] - base).astype(np.int32)), pa.array(first)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "term", "start", "stop", "first"])
+            columns = [doc, key, pa.array(hashes.view(np.int64)), pa.array((points[starts] - base).astype(np.int32)), pa.array((points[ends] - base).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "term", "start", "stop"])
 
     return find
 
@@ -163,20 +194,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
 
 
-def _filter(terms: DataFrame) -> np.ndarray:
-    """The bits of all terms: summed up in the cluster into words, at most 2 ** (FILTER_BITS - 6) of them."""
-    bit = F.shiftrightunsigned("term", 64 - FILTER_BITS)
-    words = terms.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    for r in words:
-        out[r.word] = r.bits
-    return out.view(np.uint64)
+def near_counts(found: DataFrame) -> DataFrame:
+    """term, entity, n_near for terms that SUPPORT documents have near one entity, and that could reach the disclosure.
+
+    A term is in at least as many documents as have it near any entity; where even these are too many, the
+    corpus need not be asked."""
+    pairs = found.select(F.explode("pairs").alias("p")).select("p.term", "p.entity")
+    near = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= SUPPORT)
+    any_ = found.select(F.explode(F.array_distinct("pairs.term")).alias("term")).groupBy("term").agg(F.count("*").alias("n_any"))
+    return near.join(any_, "term").filter(F.col("n_near") >= DISCLOSURE * F.col("n_any")).select("term", "entity", "n_near")
 
 
-def sensitive_terms(found: DataFrame, hits: DataFrame | None, near: DataFrame) -> DataFrame:
-    """term, disclosure, removed for the terms over the thresholds; near holds (term, entity, n_near)."""
+def sensitive_terms(found: DataFrame, in_docs: DataFrame, near: DataFrame) -> DataFrame:
+    """term, disclosure, removed for the terms over the thresholds; near holds (term, entity, n_near), in_docs (term, n)."""
     total = found.count()
-    in_docs = hits.filter("first").groupBy("term").agg(F.count("*").alias("n_term"))
+    in_docs = in_docs.groupBy("term").agg(F.sum("n").alias("n_term"))
     of = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     share = F.col("n_near") / F.col("n_term")
     bits = F.log2(share / (F.col("n_entity") / F.lit(float(max(total, 1)))))
@@ -194,13 +226,18 @@ def private_spans(docs: DataFrame) -> DataFrame:
     ready(docs.sparkSession)
     rows = _keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     found = kept(rows.mapInArrow(_found, _FOUND), "private-found")
-    near = kept(found.select(F.explode("pairs").alias("p")).groupBy("p.term", "p.entity").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= SUPPORT), "private-near")
+    near = kept(near_counts(found), "private-near")
     term_type = "array<struct<start:int,stop:int,removed:boolean>>"
     base = found.select("doc_id", "row_key", "spans")
+    bare = base.withColumn("terms", F.array().cast(term_type))
     if near.isEmpty():
-        return base.withColumn("terms", F.array().cast(term_type))
-    hits = kept(rows.mapInArrow(_hits(_filter(near.select("term").distinct())), _HIT), "private-hits")
-    sensitive = sensitive_terms(found, hits, near)
+        return bare
+    bits = member_bits(near.select("term").distinct(), "term", FILTER_BITS)
+    in_docs = kept(docs.select(F.col("text").cast("string")).mapInArrow(_counted(bits), "term long, n long"), "private-counts")
+    sensitive = kept(sensitive_terms(found, in_docs, near), "private-terms")
+    if sensitive.isEmpty():
+        return bare
+    hits = rows.mapInArrow(_hits(member_bits(sensitive, "term", FILTER_BITS)), _HIT)
     own = hits.join(sensitive, "term").groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "removed"))).alias("terms"))
     own = own.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "terms")
     both = base.join(own, (F.col("row_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
