@@ -205,7 +205,14 @@ def candidate_plan_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.concat("family", F.lit(":"), F.array_join("args", "|")).alias("task_id"), instruction(F.col("family"), F.col("args")).alias("instruction"))
 
 
-@query("SELECT lang, greatest(1, round_even(16.0 * count(*) / (SELECT count(*) FROM documents), 0))::BIGINT AS quota FROM documents GROUP BY lang")
+_QUOTA_SQL = """
+WITH q AS (SELECT lang, greatest(1, round_even(16.0 * count(*) / (SELECT count(*) FROM documents), 0))::BIGINT AS quota FROM documents GROUP BY lang),
+r AS (SELECT lang, quota, row_number() OVER (ORDER BY quota DESC, lang) AS place, 16 - sum(quota) OVER () AS short FROM q)
+SELECT lang, (quota + CASE WHEN place <= abs(short) THEN sign(short) ELSE 0 END)::BIGINT AS quota FROM r
+"""
+
+
+@query(_QUOTA_SQL)
 def family_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = {r["lang"]: r["count"] for r in table(spark, sf_dir, "documents").groupBy("lang").count().collect()}  # a row per family
     return spark.createDataFrame(list(planning.quotas(counts, 16, sum(counts.values())).items()), "lang string, quota long")

@@ -8,44 +8,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stepforge.session import ready
 
 _BAD = "_malformed"
 
-STEP = T.StructType.fromDDL(
+STEP = (
     "instruction string, observation string, action string, next_observation string, "
     "_meta struct<scene:string,split:string,task_split:string,task_args:array<string>,trajectory_id:string,step_index:int,num_steps:int,"
     "generator_mode:string,script_line:string,planner_debug:map<string,string>>"
 )
-EPISODE = T.StructType.fromDDL(
+EPISODE = (
     "task string, trial_name string, history array<struct<observation:string,action:string,reward:double,dones:boolean,next_observation:string>>, "
     "_meta struct<source_gamefile:string,alfworld_split:string,task_type:string,scene_num:int,room_type:string,episode_id:string,task_short:string,"
     "expert_steps:int,expert_success:boolean,source_jsonl:string,protocol:string,task_split:string,scene_split:string,zero_shot_train_allowed:boolean,benchmark_split:string>"
 )
 
 
-def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     """Rows of line-JSON; blank lines are skipped, malformed ones fail the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
 
 
-def malformed(spark: SparkSession, paths: str | list[str], schema: T.StructType, blank_is_error: bool = False) -> DataFrame:
+def malformed(spark: SparkSession, paths: str | list[str], schema: str, blank_is_error: bool = False) -> DataFrame:
     """path, line, text of every line that is no object of the schema, numbered from 1 within its file.
 
     Files are read as whole texts, since a line's number needs those before it; use it on files that fit a task."""
     paths = [paths] if isinstance(paths, str) else paths
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("at", "text"))
-    wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    parsed = F.from_json("text", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    parsed = F.from_json("text", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
     blank = F.trim("text") == ""
     bad = F.when(blank, F.lit(blank_is_error)).otherwise(parsed.isNull() | parsed[_BAD].isNotNull())
     return lines.filter(bad).select("path", (F.col("at") + 1).alias("line"), "text")
 
 
-def read_strict(spark: SparkSession, paths: str | list[str], schema: T.StructType, blank_is_error: bool = False) -> DataFrame:
+def read_strict(spark: SparkSession, paths: str | list[str], schema: str, blank_is_error: bool = False) -> DataFrame:
     """As read_jsonl, but the error names the file and line of the first malformed one."""
     bad = malformed(spark, paths, schema, blank_is_error).orderBy("path", "line").first()
     if bad:
@@ -53,7 +51,7 @@ def read_strict(spark: SparkSession, paths: str | list[str], schema: T.StructTyp
     return read_jsonl(spark, paths, schema)
 
 
-def read_document(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A JSON document that spans lines."""
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(path)
@@ -65,7 +63,7 @@ def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
-def scan(spark: SparkSession, folder: str, schema: T.StructType, suffix: str = "*.jsonl") -> DataFrame:
+def scan(spark: SparkSession, folder: str, schema: str, suffix: str = "*.jsonl") -> DataFrame:
     """Rows of all files below a folder with their path and parent folder."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).json(folder)
     return rows.withColumn("source_path", F.col("_metadata.file_path")).withColumn("parent", F.regexp_extract("source_path", r"([^/]+)/[^/]+$", 1))
