@@ -24,18 +24,12 @@ from stepforge.llm.pretokens import units
 
 SPACE = "▁"
 #: Encoded units and pairs of pieces that a Python worker remembers; beyond it starts afresh.
-REMEMBERED, REMEMBERED_PAIRS = 200_000, 1_000_000
+REMEMBERED, REMEMBERED_PAIRS = 600_000, 1_000_000
+#: UTF-8 bytes of a slice of texts, and characters that one suffix array indexes.
+SLICE, INDEXED = 4 << 20, 1_000_000
 _RUN = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
-def _suffix_keys(codes: np.ndarray, width: int) -> np.ndarray:
-    """The first width codes of every suffix as big-endian bytes; past the end stands the separator's code."""
-    keys = np.full((len(codes), width), codes[-1], dtype=">u2")
-    for d in range(min(width, len(codes))):
-        keys[: len(codes) - d, d] = codes[d:]
-    return keys
-
-
 class PieceModel:
     """Pieces of a SentencePiece byte-pair model and what is known of their neighbourhoods."""
 
@@ -89,12 +83,13 @@ class PieceModel:
 
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ends, starts and ids of all occurrences of pieces in text, by end and then start."""
-        codes = np.array([self.code.get(c, 257) for c in text] + [257], dtype=np.uint16)
-        keys = _suffix_keys(codes, self.width)
-        columns = keys.astype("<u2").astype(np.uint64)
-        words = [sum(columns[:, k + j] << np.uint64(16 * (3 - j)) for j in range(4) if k + j < self.width) for k in range(0, self.width, 4)]
-        suffixes = np.lexsort(words[::-1])
-        ordered = keys[suffixes].view(self.first_key.dtype).ravel()
+        codes = np.full(len(text) + self.width + 3, 257, dtype=">u2")
+        codes[: len(text)] = [self.code.get(c, 257) for c in text]
+        wide = codes.astype(np.uint64)
+        n = len(text)
+        four = (wide[:-3] << np.uint64(48)) | (wide[1:-2] << np.uint64(32)) | (wide[2:-1] << np.uint64(16)) | wide[3:]
+        suffixes = np.lexsort([four[k : k + n] for k in range(0, self.width, 4)][::-1])
+        ordered = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, self.width)[suffixes]).view(self.first_key.dtype).ravel()
         lo, hi = np.searchsorted(ordered, self.first_key, "left"), np.searchsorted(ordered, self.last_key, "right")
         found = hi - lo
         which = np.repeat(np.arange(len(lo)), found)
@@ -113,37 +108,32 @@ class PieceModel:
                 out[k] = np.array(self._ids(self.merged(s)), dtype="<u4").tobytes()
             else:
                 plain.append(k)
-        if plain:
-            for k, ids in zip(plain, self._relaxed([strings[k] for k in plain]), strict=True):
+        at = 0
+        while at < len(plain):
+            stop, size = at, 0
+            while stop < len(plain) and (stop == at or size + len(strings[plain[stop]]) < INDEXED):
+                size += len(strings[plain[stop]]) + 1
+                stop += 1
+            for k, ids in zip(plain[at:stop], self._relaxed([strings[k] for k in plain[at:stop]]), strict=True):
                 out[k] = np.array(ids, dtype="<u4").tobytes()
+            at = stop
         return out
 
     def _relaxed(self, strings: list[str]) -> Iterator[list[int]]:
         text = "\0".join(strings)
         begins = np.cumsum([0] + [len(s) + 1 for s in strings[:-1]])
         ends, starts, ids = self.edges(text)
-        last: list[int | None] = [None] * (len(text) + 1)
-        for b in begins.tolist():
-            last[b] = -1
-        pairs, behind = self.pairs, 0
+        # -1 where a string begins, -2 behind a character without a piece, -3 where nothing is known yet
+        known = np.full(len(text) + 1, -3)
+        known[1:][np.array([c not in self.rank for c in text], dtype=bool)] = -2
+        known[begins] = -1
+        last, pairs = known.tolist(), self.pairs
         if len(pairs) > REMEMBERED_PAIRS:
             pairs.clear()
-
-        def bare(to: int) -> None:
-            # positions that no edge reaches follow a character without a piece
-            for at in range(behind + 1, to):
-                if last[at] is None:
-                    last[at] = -2
-
         for end, start, i in zip(ends.tolist(), starts.tolist(), ids.tolist()):
-            if end > behind + 1:
-                bare(end)
-            behind = max(behind, end - 1)
-            if last[end] is not None:
+            if last[end] >= -1:
                 continue
             before = last[start]
-            if before is None:
-                continue
             if before >= 0:
                 key = before << 20 | i
                 fits = pairs.get(key)
@@ -151,13 +141,14 @@ class PieceModel:
                     fits = pairs[key] = self._apart(before, i)
                 if not fits:
                     continue
+            elif before == -3:
+                continue
             last[end] = i
-        bare(len(text) + 1)
         for b, s in zip(begins.tolist(), strings, strict=True):
             at, out = b + len(s), []
             while at > b:
                 i = last[at]
-                if i is None or i < 0:
+                if i < 0:
                     out += [self.bytes[x] for x in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
                     at -= 1
                 else:
@@ -218,7 +209,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             ids = pa.array([x.astype(np.int32) for x in model.encode(part.column("text"))], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
@@ -244,7 +235,7 @@ def piece_digest(docs: DataFrame, path: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             texts, rows = part.column("text").to_pylist(), []
             for text, ids in zip(texts, model.encode(part.column("text")), strict=True):
                 back = model.decode(ids) == (text or "").replace(SPACE, " ")
