@@ -126,3 +126,20 @@ def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the bit of each hash is set."""
     at = hashes.view(np.uint64) >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
     return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, most: int = 24) -> DataFrame:
+    """doc_id and text of the rows of docs whose id is in ids (doc_id), a kept table; at most 2 ** most bits are collected.
+
+    A filter of the ids' bits drops the other texts before the join shuffles them."""
+    power = min(most, max(16, (16 * ids.count()).bit_length()))
+    bits = member_bits(ids.select(F.xxhash64("doc_id").alias("hash")), "hash", power)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                mask = pa.array(among(bits, np.asarray(b.column("hash"))))
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(mask) for c in ("doc_id", "text")], names=["doc_id", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").withColumn("hash", F.xxhash64("doc_id"))
+    return rows.mapInArrow(keep, "doc_id long, text string").join(ids, "doc_id")

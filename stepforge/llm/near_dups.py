@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import among, kept, member_bits, mixed, ready, seeded, text_slices
+from stepforge.llm.common import kept, mixed, ready, seeded, text_slices, texts_of
 from stepforge.llm.words import shingle_sets
 
 WIDTH, REGISTERS, ROWS_PER_BAND, MANTISSA = 5, 128, 4, 10
 BANDS = REGISTERS // ROWS_PER_BAND
 #: A pair goes to the exact check if its estimate is at least the threshold less this many standard errors.
 SLACK = 5.5
-#: Bits (as a power of two) of the filter of documents in pairs, at most.
-FILTER_BITS = 24
 #: Members of a bucket that one task compares with each other at a time.
 BLOCK = 256
 
@@ -140,24 +138,10 @@ def _close_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFra
     return both.select("a", "b", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(_close(threshold), "a long, b long")
 
 
-def _named(bits: np.ndarray):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                mask = pa.array(among(bits, np.asarray(b.column("hash"))))
-                yield pa.RecordBatch.from_arrays([b.column(c).filter(mask) for c in ("doc_id", "text")], names=["doc_id", "text"])
-
-    return keep
-
-
 def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id and full shingle set of the documents of ids (doc_id)."""
     ids = kept(ids, "near-ids")
-    power = min(FILTER_BITS, max(16, (16 * ids.count()).bit_length()))
-    bits = member_bits(ids.select(F.xxhash64("doc_id").alias("hash")), "hash", power)
-    # few documents are in pairs: the filter drops the others before their texts are shuffled
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").withColumn("hash", F.xxhash64("doc_id")).mapInArrow(_named(bits), "doc_id long, text string")
-    return kept(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles array<long>"), "near-sets")
+    return kept(texts_of(docs, ids).mapInArrow(_set_rows, "doc_id long, shingles array<long>"), "near-sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepforge.llm.common import kept, texts_of
+
 
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; 0 for a null id."""
@@ -17,7 +19,7 @@ def bounded(docs: DataFrame, labelled: DataFrame, label: str, most: int) -> Data
     Ids are chosen first, so that texts of the sample alone are moved; a second limit holds where ids repeat."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ranked = labelled.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    ids = ranked.filter(F.col("_rank") <= most).select("doc_id", label).dropDuplicates(["doc_id"])
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
+    ids = kept(ranked.filter(F.col("_rank") <= most).select("doc_id", label).dropDuplicates(["doc_id"]), "sample-ids")
+    texts = texts_of(docs, ids)
     again = F.row_number().over(Window.partitionBy(label).orderBy(*order, F.xxhash64("text")))
     return texts.withColumn("_rank", again).filter(F.col("_rank") <= most).select("doc_id", "text", label)
