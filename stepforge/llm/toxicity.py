@@ -27,7 +27,8 @@ SAMPLE, LEXICON, SUPPORT = 6_000, 2_000, 4
 #: Lengths of word beginnings that the lexicon may hold; words between a lexicon word and a second-person word that count as near.
 STEMS, NEAR = (4, 5, 6, 7), 4
 ROUNDS, DEPTH, RATE, BINS, LEAF = 60, 4, 0.2, 32, 8
-REMEMBERED = 200_000
+#: Units that a task remembers, and UTF-8 bytes of a slice of texts.
+REMEMBERED, SLICE = 400_000, 4 << 20
 
 # Second-person words of English, French, German and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer ti tus tuyo usted ustedes vosotros".split())
@@ -54,14 +55,13 @@ class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
 
-    def weights(self, unit: str) -> tuple[float, float, float]:
-        """Weight as a word, as a beginning, and as an obfuscated word."""
-        word = core(unit)
+    def weights(self, word: str) -> tuple[float, float, float]:
+        """Weight of a core as a word, as a beginning, and as an obfuscated word."""
         straight = self.words.get(word, 0.0)
         stem = max((self.stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n), default=0.0)
         hidden = 0.0
         if _MIDDLE.search(word):
-            bare = plain(unit)
+            bare = plain(word)
             hidden = max(self.words.get(bare, 0.0), max((self.stems.get(bare[:n], 0.0) for n in STEMS if len(bare) >= n), default=0.0))
         return straight, stem, hidden
 
@@ -71,26 +71,62 @@ UNIT = ("word", "stem", "hidden", "hit", "you", "shout", "letters", "upper", "di
 FEATURES = ("word_density", "stem_density", "hidden_density", "hits", "hit_density", "near_you", "you_density", "shout_density", "upper_share", "digit_share", "mark_share", "exclaim_density", "mixed_density", "log_units", "word_sum", "stem_sum")
 
 
-def unit_values(lexicon: Lexicon, unit: str) -> list[float]:
-    straight, stem, hidden = lexicon.weights(unit)
-    letters = sum(c.isalpha() for c in unit)
-    upper = sum(c.isupper() for c in unit)
-    digits = sum(c.isdigit() for c in unit)
-    word = core(unit)
-    mixed = bool(letters) and bool(_MIDDLE.search(word))
-    return [straight, stem, hidden, float(max(straight, stem, hidden) > 0), float(word in SECOND_PERSON), float(letters > 2 and upper == letters), letters, upper, digits, len(unit) - letters - digits, unit.count("!"), float(mixed)]
+_kinds: list[np.ndarray] = []
+
+
+def _char_kinds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each code point is a letter, in upper case, a digit."""
+    if not _kinds:
+        chars = [chr(c) for c in range(1 << 16)]
+        _kinds.extend([np.array([c.isalpha() for c in chars]), np.array([c.isupper() for c in chars]), np.array([c.isdigit() for c in chars])])
+    low = np.minimum(codes, 65535)
+    out = tuple(k[low] for k in _kinds)
+    for at in np.flatnonzero(codes > 65535).tolist():
+        c = chr(codes[at])
+        out[0][at], out[1][at], out[2][at] = c.isalpha(), c.isupper(), c.isdigit()
+    return out
+
+
+def unit_rows(lexicon: Lexicon, new: list[str]) -> np.ndarray:
+    """A row of UNIT for each unit."""
+    codes = np.frombuffer("\n".join([*new, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    sizes = np.array([len(u) for u in new], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    letters, upper, digits, exclaim = (np.add.reduceat(k.astype(np.int64), starts) for k in (*_char_kinds(codes), codes == 33))
+    out = np.zeros((len(new), len(UNIT)), dtype=np.float32)
+    for row, unit in enumerate(new):
+        word = core(unit)
+        weights = lexicon.weights(word)
+        out[row, :3] = weights
+        out[row, 3] = max(weights) > 0
+        out[row, 4] = word in SECOND_PERSON
+        out[row, 11] = letters[row] > 0 and _MIDDLE.search(word) is not None
+    out[:, 5] = (letters > 2) & (upper == letters)
+    out[:, 6], out[:, 7], out[:, 8], out[:, 9], out[:, 10] = letters, upper, digits, sizes - letters - digits, exclaim
+    return out
+
+
+class Units:
+    """Rows of the units met so far; beyond REMEMBERED it starts afresh."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon, self.at, self.rows = lexicon, {}, np.zeros((0, len(UNIT)), np.float32)
+
+    def of(self, distinct: list[str]) -> np.ndarray:
+        new = [u for u in distinct if u not in self.at]
+        if len(self.at) + len(new) > REMEMBERED:
+            self.at, self.rows, new = {}, self.rows[:0], distinct
+        if new:
+            self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, unit_rows(self.lexicon, new)])
+        return self.rows[[self.at[u] for u in distinct]].astype(np.float64)
 
 
-def features(lexicon: Lexicon, known: dict[str, list[float]], texts: pa.Array) -> np.ndarray:
+def features(known: Units, texts: pa.Array) -> np.ndarray:
     """A row of FEATURES for each text; an empty text has zeros."""
     texts = pa.compute.replace_substring_regex(pa.compute.fill_null(texts, ""), r"[\t\n\v\f\r]", " ")
     offsets, codes, distinct = units(texts)
-    new = [u for u in distinct if u not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = distinct
-    known.update((u, unit_values(lexicon, u)) for u in new)
-    each = np.array([known[u] for u in distinct], dtype=np.float64)
+    each = known.of(distinct)
     filled = np.array([bool(u) for u in distinct], dtype=np.float64)[codes]
     first = offsets[:-1]
     sums = np.stack([np.add.reduceat(each[:, j][codes], first) for j in range(len(UNIT))], axis=1)
@@ -219,9 +255,9 @@ def learned_lexicon(sample: DataFrame) -> Lexicon:
 
 def _sample_features(lexicon: Lexicon):
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[float]] = {}
-        for part in text_slices(batches):
-            x = features(lexicon, known, part.column("text"))
+        known = Units(lexicon)
+        for part in text_slices(batches, limit=SLICE):
+            x = features(known, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(list(x), type=pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
     return take
@@ -258,9 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
 
 def _scored(model: Toxicity):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[float]] = {}
-        for part in text_slices(batches):
-            s = model.scores(features(model.lexicon, known, part.column("text")))
+        known = Units(model.lexicon)
+        for part in text_slices(batches, limit=SLICE):
+            s = model.scores(features(known, part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
     return score
