@@ -143,3 +143,19 @@ def texts_of(docs: DataFrame, ids: DataFrame, most: int = 24) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").withColumn("hash", F.xxhash64("doc_id"))
     return rows.mapInArrow(keep, "doc_id long, text string").join(ids, "doc_id")
+
+
+def likely(hashes: DataFrame, column: str, most: int = 24):
+    """A function of a hash column: false where the hash is not among hashes, true where it is, and by chance.
+
+    It splits off the few rows that a join is about, so that the texts of all others stay where they are."""
+    import pandas as pd
+
+    power = min(most, max(16, (16 * hashes.count()).bit_length()))
+    bits = member_bits(hashes, column, power)
+
+    @F.pandas_udf("boolean")
+    def has(values: pd.Series) -> pd.Series:
+        return pd.Series(among(bits, values.to_numpy()))
+
+    return has

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import kept, mixed, ready, seeded, text_slices, texts_of
+from stepforge.llm.common import kept, likely, mixed, ready, seeded, text_slices, texts_of
 from stepforge.llm.words import shingle_sets
 
 WIDTH, REGISTERS, ROWS_PER_BAND, MANTISSA = 5, 128, 4, 10
@@ -273,7 +273,10 @@ def first_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs, all columns, without near duplicates of a kept document; rows that repeat a doc_id stay once."""
     found = kept(near_duplicates(docs, percent).select("doc_id", "kept"), "near-found")
     own = F.col("doc_id").cast("long")
-    rest = docs.join(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), own == F.col("_gone"), "left_anti")
+    gone = kept(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    has = likely(gone.select(F.xxhash64("_gone").alias("hash")), "hash")
+    may_go = has(F.xxhash64(own))
+    rest = docs.filter(~may_go).unionByName(docs.filter(may_go).join(gone, own == F.col("_gone"), "left_anti"))
     repeated = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").select("_again")
     repeated = kept(repeated, "near-repeated")
     if repeated.isEmpty():

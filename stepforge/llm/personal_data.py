@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import among, kept, member_bits, ready, text_slices
+from stepforge.llm.common import among, kept, likely, member_bits, ready, text_slices
 from stepforge.llm.words import joined, runs, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -280,7 +280,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], names=columns)
 
     spans = private_spans(docs).filter("size(spans) > 0 or size(terms) > 0").dropDuplicates(["row_key", "doc_id"])
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("spans").alias("_spans"), F.col("terms").alias("_terms"))
+    spans = kept(spans.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("spans").alias("_spans"), F.col("terms").alias("_terms")), "private-spans")
     own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    both = docs.join(spans, (own == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    return both.select(*docs.columns, "_spans", "_terms").mapInArrow(rewrite, docs.schema)
+    has = likely(spans.select("_key"), "_key")
+    both = docs.filter(has(own)).join(spans, (own == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    return docs.filter(~has(own)).unionByName(both.select(*docs.columns, "_spans", "_terms").mapInArrow(rewrite, docs.schema))

@@ -68,7 +68,7 @@ class Lexicon:
 
 #: Sums over a unit: the first six make positions, the rest are added up.
 UNIT = ("word", "stem", "hidden", "hit", "you", "shout", "letters", "upper", "digits", "marks", "exclaim", "mixed")
-FEATURES = ("word_density", "stem_density", "hidden_density", "hits", "hit_density", "near_you", "you_density", "shout_density", "upper_share", "digit_share", "mark_share", "exclaim_density", "mixed_density", "log_units", "word_sum", "stem_sum")
+FEATURES = ("word_density", "stem_density", "hidden_density", "hits", "hit_density", "near_you", "you_density", "shout_density", "upper_share", "digit_share", "mark_share", "exclaim_density", "mixed_density", "log_units", "word_sum", "stem_sum", "word_most", "stem_most", "hidden_most")
 
 
 _kinds: list[np.ndarray] = []
@@ -130,6 +130,7 @@ def features(known: Units, texts: pa.Array) -> np.ndarray:
     filled = np.array([bool(u) for u in distinct], dtype=np.float64)[codes]
     first = offsets[:-1]
     sums = np.stack([np.add.reduceat(each[:, j][codes], first) for j in range(len(UNIT))], axis=1)
+    most = [np.maximum.reduceat(each[:, j][codes], first) for j in range(3)]
     owner = np.repeat(np.arange(len(first)), np.diff(offsets))
     hit, you = each[:, 3][codes] > 0, each[:, 4][codes] > 0
     near = np.zeros(len(codes), dtype=bool)
@@ -141,7 +142,7 @@ def features(known: Units, texts: pa.Array) -> np.ndarray:
     n = np.maximum(np.add.reduceat(filled, first), 1)
     chars = np.maximum(sums[:, 6] + sums[:, 8] + sums[:, 9], 1)
     s = dict(zip(UNIT, sums.T, strict=True))
-    return np.stack([s["word"] / n, s["stem"] / n, s["hidden"] / n, s["hit"], s["hit"] / n, close, s["you"] / n, s["shout"] / n, s["upper"] / np.maximum(s["letters"], 1), s["digits"] / chars, s["marks"] / chars, s["exclaim"] / n, s["mixed"] / n, np.log1p(n), s["word"], s["stem"]], axis=1)
+    return np.stack([s["word"] / n, s["stem"] / n, s["hidden"] / n, s["hit"], s["hit"] / n, close, s["you"] / n, s["shout"] / n, s["upper"] / np.maximum(s["letters"], 1), s["digits"] / chars, s["marks"] / chars, s["exclaim"] / n, s["mixed"] / n, np.log1p(n), s["word"], s["stem"], *most], axis=1)
 
 
 class Trees:
