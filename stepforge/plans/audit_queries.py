@@ -28,11 +28,11 @@ def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT CASE WHEN c_custkey IS NULL THEN 'missing' WHEN NOT (o_custkey % 5 <> c_nationkey % 5) THEN 'mismatch' ELSE 'ok' END AS reason, count(*) AS n
-    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 11 <> 0) ON o_custkey = c_custkey GROUP BY 1
+    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey GROUP BY 1
     """
 )
 def strict_lookup_join_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = table(spark, sf_dir, "customer").filter("c_custkey % 11 <> 0").select("c_custkey", "c_nationkey")
+    dim = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select("c_custkey", "c_nationkey")
     return audit.strict_lookup(table(spark, sf_dir, "orders").select("o_custkey"), dim, "o_custkey", "c_custkey", F.expr("o_custkey % 5 <> c_nationkey % 5"))
 
 
@@ -65,13 +65,13 @@ def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH l AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 10 <> 3 GROUP BY lang), r AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 10 <> 3 OR lang = 'en' GROUP BY lang)
+    WITH l AS (SELECT lang, count(*) AS n FROM documents WHERE n_chars > 300 GROUP BY lang), r AS (SELECT lang, count(*) AS n FROM documents WHERE n_chars > 300 OR lang = 'en' GROUP BY lang)
     SELECT coalesce(l.lang, r.lang) AS lang, coalesce(l.n, 0) AS n_left, coalesce(r.n, 0) AS n_right FROM l FULL JOIN r ON l.lang IS NOT DISTINCT FROM r.lang WHERE coalesce(l.n, 0) <> coalesce(r.n, 0)
     """
 )
 def multiset_view_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return audit.multiset_difference(docs.filter("doc_id % 10 <> 3"), docs.filter("doc_id % 10 <> 3 or lang = 'en'"), ["lang"])
+    docs = table(spark, sf_dir, "documents").select("n_chars", "lang")
+    return audit.multiset_difference(docs.filter("n_chars > 300"), docs.filter("n_chars > 300 or lang = 'en'"), ["lang"])
 
 
 @query(
@@ -133,13 +133,13 @@ def replay_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH e AS (SELECT DISTINCT source FROM documents WHERE doc_id % 50 < 10), a AS (SELECT DISTINCT source FROM documents WHERE doc_id % 50 >= 5 AND source <> 'src3')
+    WITH e AS (SELECT DISTINCT source FROM documents WHERE n_chars > 9000), a AS (SELECT DISTINCT source FROM documents WHERE lang = 'es' AND n_chars > 2000)
     SELECT source, 'missing' AS side FROM (SELECT source FROM e EXCEPT SELECT source FROM a) UNION ALL SELECT source, 'extra' FROM (SELECT source FROM a EXCEPT SELECT source FROM e)
     """
 )
 def expected_scene_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return audit.difference(docs.filter("doc_id % 50 < 10").select("source").distinct(), docs.filter("doc_id % 50 >= 5 and source <> 'src3'").select("source").distinct())
+    docs = table(spark, sf_dir, "documents").select("n_chars", "lang", "source")
+    return audit.difference(docs.filter("n_chars > 9000").select("source").distinct(), docs.filter("lang = 'es' and n_chars > 2000").select("source").distinct())
 
 
 @query(

@@ -156,10 +156,7 @@ _MEMBERS = "SELECT DISTINCT s_nationkey, p_brand, p_type FROM lineitem JOIN supp
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     lines = lines.join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    return lines.filter("p_size <= 4").select("s_nationkey", "p_brand", "p_type").distinct()
-
-
-_MEMBERS = f"{_MEMBERS} WHERE p_size <= 4"
+    return lines.select("s_nationkey", "p_brand", "p_type").distinct()
 
 
 @query(f"SELECT p_brand, coverage, row_number() OVER (ORDER BY coverage DESC, p_brand)::INTEGER AS rank FROM (SELECT p_brand, count(DISTINCT s_nationkey) AS coverage FROM ({_MEMBERS}) GROUP BY p_brand)")

@@ -212,3 +212,27 @@ def test_stream_resumes(spark, tmp_path):
     spark.createDataFrame([("b", 9), ("c", 4)], schema).coalesce(1).write.mode("append").json(folder)
     incremental.append(stream, out, state).awaitTermination()
     assert sorted(r.trial_name for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_rollout_world():
+    from stepforge.operators.rollout import World, rolled
+
+    go = lambda plan, goal: rolled([(p.split()[0], p.split()[1:]) for p in plan], goal, World(), 30)
+    assert go(["walk cup", "grab cup", "walk table", "put cup table"], ("cup", "on", "table")) == (True, 4, 0, 4)
+    assert go(["grab cup", "walk cup"], ("cup", "on", "table")) == (False, 30, 1, 1)
+    assert go([], ("character", "hold", "none")) == (True, 0, 0, 0)
+
+
+def test_reports(spark):
+    from stepforge.operators import reports
+
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "k string, n int")
+    assert reports.markdown(rows, ["k"], "Counts") == "# Counts\n\n| k | n |\n|---|---|\n| a | 1 |\n| b |  |\n"
+    with pytest.raises(ValueError):
+        reports.markdown(rows, ["k"], "Counts", most=1)
+    assert one(spark, reports.int_list(F.lit("3, 3,2"))) == [3, 3, 2]
+    with pytest.raises(Exception, match="not positive integers"):
+        one(spark, reports.int_list(F.lit("3,0")))
+    assert reports.is_run_name("2026-05-19_run") and not reports.is_run_name("run")
+    assert one(spark, reports.next_trial(F.array(F.lit("t3"), F.lit("t12"), F.lit("x")), "t")) == 13
+    assert one(spark, reports.next_trial(F.array().cast("array<string>"), "t")) == 1
