@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -149,8 +150,6 @@ def likely(hashes: DataFrame, column: str, most: int = 24):
     """A function of a hash column: false where the hash is not among hashes, true where it is, and by chance.
 
     It splits off the few rows that a join is about, so that the texts of all others stay where they are."""
-    import pandas as pd
-
     power = min(most, max(16, (16 * hashes.count()).bit_length()))
     bits = member_bits(hashes, column, power)
 
