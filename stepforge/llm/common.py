@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: UTF-8 bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS = 512
 
@@ -70,14 +70,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts and joins batches between rows so that the texts of a slice have at most limit bytes, or one row."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cuts and joins batches between rows so that the texts of a slice have at most limit bytes, or one row; and at most `rows` rows."""
     held: list[pa.RecordBatch] = []
     held_bytes = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = np.maximum(sizes, -(-limit // rows))  # short texts count as much as the rows may hold
         ends, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0

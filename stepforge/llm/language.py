@@ -114,7 +114,7 @@ def fitted(rows: list[tuple[str, np.ndarray]]) -> Centroids | None:
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches):
+    for part in text_slices(batches, rows=512):
         counts, has = gram_counts(part.column("text").to_pylist())
         at = [np.flatnonzero(c) for c in counts]
         lists = [pa.array(x, type=pa.list_(pa.int32())) for x in (at, [c[i] for c, i in zip(counts, at, strict=True)])]
@@ -136,7 +136,7 @@ def fit(docs: DataFrame) -> Centroids | None:
 
 def _predicted(model: Centroids | None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, rows=512):
             counts, has = gram_counts(part.column("text").to_pylist())
             if model is None:
                 lang, score, rejected = [UNDETERMINED] * len(has), np.zeros(len(has)), np.ones(len(has), bool)

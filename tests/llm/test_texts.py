@@ -334,6 +334,7 @@ def test_slices_hold_whole_rows():
     rng = random.Random(0)
     rows = [None if rng.random() < 0.1 else "x" * rng.choice([0, 1, 50, 400]) for _ in range(300)]
     batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + 37], pa.string())], names=["text"]) for i in range(0, 300, 37)]
-    out = list(text_slices(iter(batches), limit=200))
+    out = list(text_slices(iter(batches), limit=200, rows=20))
     assert [t for b in out for t in b.column("text").to_pylist()] == rows
     assert all(sum(len(t or "") for t in b.column("text").to_pylist()) <= 200 or b.num_rows == 1 for b in out)
+    assert max(b.num_rows for b in out) <= 20
