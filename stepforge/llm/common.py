@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,6 +99,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
                 held, held_bytes = [], 0
     if held:
         yield pa.concat_batches(held)
+    settle()
+
+
+def settle() -> None:
+    """Gives back the memory that allocators hold on to after a task, since workers live on."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm.common import kept, ready, text_slices
-from stepforge.llm.pretokens import REMEMBERED, SLICE, loaded, units
+from stepforge.llm.pretokens import REMEMBERED, SLICE, Memory, loaded, units
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a group, groups that the next level joins, and the fill from which a bin is closed before the last level.
 GROUP, FAN_IN, CLOSED = 20_000, 16, 0.995
 
-_unit_ids: dict[str, dict[str, bytes]] = {}
+_unit_ids: dict[str, Memory] = {}
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECE}, sequence_id long, offset long"
@@ -34,14 +34,9 @@ PACKED = f"{PIECE}, sequence_id long, offset long"
 
 def slice_ids(path: str, texts: pa.Array) -> Iterator[np.ndarray]:
     """The ids of each text in turn: distinct units are encoded once and gathered by code."""
-    pre, known = loaded(path, words=True), _unit_ids.setdefault(path, {})
+    pre, known = loaded(path, words=True), _unit_ids.setdefault(path, Memory(REMEMBERED))
     offsets, codes, distinct = units(texts)
-    new = [u for u in distinct if u not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = distinct
-    known.update(zip(new, pre.encoded(new), strict=True))
-    parts = [known[u] for u in distinct]
+    parts = known.values(distinct, pre.encoded)
     lengths = np.array([len(p) // 4 for p in parts], dtype=np.int64)
     flat, begins = np.frombuffer(b"".join(parts), dtype="<u4"), np.concatenate([[0], np.cumsum(lengths)[:-1]])
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm.common import ready, text_slices
-from stepforge.llm.pretokens import units
+from stepforge.llm.pretokens import Memory, units
 
 SPACE = "▁"
-#: Encoded units and pairs of pieces that a Python worker remembers; beyond it starts afresh.
-REMEMBERED, REMEMBERED_PAIRS = 600_000, 1_000_000
+#: Encoded units and pairs of pieces that a Python worker remembers.
+REMEMBERED, REMEMBERED_PAIRS = 240_000, 500_000
 #: UTF-8 bytes of a slice of texts, and characters that one suffix array indexes.
-SLICE, INDEXED = 4 << 20, 1_000_000
+SLICE, INDEXED = 4 << 20, 400_000
 _RUN = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -60,7 +60,7 @@ class PieceModel:
         last[keys == 0] = 0xFFFF
         as_bytes = f"S{2 * self.width}"
         self.first_key, self.last_key = keys.view(as_bytes).ravel(), last.view(as_bytes).ravel()
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(REMEMBERED)
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -157,12 +157,9 @@ class PieceModel:
             yield out[::-1]
 
     def _remembered(self, strings: list[str]) -> list[bytes]:
-        new = [s for s in dict.fromkeys(strings) if s not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(dict.fromkeys(strings))
-        self.known.update(zip(new, self.encode_units(new), strict=True))
-        return [self.known[s] for s in strings]
+        distinct = list(dict.fromkeys(strings))
+        own = self.known.values(distinct, self.encode_units)
+        return own if len(distinct) == len(strings) else list(map(dict(zip(distinct, own, strict=True)).__getitem__, strings))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text in turn."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
@@ -12,10 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Distinct pre-tokens and units that a Python worker remembers; beyond it starts afresh (only time is lost).
-REMEMBERED = 800_000
+#: Distinct pre-tokens, and distinct units, that a Python worker remembers.
+REMEMBERED = 240_000
 #: UTF-8 bytes of a slice of texts: the more, the more often a unit is met within it.
-SLICE = 6 << 20
+SLICE = 4 << 20
 #: Stands between strings that are split together; strings that hold it are split one by one.
 _BETWEEN = "\U0010ffff"
 
@@ -29,6 +30,29 @@ def _among_others(pattern: str) -> str:
     return _BETWEEN + "|" + pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{L}}\p{{N}}{_BETWEEN}]").replace(r"(?!\S)", rf"(?![^\s{_BETWEEN}])")
 
 
+class Memory:
+    """Values of keys, the lately used ones kept: what forgets the older half costs time and nothing else."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def values(self, keys: list[str], compute: Callable[[list[str]], Iterable]) -> list:
+        """The value of each of the distinct keys; compute gives those that are not remembered."""
+        if len(self.young) > self.most // 2:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                value = old.get(k)
+                if value is None:
+                    new.append(k)
+                else:
+                    young[k] = value
+        if new:
+            young.update(zip(new, compute(new), strict=True))
+        return [young[k] for k in keys]
+
+
 class Pretokens:
     """Ids of pre-tokens by the tokenizers library, for strings cut where no pre-token crosses."""
 
@@ -45,7 +69,7 @@ class Pretokens:
         self.words = words
         self.pattern = regex.compile(WORD_PATTERN if words else BYTE_PATTERN)
         self.joined = regex.compile(_among_others(self.pattern.pattern))
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(REMEMBERED)
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens in order; a special string stays whole, marked by a leading NUL pair."""
@@ -73,19 +97,18 @@ class Pretokens:
 
     def ids(self, distinct: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each pre-token."""
-        known = self.known
-        new = [p for p in distinct if p not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = distinct
-        special = [p for p in new if p.startswith("\0\0") and p[2:] in self.special]
-        plain = [p for p in new if not p.startswith("\0\0") or p[2:] not in self.special] if special else new
+        return self.known.values(distinct, self._encoded)
+
+    def _encoded(self, new: list[str]) -> list[bytes]:
+        special = {k for k, p in enumerate(new) if p.startswith("\0\0") and p[2:] in self.special}
+        plain = [p for k, p in enumerate(new) if k not in special] if special else new
         own = [e.ids for e in self.bare.encode_batch_fast(plain, add_special_tokens=False)]
-        flat, at = np.fromiter(chain.from_iterable(own), dtype="<u4").tobytes(), 0
-        for p, e in zip(plain, own, strict=True):
-            known[p] = flat[at : (at := at + 4 * len(e))]
-        known.update((p, np.array([self.special[p[2:]]], dtype="<u4").tobytes()) for p in special)
-        return [known[p] for p in distinct]
+        flat, at, out = np.fromiter(chain.from_iterable(own), dtype="<u4").tobytes(), 0, []
+        for e in own:
+            out.append(flat[at : (at := at + 4 * len(e))])
+        for k in sorted(special):
+            out.insert(k, np.array([self.special[new[k][2:]]], dtype="<u4").tobytes())
+        return out
 
     def coded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Pre-tokens of each string: how many it has, the codes of all in turn, and the ids of each distinct one."""

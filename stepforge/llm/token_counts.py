@@ -17,23 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm.common import ready, text_slices
-from stepforge.llm.pretokens import REMEMBERED, SLICE, Pretokens, loaded, units
+from stepforge.llm.pretokens import REMEMBERED, SLICE, Memory, Pretokens, loaded, units
 
-_unit_counts: dict[str, dict[str, int]] = {}
+_unit_counts: dict[str, Memory] = {}
 
 
-def slice_counts(pre: Pretokens, known: dict[str, int], texts: pa.Array) -> np.ndarray:
-    """Tokens of each text. A unit is what follows one space; -1 marks units that a space before can change."""
+def _unit_tokens(pre: Pretokens, new: list[str]) -> list[int]:
+    """Tokens of a space and each unit; -1 where a space before it can change them."""
+    loose = [not u or u[0].isspace() for u in new]
+    plain = iter(pre.counts([f" {u}" for u, odd in zip(new, loose, strict=True) if not odd]).tolist())
+    return [-1 if odd else next(plain) for odd in loose]
+
+
+def slice_counts(pre: Pretokens, known: Memory, texts: pa.Array) -> np.ndarray:
+    """Tokens of each text. A unit is what follows one space."""
     offsets, codes, distinct = units(texts)
-    new = [u for u in distinct if u not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = distinct
-    loose = [u for u in new if not u or u[0].isspace()]
-    known.update(dict.fromkeys(loose, -1))
-    plain = [u for u in new if u and not u[0].isspace()]
-    known.update(zip(plain, pre.counts([f" {u}" for u in plain]).tolist(), strict=True))
-    each = np.array([known[u] for u in distinct], dtype=np.int64)[codes]
+    each = np.array(known.values(distinct, lambda new: _unit_tokens(pre, new)), dtype=np.int64)[codes]
     first = offsets[:-1]
     each[first] = 0
     total = np.add.reduceat(np.maximum(each, 0), first)
@@ -47,7 +46,7 @@ def slice_counts(pre: Pretokens, known: dict[str, int], texts: pa.Array) -> np.n
 
 def _counted(path: str, limit: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, known = loaded(path, words=False), _unit_counts.setdefault(path, {})
+        pre, known = loaded(path, words=False), _unit_counts.setdefault(path, Memory(REMEMBERED))
         for part in text_slices(batches, limit=SLICE):
             texts = part.column("text")
             n = slice_counts(pre, known, texts)

@@ -28,7 +28,7 @@ SAMPLE, LEXICON, SUPPORT = 6_000, 2_000, 4
 STEMS, NEAR = (4, 5, 6, 7), 4
 ROUNDS, DEPTH, RATE, BINS, LEAF = 60, 4, 0.2, 32, 8
 #: Units that a task remembers, and UTF-8 bytes of a slice of texts.
-REMEMBERED, SLICE = 400_000, 4 << 20
+REMEMBERED, SLICE = 200_000, 2 << 20
 
 # Second-person words of English, French, German and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer ti tus tuyo usted ustedes vosotros".split())
