@@ -154,7 +154,8 @@ def texts_of(docs: DataFrame, ids: DataFrame, most: int = 24) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(mask) for c in ("doc_id", "text")], names=["doc_id", "text"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").withColumn("hash", F.xxhash64("doc_id"))
-    return rows.mapInArrow(keep, "doc_id long, text string").join(ids, "doc_id")
+    # written, so that no task holds two Python workers, this filter's and that of what follows
+    return kept(rows.mapInArrow(keep, "doc_id long, text string").join(ids, "doc_id"), "texts")
 
 
 def likely(hashes: DataFrame, column: str, most: int = 24):

@@ -284,4 +284,6 @@ def sanitised(docs: DataFrame) -> DataFrame:
     own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     has = likely(spans.select("_key"), "_key")
     both = docs.filter(has(own)).join(spans, (own == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    return docs.filter(~has(own)).unionByName(both.select(*docs.columns, "_spans", "_terms").mapInArrow(rewrite, docs.schema))
+    # written, so that no task holds two Python workers, the filter's and the rewriting one
+    both = kept(both.select(*docs.columns, "_spans", "_terms"), "private-texts")
+    return docs.filter(~has(own)).unionByName(both.mapInArrow(rewrite, docs.schema))

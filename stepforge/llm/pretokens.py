@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 import regex
 
 #: Distinct pre-tokens, and distinct units, that a Python worker remembers.
-REMEMBERED = 240_000
+REMEMBERED = 160_000
 #: UTF-8 bytes of a slice of texts: the more, the more often a unit is met within it.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Stands between strings that are split together; strings that hold it are split one by one.
 _BETWEEN = "\U0010ffff"
 
@@ -102,10 +102,12 @@ class Pretokens:
     def _encoded(self, new: list[str]) -> list[bytes]:
         special = {k for k, p in enumerate(new) if p.startswith("\0\0") and p[2:] in self.special}
         plain = [p for k, p in enumerate(new) if k not in special] if special else new
-        own = [e.ids for e in self.bare.encode_batch_fast(plain, add_special_tokens=False)]
-        flat, at, out = np.fromiter(chain.from_iterable(own), dtype="<u4").tobytes(), 0, []
-        for e in own:
-            out.append(flat[at : (at := at + 4 * len(e))])
+        out = []
+        for k in range(0, len(plain), 4096):  # an encoding of the library is far larger than its ids
+            own = [e.ids for e in self.bare.encode_batch_fast(plain[k : k + 4096], add_special_tokens=False)]
+            flat, at = np.fromiter(chain.from_iterable(own), dtype="<u4").tobytes(), 0
+            for e in own:
+                out.append(flat[at : (at := at + 4 * len(e))])
         for k in sorted(special):
             out.insert(k, np.array([self.special[new[k][2:]]], dtype="<u4").tobytes())
         return out
