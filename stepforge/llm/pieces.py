@@ -24,7 +24,7 @@ from stepforge.llm.pretokens import Memory, units
 
 SPACE = "▁"
 #: Encoded units and pairs of pieces that a Python worker remembers.
-REMEMBERED, REMEMBERED_PAIRS = 240_000, 500_000
+REMEMBERED, REMEMBERED_PAIRS = 600_000, 500_000
 #: UTF-8 bytes of a slice of texts, and characters that one suffix array indexes.
 SLICE, INDEXED = 4 << 20, 400_000
 _RUN = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
