@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by several shifted Hilbert orderings.
 
 Each curve projects the vectors on its own random directions, shifts them, and orders them by the place of
-their cell on a Hilbert curve. The order is cut into equal ranges by quantiles of the keys of all rows; a
+their cell on a Hilbert curve. The order is cut into equal ranges by quantiles of the keys of all distinct vectors; a
 query looks through its own range and its neighbours on either side, the windows of all curves merge, and
 the candidates are ranked by their exact inner products. The largest-inner-product search becomes an angular
 one by a further component that fills every candidate up to the largest norm.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import kept, ready
+from stepforge.llm.common import kept, mixed, ready, seeded
 from stepforge.llm.vectors import matrix, usable
 
 #: Curves, projected dimensions and bits of each; ranges of an ordering, and those looked through on either side.
@@ -73,31 +73,33 @@ def curve_keys(vectors: np.ndarray, fill: np.ndarray, curve: int) -> np.ndarray:
     return hilbert(np.minimum((at * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def _keyed(largest: float, every: int):
+def _keyed(largest: float | None):
+    """Keys on every curve: of candidates, filled up to the largest square norm, or of queries (None), which need no filling."""
+    seeds = seeded(CURVES, 43)
+
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, lists = np.asarray(b.column("vec_id")), b.column("vec")
+            lists, places = b.column("vec"), np.asarray(b.column("place")).astype(np.uint64)
             sizes = np.asarray(pa.compute.list_value_length(lists))
-            ties = (np.asarray(b.column("place")) * 40503 & ((1 << _TIE_BITS) - 1)).astype(np.int64)
-            keys = np.zeros((len(ids), 2 * CURVES), np.int64)
+            keys = np.zeros((len(sizes), CURVES), np.int64)
             for d in np.unique(sizes):
                 own = np.flatnonzero(sizes == d)
                 m = matrix(lists.take(pa.array(own)), np.float64)
-                fill = np.sqrt(np.maximum(largest - (m**2).sum(axis=1), 0))
-                asks = ids[own] % every == 0
+                fill = np.zeros(len(own)) if largest is None else np.sqrt(np.maximum(largest - (m**2).sum(axis=1), 0))
                 for c in range(CURVES):
-                    keys[own, c] = (curve_keys(m, fill, c) << _TIE_BITS) | ties[own]
-                    keys[own[asks], CURVES + c] = (curve_keys(m[asks], np.zeros(asks.sum()), c) << _TIE_BITS) | ties[own[asks]]
-            offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * 2 * CURVES)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("place"), lists, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["vec_id", "place", "vec", "keys"])
+                    # vectors of one cell lie in another order on every curve
+                    ties = (mixed(places[own] + seeds[c]) >> np.uint64(64 - _TIE_BITS)).astype(np.int64)
+                    keys[own, c] = (curve_keys(m, fill, c) << _TIE_BITS) | ties
+            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * CURVES)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=[*b.schema.names, "keys"])
 
     return key
 
 
 def _ranges(bounds: list[list[int]], reach: int):
-    """For each row its range on every curve; for queries the first range of the window as well."""
+    """For each row its range on every curve, or with a reach the first range of its window."""
     edges = [np.array(b, dtype=np.int64) for b in bounds]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,17 +108,17 @@ def _ranges(bounds: list[list[int]], reach: int):
                 continue
             keys = matrix(b.column("keys"), np.int64)
             at = np.stack([np.searchsorted(e, keys[:, c], side="left") for c, e in enumerate(edges)], axis=1)
-            asked = np.stack([np.searchsorted(e, keys[:, CURVES + c], side="left") for c, e in enumerate(edges)], axis=1)
-            last = len(edges[0]) + 1 - (2 * reach + 1)
-            first = np.clip(asked - reach, 0, max(0, last))
+            first = np.clip(at - reach, 0, max(0, len(edges[0]) - 2 * reach)) if reach else at
             offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * CURVES)
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32).ravel())) for x in (at, first)]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("place"), b.column("vec"), *lists], names=["vec_id", "place", "vec", "ranges", "firsts"])
+            ranges = pa.ListArray.from_arrays(offsets, pa.array(first.astype(np.int32).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("place"), b.column("vec"), ranges], names=["vec_id", "place", "vec", "ranges"])
 
     return find
 
 
 def _ranked(k: int):
+    """The k vectors of largest inner product with each query, ties to the smaller vec_id."""
+
     def rank(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if queries.num_rows and candidates.num_rows:
@@ -124,18 +126,15 @@ def _ranked(k: int):
             ids, places = np.asarray(candidates.column("vec_id")), np.asarray(candidates.column("place"))
             order = np.lexsort((places, ids))
             c, ids, places = c[order], ids[order], places[order]
-            qid, own = np.asarray(queries.column("vec_id")), np.asarray(queries.column("place"))
+            own = np.asarray(queries.column("place"))
             for a in range(0, len(q), 256):
-                scores = q[a : a + 256] @ c.T
-                scores[own[a : a + 256, None] == places[None, :]] = -np.inf
-                for i, row in enumerate(scores):
+                for i, row in enumerate(q[a : a + 256] @ c.T):
                     some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
                     some = some[np.argsort(-row[some], kind="stable")[:k]]
-                    some = some[row[some] > -np.inf]
                     n = len(some)
-                    out.append((np.full(n, own[a + i]), np.full(n, qid[a + i]), ids[some], places[some], np.einsum("ij,j->i", c[some], q[a + i])))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
-        return pa.table(dict(zip(("place", "query_id", "vec_id", "found", "score"), map(pa.array, columns), strict=True)))
+                    out.append((np.full(n, own[a + i]), ids[some], places[some], np.einsum("ij,j->i", c[some], q[a + i])))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table(dict(zip(("asked", "vec_id", "found", "score"), map(pa.array, columns), strict=True)))
 
     return rank
 
@@ -145,32 +144,49 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     Candidates are all rows but the query's own, nearest first, ties to the smaller vec_id; all candidates
     are returned if they are fewer and fall in the windows. Vectors that are null, empty, zero or hold null or non-finite
-    components, and rows without vec_id, take no part; vectors of different lengths are not compared. Of
-    rows with one vector only the k + 1 smallest ids can be among a query's nearest, so the others are
-    no candidates (they remain queries). Other columns are not read.
+    components, and rows without vec_id, take no part; vectors of different lengths are not compared. Rows
+    with one vector stand on the curves once, with the k + 1 smallest ids (no others can be among anyone's
+    nearest), and are looked up once. Other columns are not read.
     """
     spark = ready(vectors.sparkSession)
     v = F.col("vec")
     named = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec"))
     rows = kept(named.filter(usable(v) & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull()).withColumn("place", F.monotonically_increasing_id()), "ann-rows")
     square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
-    total, asks, largest = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.max(square), F.lit(0.0))).first()
-    keyed = kept(rows.mapInArrow(_keyed(float(largest), every), "vec_id long, place long, vec array<double>, keys array<long>"), "ann-keys")
-    # ties of one vector: beyond its k + 1 smallest ids no row can be among anyone's k nearest
+    largest = rows.agg(F.coalesce(F.max(square), F.lit(0.0))).first()[0]
     tie = F.row_number().over(Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("vec_id", "place"))
+    first = rows.withColumn("tie", tie).filter(F.col("tie") <= k + 1)
+    once = first.groupBy("vec").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "place"))), 1, k + 1).alias("own"))
+    once = once.select(F.col("own")[0]["vec_id"].alias("vec_id"), F.col("own")[0]["place"].alias("place"), "vec", "own")
+    own = "own array<struct<vec_id:long,place:long>>"
+    keyed = kept(once.mapInArrow(_keyed(float(largest)), f"vec_id long, place long, vec array<double>, {own}, keys array<long>"), "ann-keys")
+    queries = rows.filter(F.col("vec_id") % every == 0)
+    asked = queries.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.min("place").alias("place")).select("vec_id", "place", "vec")
+    asked = kept(asked.mapInArrow(_keyed(None), "vec_id long, place long, vec array<double>, keys array<long>"), "ann-asked")
+    total, asks = keyed.count(), asked.count()
     finer = max(1, -(-total // (RANGES * RANGE_ROWS)))
     ranges = RANGES * finer
     reach = REACH * finer + (finer - 1) // 2
     shares = [i / ranges for i in range(1, ranges)]
     bounds = keyed.agg(*[F.percentile_approx(F.col("keys")[c], shares, 100 * ranges).alias(f"b{c}") for c in range(CURVES)]).first() if total else [[0] * (ranges - 1)] * CURVES
-    ranged = kept(keyed.mapInArrow(_ranges([list(b) for b in bounds], reach), "vec_id long, place long, vec array<double>, ranges array<int>, firsts array<int>"), "ann-ranges")
+    bounds = [list(b) for b in bounds]
+    ranged = "vec_id long, place long, vec array<double>, ranges array<int>"
     chunks = max(1, -(-asks * (2 * reach + 1) // (ranges * QUERY_ROWS)))
-    candidates = ranged.withColumn("tie", tie).filter(F.col("tie") <= k + 1).select("vec_id", "place", "vec", F.size("vec").alias("dim"), F.posexplode("ranges").alias("curve", "range"))
+    candidates = keyed.mapInArrow(_ranges(bounds, 0), ranged).select("vec_id", "place", "vec", F.size("vec").alias("dim"), F.posexplode("ranges").alias("curve", "range"))
     candidates = candidates.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    queries = ranged.filter(F.col("vec_id") % every == 0).select("vec_id", "place", "vec", F.size("vec").alias("dim"), F.posexplode("firsts").alias("curve", "first"))
-    queries = queries.withColumn("range", F.explode(F.sequence(F.col("first"), F.col("first") + min(2 * reach, ranges - 1)))).withColumn("chunk", F.pmod(F.xxhash64("place"), F.lit(chunks)).cast("int"))
+    windows = asked.mapInArrow(_ranges(bounds, reach), ranged).select("place", "vec", F.size("vec").alias("dim"), F.posexplode("ranges").alias("curve", "first"))
+    windows = windows.withColumn("range", F.explode(F.sequence(F.col("first"), F.col("first") + min(2 * reach, ranges - 1)))).withColumn("chunk", F.pmod(F.xxhash64("place"), F.lit(chunks)).cast("int"))
     keys = ["dim", "curve", "range", "chunk"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_ranked(k), "place long, query_id long, vec_id long, found long, score double")
-    merged = found.groupBy("place", "query_id", "vec_id", "found").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "vec_id", "found"))
-    return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # of k + 1 vectors one may stand for the query's own row alone
+    found = windows.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_ranked(k + 1), "asked long, vec_id long, found long, score double")
+    merged = found.groupBy("asked", "vec_id", "found").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "found"))
+    merged = merged.withColumn("n", rank).filter(F.col("n") <= k + 1).select("asked", "found", "score")
+    copies = merged.join(keyed.select(F.col("place").alias("found"), "own"), "found").select("asked", "score", F.inline("own"))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "place"))
+    copies = copies.withColumn("n", rank).filter(F.col("n") <= k + 1)
+    answers = copies.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "place", "score"))).alias("answers"))
+    of = queries.select(F.col("vec_id").alias("query_id"), "place", "vec").join(asked.select("vec", F.col("place").alias("asked")), "vec")
+    others = F.slice(F.filter("answers", lambda x: x["place"] != F.col("place")), 1, k)
+    out = of.drop("vec").join(answers, "asked").select("query_id", F.posexplode(others).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")

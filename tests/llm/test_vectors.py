@@ -74,6 +74,26 @@ def test_nearest_odd(spark):
     assert neighbours.nearest(frame.limit(0)).collect() == []
 
 
+def test_nearest_with_a_hot_vector(spark):
+    """A third of the rows is one vector: queries among them find its smallest ids, and the others lose no recall."""
+    rng = np.random.default_rng(7)
+    one, *others = rng.normal(size=(4001, 16))
+    rows = [(i, one if i % 3 == 0 else others[2 * (i // 3) + i % 3 - 1]) for i in range(6000)]
+    rows = [(i, (v / np.sqrt(v @ v)).tolist()) for i, v in rows]
+    vectors = np.array([v for _, v in rows])
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    recall = []
+    for q in range(0, 6000, 100):
+        if q % 3 == 0:
+            assert [got[q][n] for n in range(1, 21)] == [i for i in range(0, 63, 3) if i != q][:20]
+        scores = np.where(np.arange(6000) == q, -np.inf, (vectors @ vectors[q]).round(12))
+        want = np.lexsort((np.arange(6000), -scores))[:20]
+        recall.append(len(set(want.tolist()) & set(got[q].values())) / 20)
+    assert len(got) == 60 and np.mean(recall) >= 0.9
+
+
 def test_hilbert_is_a_walk():
     """Neighbours on the curve differ by one step on one axis, and every cell is met once."""
     for d, bits in ((2, 3), (3, 2)):
