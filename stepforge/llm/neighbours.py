@@ -7,7 +7,8 @@ the candidates are ranked by their exact inner products. The largest-inner-produ
 one by a further component that fills every candidate up to the largest norm.
 
 The share of the rows that a window covers is a parameter, not a number of rows: the recall then holds at
-every size, and the work grows with the square of the rows (a fixed part of comparing all).
+every size, and the work grows with the square of the rows (a fixed part of comparing all). Each vector length
+has ranges of its own; where a range would hold too few vectors, all of that length are compared.
 """
 
 from __future__ import annotations
@@ -98,19 +99,34 @@ def _keyed(largest: float | None):
     return key
 
 
-def _ranges(bounds: list[list[int]], reach: int):
-    """For each row its range on every curve, or with a reach the first range of its window."""
-    edges = [np.array(b, dtype=np.int64) for b in bounds]
+def _divisions(rows: int, k: int) -> tuple[int, int]:
+    """Ranges of an ordering of so many vectors, and how many are looked through on either side.
+
+    A range holds k + 1 vectors at least; where there are too few for that, one range holds them all."""
+    if rows < RANGES * (k + 1):
+        return 1, 0
+    finer = max(1, -(-rows // (RANGES * RANGE_ROWS)))
+    return RANGES * finer, REACH * finer + (finer - 1) // 2
+
+
+def _ranges(bounds: dict[int, list[list[int]]], reaches: dict[int, int], asking: bool):
+    """For each row its range on every curve, or for queries the first and last of its window; vectors of a length without bounds have one range on one curve."""
+    edges = {d: [np.array(x, dtype=np.int64) for x in b] for d, b in bounds.items()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = matrix(b.column("keys"), np.int64)
-            at = np.stack([np.searchsorted(e, keys[:, c], side="left") for c, e in enumerate(edges)], axis=1)
-            first = np.clip(at - reach, 0, max(0, len(edges[0]) - 2 * reach)) if reach else at
-            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * CURVES)
-            ranges = pa.ListArray.from_arrays(offsets, pa.array(first.astype(np.int32).ravel()))
+            keys, sizes = matrix(b.column("keys"), np.int64), np.asarray(pa.compute.list_value_length(b.column("vec")))
+            windows: list[list[dict[str, int]]] = [[{"first": 0, "last": 0}]] * len(keys)
+            for d in edges.keys() & set(sizes.tolist()):
+                own = np.flatnonzero(sizes == d)
+                at = np.stack([np.searchsorted(e, keys[own, c], side="left") for c, e in enumerate(edges[d])], axis=1)
+                wide = 2 * reaches[d] if asking else 0
+                first = np.clip(at - wide // 2, 0, len(edges[d][0]) - wide)
+                for i, row in zip(own.tolist(), first.tolist(), strict=True):
+                    windows[i] = [{"first": x, "last": x + wide} for x in row]
+            ranges = pa.array(windows, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("place"), b.column("vec"), ranges], names=["vec_id", "place", "vec", "ranges"])
 
     return find
@@ -143,7 +159,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for queries with vec_id divisible by every, the k nearest found by inner product.
 
     Candidates are all rows but the query's own, nearest first, ties to the smaller vec_id; all candidates
-    are returned if they are fewer and fall in the windows. Vectors that are null, empty, zero or hold null or non-finite
+    are returned if they are fewer. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows without vec_id, take no part; vectors of different lengths are not compared. Rows
     with one vector stand on the curves once, with the k + 1 smallest ids (no others can be among anyone's
     nearest), and are looked up once. Other columns are not read.
@@ -163,19 +179,22 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     queries = rows.filter(F.col("vec_id") % every == 0)
     asked = queries.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.min("place").alias("place")).select("vec_id", "place", "vec")
     asked = kept(asked.mapInArrow(_keyed(None), "vec_id long, place long, vec array<double>, keys array<long>"), "ann-asked")
-    total, asks = keyed.count(), asked.count()
-    finer = max(1, -(-total // (RANGES * RANGE_ROWS)))
-    ranges = RANGES * finer
-    reach = REACH * finer + (finer - 1) // 2
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = keyed.agg(*[F.percentile_approx(F.col("keys")[c], shares, 100 * ranges).alias(f"b{c}") for c in range(CURVES)]).first() if total else [[0] * (ranges - 1)] * CURVES
-    bounds = [list(b) for b in bounds]
-    ranged = "vec_id long, place long, vec array<double>, ranges array<int>"
-    chunks = max(1, -(-asks * (2 * reach + 1) // (ranges * QUERY_ROWS)))
-    candidates = keyed.mapInArrow(_ranges(bounds, 0), ranged).select("vec_id", "place", "vec", F.size("vec").alias("dim"), F.posexplode("ranges").alias("curve", "range"))
-    candidates = candidates.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    windows = asked.mapInArrow(_ranges(bounds, reach), ranged).select("place", "vec", F.size("vec").alias("dim"), F.posexplode("ranges").alias("curve", "first"))
-    windows = windows.withColumn("range", F.explode(F.sequence(F.col("first"), F.col("first") + min(2 * reach, ranges - 1)))).withColumn("chunk", F.pmod(F.xxhash64("place"), F.lit(chunks)).cast("int"))
+    dim = F.size("vec").alias("dim")
+    plans = {r.dim: _divisions(r.n, k) for r in keyed.groupBy(dim).agg(F.count("*").alias("n")).collect()}
+    asks = {r.dim: r.n for r in asked.groupBy(dim).agg(F.count("*").alias("n")).collect()}
+    bounds: dict[int, list[list[int]]] = {}
+    for ranges in {n for n, _ in plans.values() if n > 1}:
+        shares = [i / ranges for i in range(1, ranges)]
+        own = keyed.filter(F.size("vec").isin([d for d, (n, _) in plans.items() if n == ranges])).groupBy(dim)
+        for r in own.agg(*[F.percentile_approx(F.col("keys")[c], shares, 100 * ranges).alias(f"b{c}") for c in range(CURVES)]).collect():
+            bounds[r.dim] = [list(b) for b in r[1:]]
+    reaches = {d: reach for d, (_, reach) in plans.items()}
+    chunks = max([1, *(-(-n * (2 * reaches[d] + 1) // (plans[d][0] * QUERY_ROWS)) for d, n in asks.items())])
+    ranged = "vec_id long, place long, vec array<double>, ranges array<struct<first:int,last:int>>"
+    candidates = keyed.select("vec_id", "place", "vec", "keys").mapInArrow(_ranges(bounds, reaches, False), ranged).select("vec_id", "place", "vec", dim, F.posexplode("ranges").alias("curve", "at"))
+    candidates = candidates.withColumn("range", F.col("at.first")).drop("at").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    windows = asked.mapInArrow(_ranges(bounds, reaches, True), ranged).select("place", "vec", dim, F.posexplode("ranges").alias("curve", "at"))
+    windows = windows.withColumn("range", F.explode(F.sequence("at.first", "at.last"))).drop("at").withColumn("chunk", F.pmod(F.xxhash64("place"), F.lit(chunks)).cast("int"))
     keys = ["dim", "curve", "range", "chunk"]
     # of k + 1 vectors one may stand for the query's own row alone
     found = windows.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_ranked(k + 1), "asked long, vec_id long, found long, score double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stepforge.llm import neighbours, topk
 
@@ -94,6 +95,18 @@ def test_nearest_with_a_hot_vector(spark):
     assert len(got) == 60 and np.mean(recall) >= 0.9
 
 
+def test_nearest_few(spark):
+    """All candidates are found where there are few of a length, also beside many of another length."""
+    rng = np.random.default_rng(9)
+    many = [(1000 + i, rng.normal(size=6).tolist()) for i in range(2000)]
+    for n, beside in ((3, []), (10, []), (21, []), (10, many)):
+        rows = [(i, rng.normal(size=8).tolist()) for i in range(n)]
+        frame = spark.createDataFrame(rows + beside, "vec_id long, embedding array<double>")
+        got = neighbours.nearest(frame.withColumn("vec_id", F.expr("if(vec_id < 1000, vec_id * 20, vec_id * 20 + 1)"))).collect()
+        want = [(20 * i, r, 20 * j) for i, r, j, _ in brute(usable(rows, False), 1, 20)]
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(want)
+
+
 def test_hilbert_is_a_walk():
     """Neighbours on the curve differ by one step on one axis, and every cell is met once."""
     for d, bits in ((2, 3), (3, 2)):
