@@ -19,10 +19,11 @@ from stepforge.llm.common import mixed, ready, seeded, text_slices
 from stepforge.llm.samples import bounded, remainder
 
 #: Rows of a language that the fit sees at most, centroids of each, hashed dimensions (a power of two), n-gram lengths.
-SAMPLE, CENTROIDS, DIM_BITS, GRAMS = 500, 3, 12, (2, 3)
-#: A text is rejected if its cosine is below this part of the cosine that FIT_SHARE of the sample's rows exceed; of texts
-#: with fewer n-grams than FULL the cosine is small by itself, and the part is less by the root of their share.
-REJECT_PART, FIT_SHARE, FULL = 0.25, 0.99, 400
+SAMPLE, CENTROIDS, DIM_BITS, GRAMS = 500, 3, 16, (2, 3)
+#: A text is rejected if its cosine is below this part of the cosine that FIT_SHARE of the sample's rows exceed, each against
+#: centroids of the other half of the sample. Of texts with fewer n-grams than FULL the cosine is small by itself: it counts
+#: as divided by the root of their share.
+REJECT_PART, FIT_SHARE, FULL = 0.45, 0.99, 400
 #: The language of texts without a letter.
 UNDETERMINED = "und"
 
@@ -40,8 +41,22 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
     return flags
 
 
-def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of hashed n-grams (a row per text), and whether each text has a letter. Runs of other characters count as one space."""
+@dataclass
+class Counts:
+    """Counts n of hashed n-grams, those above 0 alone: the text of each, in order, and its cell."""
+
+    texts: int
+    owner: np.ndarray
+    cell: np.ndarray
+    n: np.ndarray
+
+    def scale(self) -> np.ndarray:
+        """For each text the root of the share of FULL n-grams that it has, 1 at most."""
+        return np.sqrt(np.minimum(np.bincount(self.owner, weights=self.n, minlength=self.texts) / FULL, 1))
+
+
+def gram_counts(texts: list[str | None]) -> tuple[Counts, np.ndarray]:
+    """Counts of hashed n-grams, and whether each text has a letter. Runs of other characters count as one space."""
     lower = [(t or "").lower() for t in texts]
     codes = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     owner = np.repeat(np.arange(len(lower)), [len(t) + 1 for t in lower])
@@ -59,8 +74,8 @@ def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         bucket = (mixed(key) >> np.uint64(64 - DIM_BITS)).astype(np.int64)
         fits = owner[:m] == owner[n - 1 :]
         cells.append((owner[:m] * _DIM + bucket)[fits])
-    counts = np.bincount(np.concatenate(cells) if cells else np.zeros(0, np.int64), minlength=len(lower) * _DIM)
-    return counts.reshape(len(lower), _DIM), np.bincount(owner[letter], minlength=len(lower)) > 0
+    at, n = np.unique(np.concatenate(cells) if cells else np.zeros(0, np.int64), return_counts=True)
+    return Counts(len(lower), at >> DIM_BITS, at & (_DIM - 1), n), np.bincount(owner[letter], minlength=len(lower)) > 0
 
 
 @dataclass
@@ -69,17 +84,20 @@ class Centroids:
     idf: np.ndarray
     centers: np.ndarray  # a row per centroid
     owner: np.ndarray  # the language of each centroid
-    floors: np.ndarray  # the least accepted cosine of each language
-
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts).astype(np.float32) * self.idf
-        return v / np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-12)
-
-    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language number and cosine of each row of counts."""
-        near = self.vectors(counts) @ self.centers.T
+    floors: np.ndarray  # the least accepted cosine of each language, for texts of FULL n-grams
+
+    def weights(self, counts: Counts) -> np.ndarray:
+        """Of each count, its component of the text's vector of length 1."""
+        w = np.log1p(counts.n) * self.idf[counts.cell]
+        norm = np.sqrt(np.bincount(counts.owner, weights=w**2, minlength=counts.texts))
+        return (w / np.maximum(norm, 1e-12)[counts.owner]).astype(np.float32)
+
+    def nearest(self, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+        """Language number and cosine of each text."""
+        w = self.weights(counts)
+        near = np.stack([np.bincount(counts.owner, weights=w * c[counts.cell], minlength=counts.texts) for c in self.centers], axis=1)
         best = near.argmax(axis=1)
-        return self.owner[best], np.clip(near[np.arange(len(near)), best], 0, 1).astype(np.float64)
+        return self.owner[best], np.clip(near[np.arange(len(near)), best], 0, 1)
 
 
 def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -94,30 +112,37 @@ def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
-def fitted(rows: list[tuple[str, np.ndarray]]) -> Centroids | None:
-    """From (language, counts) of the sample; None without rows."""
+def fitted(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Centroids | None:
+    """From (language, cells, counts) of the sample; None without rows."""
     if not rows:
         return None
-    languages = sorted({lang for lang, _ in rows})
-    counts = np.stack([c for _, c in rows])
-    of = np.array([languages.index(lang) for lang, _ in rows])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
+    languages = sorted({lang for lang, *_ in rows})
+    present = np.zeros(_DIM)
+    for _, cells, _ in rows:
+        present[cells] += 1
+    idf = np.log((1 + len(rows)) / (1 + present)).astype(np.float32) + 1
     model = Centroids(languages, idf, np.zeros((0, _DIM), np.float32), np.zeros(0, np.int64), np.zeros(len(languages)))
-    v = model.vectors(counts)
-    for i in range(len(languages)):
-        own = v[of == i]
-        centers = _clusters(own, CENTROIDS).astype(np.float32)
+    for i, lang in enumerate(languages):
+        own = [(cells, n) for name, cells, n in rows if name == lang]
+        counts = Counts(len(own), np.repeat(np.arange(len(own)), [len(c) for c, _ in own]), np.concatenate([c for c, _ in own]), np.concatenate([n for _, n in own]))
+        v = np.zeros((len(own), _DIM), np.float32)  # of one language at a time
+        v[counts.owner, counts.cell] = model.weights(counts)
+        centers = _clusters(v, CENTROIDS).astype(np.float32)
         model.centers = np.vstack([model.centers, centers])
         model.owner = np.append(model.owner, np.full(len(centers), i))
-        model.floors[i] = REJECT_PART * float(np.quantile((own @ centers.T).max(axis=1), 1 - FIT_SHARE))
+        near = np.zeros(len(own))
+        for half in (0, 1):
+            if len(own) > 1:
+                near[half::2] = (v[half::2] @ _clusters(v[1 - half :: 2], CENTROIDS).T).max(axis=1)
+        model.floors[i] = REJECT_PART * float(np.quantile(near / np.maximum(counts.scale(), 1e-12), 1 - FIT_SHARE))
     return model
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, rows=512):
         counts, has = gram_counts(part.column("text").to_pylist())
-        at = [np.flatnonzero(c) for c in counts]
-        lists = [pa.array(x, type=pa.list_(pa.int32())) for x in (at, [c[i] for c, i in zip(counts, at, strict=True)])]
+        ends = np.searchsorted(counts.owner, np.arange(counts.texts + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (counts.cell, counts.n)]
         yield pa.RecordBatch.from_arrays([part.column("lang"), *lists], names=["lang", "at", "n"]).filter(pa.array(has))
 
 
@@ -128,9 +153,7 @@ def fit(docs: DataFrame) -> Centroids | None:
     sample = bounded(docs, learn, "lang", SAMPLE).select("lang", "text")
     rows = []
     for r in sample.mapInArrow(_sample_counts, "lang string, at array<int>, n array<int>").orderBy("lang", F.xxhash64("at", "n")).toLocalIterator():
-        counts = np.zeros(_DIM, dtype=np.int32)
-        counts[r.at] = r.n
-        rows.append((r.lang, counts))
+        rows.append((r.lang, np.array(r.at, dtype=np.int32), np.array(r.n, dtype=np.int32)))
     return fitted(rows)
 
 
@@ -144,7 +167,7 @@ def _predicted(model: Centroids | None):
                 at, score = model.nearest(counts)
                 lang = [model.languages[i] if h else UNDETERMINED for i, h in zip(at, has, strict=True)]
                 score = np.where(has, score, 0.0)
-                rejected = ~has | (score < model.floors[at] * np.sqrt(np.minimum(counts.sum(axis=1) / FULL, 1)))
+                rejected = ~has | (score < model.floors[at] * counts.scale())
             columns = [part.column("row"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score", "rejected"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -295,6 +296,24 @@ def test_language(documents, odd, none):
     assert language.language_digest(none).collect() == []
 
 
+def test_language_rejects(spark, documents):
+    """Texts of no learned language go, short and long ones; all of the documents stay."""
+    rng = random.Random(5)
+    foreign = {
+        "fi": "Suomen kieli kuuluu uralilaisiin kieliin ja sitä puhuu noin viisi miljoonaa ihmistä pääasiassa Suomessa. Talvella järvet jäätyvät ja lumi peittää metsät. ",
+        "tr": "Türkçe, Türkiye'de ve komşu ülkelerde yaşayan milyonlarca insanın konuştuğu bir dildir. Bugün hava çok güzel, çocuklar sokakta oynuyor. ",
+        "ru": "Русский язык относится к восточной группе славянских языков и является одним из самых распространённых языков мира. ",
+        "zh": "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000)),
+        "consonants": "".join(rng.choice("bcdfghjklmnpqrstvwxz    ") for _ in range(20_000)),
+        "base64": "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(20_000)),
+    }
+    rows = [(f"{name} {n}", (text * (n // len(text) + 1))[:n]) for name, text in foreign.items() for n in (100, 400, 4_000, 20_000)]
+    model = language.fit(documents)
+    got = language.identified(spark.createDataFrame(rows, "name string, text string"), model).filter("not rejected").collect()
+    assert [(r.row.name, r.score) for r in got] == []
+    assert language.identified(documents, model).filter("rejected and row.text rlike '[a-z]'").count() == 0
+
+
 def test_language_without_labels(spark):
     rows = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.rejected) for r in language.language_digest(rows).collect()] == [("und", True)]
