@@ -1,9 +1,9 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
 Patterns find emails, addresses, cards and phone numbers in whole texts. Every distinct value found is a
-protected entity. The terms around its mentions are counted over the corpus: how many documents have the term
-near the entity, and how many have the term at all. A term that at least SUPPORT documents have near one
-entity, and whose presence makes that entity likely (the disclosure P(entity | term)) and far likelier than it
+protected entity. The terms of the documents that mention it are counted over the corpus: how many documents
+have both the term and the entity, and how many have the term at all. A term that at least SUPPORT documents have
+beside one entity, and whose presence makes that entity likely (the disclosure P(entity | term)) and far likelier than it
 is by itself (the gain in bits), is sensitive wherever it stands: it is generalised, or removed where it
 all but names the entity.
 """
@@ -23,16 +23,14 @@ from stepforge.llm.common import among, kept, likely, member_bits, ready, text_s
 from stepforge.llm.words import joined, runs, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
-#: Terms on either side of a mention that count as near; documents that must have a term near one entity.
-WINDOW, SUPPORT = 8, 3
+#: Documents that must have both a term and one entity.
+SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed; the least gain in bits.
 DISCLOSURE, REMOVED, BITS = 0.5, 0.9, 6.0
 #: Bits (as a power of two) of the filter that keeps most terms of no interest from being shuffled; it loses none of the others.
 FILTER_BITS = 23
 #: Terms that a task holds counts of before it hands them on.
 HELD_TERMS = 1_000_000
-#: Bytes of a term at least.
-SHORTEST = 4
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -93,47 +91,80 @@ def _entity(text: str, span: tuple[int, int, int]) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _is_term(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    first = data[starts]
-    return (ends - starts >= SHORTEST) & ((first < 48) | (first > 57))
-
-
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
-    """(term, entity) for the terms within WINDOW terms of a mention, other than those inside mentions."""
+def terms_beside(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Distinct terms of the text, other than those that stand inside mentions alone."""
     data, _ = joined([text])
     starts, ends = runs(data, terms=True)
-    hashes, fine = word_hashes(data, starts, ends).view(np.int64), _is_term(data, starts, ends)
+    hashes = word_hashes(data, starts, ends).view(np.int64)
     places = np.array([m.span() for m in _TERM.finditer(text)], dtype=np.int64).reshape(-1, 2)
     inside = np.zeros(len(places), dtype=bool)
     for _, a, b in spans:
-        inside |= (places[:, 0] < b) & (places[:, 1] > a)
-    out: set[tuple[int, int]] = set()
-    for span in spans:
-        entity = _entity(text, span)
-        left, right = np.searchsorted(places[:, 1], span[1], side="right"), np.searchsorted(places[:, 0], span[2])
-        for k in [*range(max(0, left - WINDOW), left), *range(right, min(len(places), right + WINDOW))]:
-            if fine[k] and not inside[k]:
-                out.add((int(hashes[k]), entity))
-    return out
+        inside[np.searchsorted(places[:, 1], a, side="right") : np.searchsorted(places[:, 0], b)] = True
+    return np.unique(hashes[~inside])
 
 
 _SPAN = "array<struct<kind:int,start:int,stop:int>>"
-_FOUND = f"doc_id long, row_key long, spans {_SPAN}, pairs array<struct<term:long,entity:long>>, entities array<long>"
+_FOUND = f"doc_id long, row_key long, spans {_SPAN}, entities array<long>"
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
-    pair_type = pa.list_(pa.struct([("term", pa.int64()), ("entity", pa.int64())]))
     for part in text_slices(batches):
-        spans, pairs, entities = [], [], []
+        spans, entities = [], []
         for text in part.column("text").to_pylist():
             text = text or ""
             own = base_spans(text)
             spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in own])
-            pairs.append([{"term": t, "entity": e} for t, e in sorted(near_terms(text, own))] if own else [])
             entities.append(sorted({_entity(text, s) for s in own}))
-        columns = [part.column("doc_id"), part.column("row_key"), pa.array(spans, span_type), pa.array(pairs, pair_type), pa.array(entities, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "spans", "pairs", "entities"])
+        columns = [part.column("doc_id"), part.column("row_key"), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "spans", "entities"])
+
+
+def _paired(bits: np.ndarray):
+    """term, entity, n: documents that have both, of entities that pass the filter; without entity, those that have the term and any of these."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def settled() -> None:
+            nonlocal keys, n, held, size
+            rows = np.concatenate([keys, *held])
+            counts = np.concatenate([n, np.ones(len(rows) - len(keys), np.int64)])
+            order = np.lexsort(rows.T)
+            rows, counts = rows[order], counts[order]
+            new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+            keys, n = rows[new], np.add.reduceat(counts, new) if len(new) else counts
+            held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1], mask=keys[:, 2] == 0), pa.array(n)], names=["term", "entity", "n"])
+
+        for part in text_slices(batches):
+            for text in part.column("text").to_pylist():
+                text = text or ""
+                own = base_spans(text)
+                entities = np.array(sorted({_entity(text, s) for s in own}), dtype=np.int64)
+                # the bits are of the entities' hashes as they are
+                entities = entities[among(bits, entities)] if len(entities) else entities
+                if not len(entities):
+                    continue
+                terms = terms_beside(text, own)
+                held.append(np.column_stack([terms, np.zeros((len(terms), 2), np.int64)]))
+                size += len(terms)
+                for e in entities:
+                    held.append(np.column_stack([terms, np.full(len(terms), e), np.ones(len(terms), np.int64)]))
+                    size += len(terms)
+                    if size > HELD_TERMS // 2:
+                        settled()
+                        if len(keys) > HELD_TERMS // 2:
+                            yield out()
+                            keys, n = keys[:0], n[:0]
+        settled()
+        yield out()
+
+    return pair
 
 
 _HIT = "doc_id long, row_key long, term long, start int, stop int"
@@ -144,7 +175,7 @@ def _present(part: pa.RecordBatch, bits: np.ndarray) -> tuple[np.ndarray, ...]:
     data, bounds = joined(part.column("text").to_pylist())
     starts, ends = runs(data, terms=True)
     hashes = word_hashes(data, starts, ends)
-    take = np.flatnonzero(among(bits, hashes) & _is_term(data, starts, ends))
+    take = np.flatnonzero(among(bits, hashes))
     owner = np.searchsorted(bounds, starts[take], side="right") - 1
     return owner, hashes[take], starts[take], ends[take], data, bounds
 
@@ -194,14 +225,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
 
 
-def near_counts(found: DataFrame) -> DataFrame:
-    """term, entity, n_near for terms that SUPPORT documents have near one entity, and that could reach the disclosure.
+def near_counts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """term, entity, n_near for terms that SUPPORT documents have beside one entity, and that could reach the disclosure.
 
-    A term is in at least as many documents as have it near any entity; where even these are too many, the
-    corpus need not be asked."""
-    pairs = found.select(F.explode("pairs").alias("p")).select("p.term", "p.entity")
-    near = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= SUPPORT)
-    any_ = found.select(F.explode(F.array_distinct("pairs.term")).alias("term")).groupBy("term").agg(F.count("*").alias("n_any"))
+    Only entities of as many documents come into question. A term is in at least as many documents as have it
+    beside any of these; where even these are too many, the corpus need not be asked."""
+    of = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
+    often = kept(of.filter(F.col("n") >= SUPPORT).select("entity"), "private-often")
+    bits = member_bits(often, "entity", FILTER_BITS)
+    pairs = rows.select("text").mapInArrow(_paired(bits), "term long, entity long, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
+    pairs = kept(pairs.filter(F.col("n") >= SUPPORT), "private-pairs")
+    near = pairs.filter("entity is not null").join(often, "entity", "left_semi").withColumnRenamed("n", "n_near")
+    any_ = pairs.filter("entity is null").select("term", F.col("n").alias("n_any"))
     return near.join(any_, "term").filter(F.col("n_near") >= DISCLOSURE * F.col("n_any")).select("term", "entity", "n_near")
 
 
@@ -226,7 +261,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
     ready(docs.sparkSession)
     rows = _keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     found = kept(rows.mapInArrow(_found, _FOUND), "private-found")
-    near = kept(near_counts(found), "private-near")
+    near = kept(near_counts(rows, found), "private-near")
     term_type = "array<struct<start:int,stop:int,removed:boolean>>"
     base = found.select("doc_id", "row_key", "spans")
     bare = base.withColumn("terms", F.array().cast(term_type))

@@ -282,6 +282,17 @@ def test_revealing_terms(spark):
     assert clean.filter("doc_id = 400").first().text == "only [TERM] é [TERM] here"
 
 
+def test_revealing_terms_far_away(spark):
+    """Terms count wherever they stand in a document, near in some and far in others, also short and digit-led ones."""
+    far = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, f"zanzibar Li 4711x {'' if i < 2 else far} mail joe@site.example.com") for i in range(6)]
+    rows += [(i, f"mail {far} of others") for i in range(6, 600)]
+    rows += [(600, "Li met zanzibar at 4711x of mail")]
+    got = {r.doc_id: r.spans for r in personal_data.private_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[600] == "term:0:2,term:7:15,term:19:24"
+    assert got[5].endswith(",term:0:8,term:9:11,term:12:17") and got[6] == ""
+
+
 def test_language(documents, odd, none):
     got = {r.doc_id: r for r in language.language_digest(documents).collect()}
     truth = {r.doc_id: r for r in documents.collect()}
