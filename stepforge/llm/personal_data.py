@@ -4,7 +4,7 @@ Patterns find emails, addresses, cards and phone numbers in whole texts. Every d
 protected entity. The terms of the documents that mention it are counted over the corpus: how many documents
 have both the term and the entity, and how many have the term at all. A term that at least SUPPORT documents have
 beside one entity, and whose presence makes that entity likely (the disclosure P(entity | term)) and far likelier than it
-is by itself (the gain in bits), is sensitive wherever it stands: it is generalised, or removed where it
+is by itself (the gain in bits; for frequent entities a part of the gain they can reach), is sensitive wherever it stands: it is generalised, or removed where it
 all but names the entity.
 """
 
@@ -27,6 +27,9 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed; the least gain in bits.
 DISCLOSURE, REMOVED, BITS = 0.5, 0.9, 6.0
+#: The gain is at most -log2 P(entity), which frequent entities have less of than BITS: there this part of it is enough, if all
+#: documents with the term together give so many bits of evidence (their number by the divergence of P(entity | term) from P(entity)).
+GAIN_PART, EVIDENCE = 0.75, SUPPORT * BITS
 #: Bits (as a power of two) of the filter that keeps most terms of no interest from being shuffled; it loses none of the others.
 FILTER_BITS = 23
 #: Terms that a task holds counts of before it hands them on.
@@ -246,8 +249,11 @@ def sensitive_terms(found: DataFrame, in_docs: DataFrame, near: DataFrame) -> Da
     in_docs = in_docs.groupBy("term").agg(F.sum("n").alias("n_term"))
     of = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     share = F.col("n_near") / F.col("n_term")
-    bits = F.log2(share / (F.col("n_entity") / F.lit(float(max(total, 1)))))
-    over = near.join(in_docs, "term").join(of, "entity").filter((share >= DISCLOSURE) & (bits >= BITS))
+    alone = F.col("n_entity") / F.lit(float(max(total, 1)))
+    bits = F.log2(share / alone)
+    rest = F.when((share < 1) & (alone < 1), (1 - share) * F.log2((1 - share) / (1 - alone))).otherwise(0.0)
+    frequent = (alone < 1) & (bits >= -GAIN_PART * F.log2(alone)) & (F.col("n_term") * (share * bits + rest) >= EVIDENCE)
+    over = near.join(in_docs, "term").join(of, "entity").filter((share >= DISCLOSURE) & ((bits >= BITS) | frequent))
     return over.groupBy("term").agg(F.max(share).alias("disclosure")).withColumn("removed", F.col("disclosure") >= REMOVED)
 
 

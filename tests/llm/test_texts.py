@@ -293,6 +293,18 @@ def test_revealing_terms_far_away(spark):
     assert got[5].endswith(",term:0:8,term:9:11,term:12:17") and got[6] == ""
 
 
+def test_revealing_terms_of_a_frequent_entity(spark):
+    """The contact address of a third of the documents, whose name gives it away; an entity of all documents tells nothing."""
+    rows = [(i, "common zanzibar writes joe@site.example.com" if i % 3 == 0 else f"common text {i}") for i in range(90)]
+    rows += [(90, "only zanzibar common")]
+    got = {r.doc_id: r.spans for r in personal_data.private_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[90] == "term:5:13" and got[1] == ""
+    assert got[0] == "email:23:43,term:7:15,term:16:22"
+    every = [(i, "common joe@site.example.com") for i in range(90)]
+    got = personal_data.private_digest(spark.createDataFrame(every, "doc_id long, text string")).collect()
+    assert {r.spans for r in got} == {"email:7:27"}
+
+
 def test_language(documents, odd, none):
     got = {r.doc_id: r for r in language.language_digest(documents).collect()}
     truth = {r.doc_id: r for r in documents.collect()}
