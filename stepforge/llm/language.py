@@ -24,6 +24,8 @@ SAMPLE, CENTROIDS, DIM_BITS, GRAMS = 500, 3, 16, (2, 3)
 #: centroids of the other half of the sample. Of texts with fewer n-grams than FULL the cosine is small by itself: it counts
 #: as divided by the root of their share.
 REJECT_PART, FIT_SHARE, FULL = 0.45, 0.99, 400
+#: UTF-8 bytes of text at a time: every n-gram of a slice takes some dozens of bytes.
+SLICE_BYTES = 1 << 18
 #: The language of texts without a letter.
 UNDETERMINED = "und"
 
@@ -139,7 +141,7 @@ def fitted(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Centroids | None:
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches, rows=512):
+    for part in text_slices(batches, limit=SLICE_BYTES, rows=128):
         counts, has = gram_counts(part.column("text").to_pylist())
         ends = np.searchsorted(counts.owner, np.arange(counts.texts + 1)).astype(np.int32)
         lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (counts.cell, counts.n)]
@@ -159,7 +161,7 @@ def fit(docs: DataFrame) -> Centroids | None:
 
 def _predicted(model: Centroids | None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, rows=512):
+        for part in text_slices(batches, limit=SLICE_BYTES, rows=128):
             counts, has = gram_counts(part.column("text").to_pylist())
             if model is None:
                 lang, score, rejected = [UNDETERMINED] * len(has), np.zeros(len(has)), np.ones(len(has), bool)
