@@ -1,210 +1,299 @@
 """Packing of token sequences: best-fit start, then swap-based local search over underfull bins.
 
-Documents become pieces of at most `capacity` tokens. Pieces are dealt into groups of bounded size; in a
-group they are placed best-fit, and then local search takes the least filled bin and moves its documents
-elsewhere, swaps one for one, or two for one, each step raising the sum of squared fills, until the bin is
-empty or no step is left. Bins that stay underfull go on to the next level, where groups of groups search
-again, so that in the end one group sees all that is left.
+Documents become pieces of at most `capacity` tokens. A packing depends on lengths alone, of which there are
+`capacity` at most, so it is planned for classes: pieces of one length are one class with a count, bins of
+the same content are one class with a count. The plan starts best-fit, longest pieces first. Local search then takes
+the least filled class of bins and moves its documents to fuller bins, exchanges one for one, or two for one, each
+step done for as many bins as both classes have and raising the sum of squared fills, until the bins are empty,
+no step is left, or no packing can have fewer bins. What the plan takes does not grow with the number of pieces. Pieces
+find their places by their rank among those of the same length.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.llm.common import kept, ready, text_slices
-from stepforge.llm.pretokens import REMEMBERED, SLICE, Memory, loaded, units
+from stepforge.llm.pretokens import REMEMBERED, SLICE, loaded, spread, units
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces of a group, groups that the next level joins, and the fill from which a bin is closed before the last level.
-GROUP, FAN_IN, CLOSED = 20_000, 16, 0.995
-
-_unit_ids: dict[str, Memory] = {}
+#: Pieces that one local search plans for.
+GROUP = 100_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECE}, sequence_id long, offset long"
 
+#: Lengths in a bin with how many there are of each.
+Content = dict[int, int]
+
 
-def slice_ids(path: str, texts: pa.Array) -> Iterator[np.ndarray]:
+def slice_ids(path: str, texts: pa.Array, remembered: int = REMEMBERED) -> Iterator[np.ndarray]:
     """The ids of each text in turn: distinct units are encoded once and gathered by code."""
-    pre, known = loaded(path, words=True), _unit_ids.setdefault(path, Memory(REMEMBERED))
+    known = loaded(path, words=True, most=remembered)
     offsets, codes, distinct = units(texts)
-    parts = known.values(distinct, pre.encoded)
-    lengths = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-    flat, begins = np.frombuffer(b"".join(parts), dtype="<u4"), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    rows = known.rows(distinct)
+    pre, n_pre = known.codes.taken(rows)
+    flat, n_ids = known.values.taken(pre)
+    owner = np.repeat(np.arange(len(distinct)), n_pre)
+    lengths = np.bincount(owner, weights=n_ids, minlength=len(distinct)).astype(np.int64)
+    begins = np.cumsum(lengths) - lengths
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         own = codes[a:b]
-        n = lengths[own]
-        ends = np.cumsum(n)
-        yield flat[np.repeat(begins[own] - ends + n, n) + np.arange(ends[-1])]
+        yield flat[spread(begins[own], lengths[own])]
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, remembered: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, limit=SLICE):
-            rows = []
-            for doc, ids in zip(part.column("doc_id").to_pylist(), slice_ids(path, part.column("text")), strict=True):
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for rows in text_slices(batches, limit=SLICE):
+            out = []
+            for doc, ids in zip(rows.column("doc_id").to_pylist(), slice_ids(path, rows.column("text"), remembered), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                rows += [(doc, k, s, len(p := ids[s : s + capacity]), zlib.crc32(p.tobytes())) for k, s in enumerate(range(0, len(ids), capacity))]
-            doc, k, s, n, crc = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                for k, s in enumerate(range(0, len(ids), capacity)):
+                    own = ids[s : s + capacity]
+                    out.append((doc, k, s, len(own), zlib.crc32(own.tobytes()), seen[len(own)]))
+                    seen[len(own)] += 1
+            doc, k, s, n, crc, nth = zip(*out, strict=True)
+            columns = [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (s, n, crc)), pa.array(np.full(len(k), part, np.int32)), pa.array(nth, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return cut
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """A row per piece: ids of the text by the word tokenizer at path, then end_id, cut after every capacity ids."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
+    """A row per piece: ids of the text by the word tokenizer at path, then end_id, cut after every capacity ids.
+
+    part and nth number the pieces: nth is the number of pieces of the same length before it in its part. A null
+    or empty text is the end id alone; repeated rows have pieces each, a null doc_id stays null."""
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path, capacity, end_id), PIECE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(path, capacity, end_id, remembered), f"{PIECE}, part int, nth long")
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Longest first, each into the fullest bin with room. A bit of `free` is set where a bin with that room exists."""
-    bins: list[list[int]] = []
-    by_room: dict[int, list[int]] = {}
+def best_fit(counts: Content, capacity: int) -> list[tuple[Content, int]]:
+    """Classes of bins: longest first, each piece into the fullest bin with room. A bit of `free` is set where bins with that room exist."""
+    done: list[tuple[Content, int]] = []
+    by_room: dict[int, list[tuple[Content, int]]] = {}
     free = 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
-        above = free >> n
-        if above:
-            room = n + (above & -above).bit_length() - 1
-            at = by_room[room].pop()
-            if not by_room[room]:
-                free ^= 1 << room
-        else:
-            room, at = capacity, len(bins)
-            bins.append([])
-        bins[at].append(i)
-        if room > n:
-            by_room.setdefault(room - n, []).append(at)
-            free |= 1 << (room - n)
-    return bins
-
-
-class _Bin:
-    """Items as (length, index), sorted by length."""
-
-    def __init__(self, items: list[tuple[int, int]]):
-        self.items, self.fill = sorted(items), sum(n for n, _ in items)
-
-    def put(self, item: tuple[int, int]) -> None:
-        insort(self.items, item)
-        self.fill += item[0]
-
-    def take(self, item: tuple[int, int]) -> None:
-        del self.items[bisect_left(self.items, item)]
-        self.fill -= item[0]
-
-
-def _step(least: _Bin, others: list[_Bin], capacity: int) -> bool:
-    """One move, or one swap, from the least filled bin to a fuller one; every kind raises the sum of squared fills."""
-    for a in reversed(least.items):
-        to = min((b for b in others if capacity - b.fill >= a[0]), key=lambda b: capacity - b.fill, default=None)
-        if to is not None:
-            least.take(a)
-            to.put(a)
-            return True
-    best: tuple = (0,)
-    singles = [(a,) for a in least.items]
-    few = least.items[-24:]
-    pairs = [(few[i], few[j]) for i in range(len(few)) for j in range(i)]
-    for given in (singles, pairs):
-        for out in given:
-            total = sum(n for n, _ in out)
-            for b in others:
-                room = capacity - b.fill
-                at = bisect_left(b.items, (total - room, -1))  # the shortest document there whose place is large enough
-                if room and at < len(b.items) and (gain := total - b.items[at][0]) > best[0]:
-                    best = (gain, out, b, b.items[at])
-        if best[0]:
-            break
-    if not best[0]:
-        return False
-    _, out, b, back = best
-    b.take(back)
-    for item in out:
-        least.take(item)
-        b.put(item)
-    least.put(back)
-    return True
-
-
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Empties bins, the least filled first; a bin that no step can empty is left as it is."""
-    fills = [int(lengths[b].sum()) for b in bins]
-    bound = -(-sum(fills) // capacity)
-    full = [b for b, f in zip(bins, fills, strict=True) if f == capacity]
-    work = [_Bin([(int(lengths[i]), i) for i in b]) for b, f in zip(bins, fills, strict=True) if f < capacity]
-    stuck: list[_Bin] = []
-    while work and len(full) + len(work) + len(stuck) > bound:
-        work.sort(key=lambda b: b.fill)
-        least, others = work[0], [*work[1:], *stuck]
-        if sum(capacity - b.fill for b in others) < least.fill:
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        while left:
+            above = free >> n
+            if above:
+                room = n + (above & -above).bit_length() - 1
+                content, bins = by_room[room].pop()
+                if not by_room[room]:
+                    free ^= 1 << room
+            else:
+                room, content, bins = capacity, {}, -(-left // (capacity // n))
+            each = room // n  # the bin stays the fullest with room until it has taken so many
+            full = min(bins, left // each)
+            left -= full * each
+            some = left if full < bins else 0  # fewer than a bin takes
+            left -= some
+            for take, number in ((each, full), (some, 1 if some else 0), (0, bins - full - bool(some))):
+                if number:
+                    rest = room - take * n
+                    now = content | {n: take} if take else content
+                    if rest:
+                        by_room.setdefault(rest, []).append((now, number))
+                        free |= 1 << rest
+                    else:
+                        done.append((now, number))
+    return done + [c for room in sorted(by_room) for c in by_room[room]]
+
+
+class _Search:
+    """Classes of underfull bins. Arrays hold a row for each length of each class, so that a step is found in one pass over them."""
+
+    def __init__(self, capacity: int, classes: list[tuple[Content, int]]):
+        self.capacity = capacity
+        self.contents: list[Content] = []
+        self.at: dict[tuple, int] = {}
+        self.count, self.fill = np.zeros(64, np.int64), np.zeros(64, np.int64)
+        self.stuck = np.zeros(64, bool)
+        self.length, self.owner, self.rows = np.zeros(64, np.int64), np.zeros(64, np.int64), 0
+        self.complete: list[tuple[Content, int]] = []
+        self.bins = 0
+        for content, n in classes:
+            self.put(content, n)
+            self.bins += n
+
+    def put(self, content: Content, n: int) -> int:
+        """Adds n bins; the number of their class, or -1 for full or empty ones."""
+        fill = sum(x * k for x, k in content.items())
+        if fill == self.capacity:
+            self.complete.append((content, n))
+            return -1
+        if not fill:
+            self.bins -= n
+            return -1
+        key = tuple(sorted(content.items()))
+        c = self.at.get(key)
+        if c is None:
+            c = self.at[key] = len(self.contents)
+            self.contents.append(content)
+            for name, size in (("count", c + 1), ("fill", c + 1), ("stuck", c + 1), ("length", self.rows + len(key)), ("owner", self.rows + len(key))):
+                old = getattr(self, name)
+                if size > len(old):
+                    setattr(self, name, np.concatenate([old, np.zeros(size, old.dtype)]))
+            self.fill[c] = fill
+            self.length[self.rows : self.rows + len(key)] = [x for x, _ in key]
+            self.owner[self.rows : self.rows + len(key)] = c
+            self.rows += len(key)
+        self.count[c] += n
+        return c
+
+    def step(self, least: int) -> int | None:
+        """One move, or one exchange, of bins of the class with fuller ones; the class that they then are, -1 if empty; None without a step."""
+        n = len(self.contents)
+        others = (self.count[:n] > 0) & (self.fill[:n] >= self.fill[least])
+        others[least] = self.count[least] > 1
+        room = self.capacity - self.fill[:n]
+        content = self.contents[least]
+        longest_first = sorted(content, reverse=True)
+        for a in longest_first:
+            fits = np.flatnonzero(others & (room >= a))
+            if len(fits):
+                return self._exchanged(least, {a: 1}, int(fits[room[fits].argmin()]), None)
+        owner, length = self.owner[: self.rows], self.length[: self.rows]
+        some = others[owner]
+        owner, length = owner[some], length[some]
+        if not len(owner):
+            return None
+        reach = length + room[owner]  # what a bin can take for one document of that length
+        shortest = np.full(2 * self.capacity + 2, 1 << 40, np.int64)
+        np.minimum.at(shortest, reach, length)
+        shortest = np.minimum.accumulate(shortest[::-1])[::-1]
+        pairs = [(a, b) for i, a in enumerate(longest_first) for b in longest_first[i:] if a != b or content[a] > 1]
+        for given in ([(a,) for a in longest_first], pairs):
+            total = np.array([sum(x) for x in given], dtype=np.int64)
+            if not len(total):
+                continue
+            gain = total - shortest[total]
+            best = int(gain.argmax())
+            if gain[best] > 0:
+                back = int(shortest[total[best]])
+                to = owner[(length == back) & (reach >= total[best])]
+                out: Content = {}
+                for x in given[best]:
+                    out[x] = out.get(x, 0) + 1
+                return self._exchanged(least, out, int(to[room[to].argmin()]), back)
+        return None
+
+    def _exchanged(self, least: int, out: Content, to: int, back: int | None) -> int:
+        number = int(min(self.count[least], self.count[to]) if least != to else self.count[least] // 2)
+        one, other = dict(self.contents[least]), dict(self.contents[to])
+        for x, k in (*out.items(), *([(back, -1)] if back else [])):
+            one[x], other[x] = one.get(x, 0) - k, other.get(x, 0) + k
+        self.count[least] -= number
+        self.count[to] -= number
+        self.put({x: k for x, k in other.items() if k}, number)
+        return self.put({x: k for x, k in one.items() if k}, number)
+
+
+def local_search(classes: list[tuple[Content, int]], capacity: int) -> list[tuple[Content, int]]:
+    """Empties bins, the least filled first; bins that no step can empty are left as they are."""
+    bound = -(-sum(x * k * n for content, n in classes for x, k in content.items()) // capacity)
+    state = _Search(capacity, classes)
+    while state.bins > bound:
+        n = len(state.contents)
+        open_ = np.flatnonzero((state.count[:n] > 0) & ~state.stuck[:n])
+        if not len(open_):
             break
-        while least.items and _step(least, others, capacity):
-            pass
-        work = work[1:]
-        if least.items:
-            stuck.append(least)
-    return full + [[i for _, i in b.items] for b in [*work, *stuck]]
-
-
-def _packed(capacity: int):
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
-        lengths = rows["length"].to_numpy()
-        bins = local_search(lengths, best_fit(lengths, capacity), capacity)
-        order = np.concatenate([np.array(b, dtype=np.int64) for b in bins])
-        sizes = np.array([len(b) for b in bins])
-        number = np.repeat(np.arange(len(bins)), sizes)
-        out = rows.iloc[order].reset_index(drop=True)
-        ends = np.cumsum(out["length"].to_numpy())
-        begins = ends - out["length"].to_numpy()
-        firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        fill = np.add.reduceat(out["length"].to_numpy(), firsts)
-        return out.assign(sequence_id=out["grp"].to_numpy() * (1 << 32) + number, offset=begins - begins[firsts][number], fill=fill[number])
-
-    return pack
-
-
-def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """rows (doc_id, piece, start, length, ids_crc32) with sequence_id and offset; rows must be a kept table."""
-    whole = rows.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    groups = max(1, -(-rows.filter(F.col("length") < capacity).count() // group))
-    # a group takes its rows by place in the kept table, not by key: repeated rows and ids spread as well
-    left = rows.filter(F.col("length") < capacity).withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    parts, level = [whole], 0
-    while True:
-        level += 1
-        columns = [f for f in rows.columns]
-        out = left.select(*columns, "grp").groupBy("grp").applyInPandas(_packed(capacity), f"{PACKED}, grp long, fill long")
-        done = out.withColumn("sequence_id", F.col("sequence_id") + F.lit(level << 56))
-        if groups == 1:
-            return_rows = done if level == 1 else kept(done, "packed")
-            parts.append(return_rows.select(*columns, "sequence_id", "offset"))
-            break
-        out = kept(done, "packed")
-        parts.append(out.filter(F.col("fill") >= capacity * CLOSED).select(*columns, "sequence_id", "offset"))
-        groups = -(-groups // FAN_IN)
-        left = out.filter(F.col("fill") < capacity * CLOSED).select(*columns, F.pmod(F.col("grp"), F.lit(groups)).alias("grp"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.union(part)
-    return result
-
-
-def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+        least = int(open_[state.fill[open_].argmin()])
+        fuller = (state.fill[:n] >= state.fill[least]) & (state.count[:n] > 0)
+        if int((state.count[:n] * (capacity - state.fill[:n]))[fuller].sum()) - (capacity - state.fill[least]) < state.fill[least]:
+            break  # the fuller bins together have not the room for one more, those fuller still have less
+        while least >= 0:
+            then = state.step(least)
+            if then is None:
+                state.stuck[least] = True
+                break
+            least = then
+            if state.bins <= bound:
+                break
+    return state.complete + [(c, int(k)) for c, k in zip(state.contents, state.count, strict=False) if k]
+
+
+def _bins(plan: list[tuple[Content, int]]) -> int:
+    return sum(n for _, n in plan)
+
+
+def planned(counts: Content, capacity: int, group: int = GROUP) -> list[tuple[Content, int]]:
+    """Classes of bins for so many pieces of each length: contents, and how many bins have them.
+
+    Best fit alone is kept if no packing can have fewer bins. Else local search follows; beyond `group` pieces
+    it plans one of several groups of the same composition, for all of them at once, and then what is left over."""
+    start = best_fit(counts, capacity)
+    if _bins(start) * capacity < sum(n * k for n, k in counts.items()) + capacity:
+        return start
+    total = sum(counts.values())
+    if total <= group:
+        return local_search(start, capacity)
+    parts = -(-total // group)
+    share, rest = ({n: k for n, c in counts.items() if (k := f(c, parts))} for f in (int.__floordiv__, int.__mod__))
+    found = [(content, n * parts) for content, n in planned(share, capacity, group)] + planned(rest, capacity, group)
+    return min(start, found, key=_bins)
+
+
+_RANK_BITS = 48
+
+
+def _seats(plan: list[tuple[Content, int]]) -> np.ndarray:
+    """Rows (length and first rank as one key, first rank, pieces a bin, first bin, offset), by key: which ranks of a length sit where."""
+    rows, given, bins = [], {}, 0
+    for content, number in plan:
+        offset = 0
+        for n in sorted(content, reverse=True):
+            first = given.get(n, 0)
+            rows.append((n << _RANK_BITS | first, first, content[n], bins, offset))
+            given[n] = first + content[n] * number
+            offset += n * content[n]
+        bins += number
+    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+
+
+def _seated(seats: np.ndarray):
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = seats[:, 0].copy()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            length, rank = np.asarray(b.column("length")), np.asarray(b.column("rank"))
+            _, first, each, bins, offset = seats[np.searchsorted(keys, length << _RANK_BITS | rank, side="right") - 1].T
+            own = [pa.array(bins + (rank - first) // each), pa.array(offset + (rank - first) % each * length)]
+            names = [c for c in b.schema.names if c != "rank"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *own], names=[*names, "sequence_id", "offset"])
+
+    return seat
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """rows (a kept table as pieces gives it) with sequence_id (gapless from 0) and offset.
+
+    The plan is sent to the tasks; it holds classes of bins, not bins: best fit makes at most two for each length, and
+    local search splits those of at most `GROUP` pieces."""
+    counts = kept(rows.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
+    plan = planned({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    ranked = rows.join(counts.select("length", "part", before.alias("before")), ["length", "part"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    return ranked.mapInArrow(_seated(_seats(plan)), PACKED)
+
+
+def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece of every row of docs.
 
     A null or empty text is a piece of the end id alone; only documents over capacity are cut. Repeated
     rows are packed each, a null doc_id stays null, other columns are not read, an empty table gives an
-    empty result.
+    empty result. Of pieces of one length, which goes where depends on how the table is split into tasks. A Python worker remembers that many units
+    of the texts; fewer take less memory and more time.
     """
-    return pack(kept(pieces(docs, path, capacity, end_id), "pieces"), capacity)
+    return pack(kept(pieces(docs, path, capacity, end_id, remembered), "pieces"), capacity)

@@ -1,9 +1,10 @@
 """Token counts without token ids.
 
-A slice of documents is cut into pre-token frequencies and each distinct pre-token is counted once; the
-counts are then joined to the frequencies by code and summed per document. The join stays inside the
-slice: documents, frequencies and counts never leave their task, so nothing is shuffled, and a worker's
-memory of counted pre-tokens carries from slice to slice.
+A slice of documents becomes a table of per-document pre-token frequencies (document, pre-token, how often).
+Each distinct pre-token is counted once, and the counts live in a table of their own, which a Python worker
+keeps over all its slices. The two are joined by the pre-token's code, and frequency times pieces is summed
+for each document. The join stays inside the slice, since a document's frequencies are needed nowhere else:
+nothing is shuffled, and token ids are never taken out of the library.
 """
 
 from __future__ import annotations
@@ -17,40 +18,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm.common import ready, text_slices
-from stepforge.llm.pretokens import REMEMBERED, SLICE, Memory, Pretokens, loaded, units
+from stepforge.llm.pretokens import SLICE, Vocabulary, loaded, units
 
-_unit_counts: dict[str, Memory] = {}
 
+def _summed(owner: np.ndarray, code: np.ndarray, n: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (owner, code, n) with n summed up over equal (owner, code), in their order."""
+    at, back = np.unique(owner * wide + code, return_inverse=True)
+    return at // wide, at % wide, np.bincount(back, weights=n, minlength=len(at)).astype(np.int64)
 
-def _unit_tokens(pre: Pretokens, new: list[str]) -> list[int]:
-    """Tokens of a space and each unit; -1 where a space before it can change them."""
-    loose = [not u or u[0].isspace() for u in new]
-    plain = iter(pre.counts([f" {u}" for u, odd in zip(new, loose, strict=True) if not odd]).tolist())
-    return [-1 if odd else next(plain) for odd in loose]
 
+def frequencies(known: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (document, pre-token code, frequency) of a slice, by document.
 
-def slice_counts(pre: Pretokens, known: Memory, texts: pa.Array) -> np.ndarray:
-    """Tokens of each text. A unit is what follows one space."""
+    No pre-token crosses a space but one that begins with it, unless white space stands beside: a text in
+    which a unit is empty or begins with white space is cut whole."""
     offsets, codes, distinct = units(texts)
-    each = np.array(known.values(distinct, lambda new: _unit_tokens(pre, new)), dtype=np.int64)[codes]
-    first = offsets[:-1]
-    each[first] = 0
-    total = np.add.reduceat(np.maximum(each, 0), first)
-    heads = [distinct[c] for c in codes[first]]
-    total += pre.counts(heads)
-    odd = np.flatnonzero(np.minimum.reduceat(each, first) < 0)
-    if len(odd):
-        total[odd] = pre.counts([texts[int(i)].as_py() for i in odd])
-    return total
+    firsts = offsets[:-1]
+    heads = np.unique(codes[firsts], return_inverse=True)
+    loose = np.array([not u or u[0].isspace() for u in distinct])
+    later = np.ones(len(codes), dtype=bool)
+    later[firsts] = False
+    odd = np.logical_or.reduceat(loose[codes] & later, firsts)
+    # units that are not first have their space before them
+    fit = np.flatnonzero(~loose)
+    rows = known.rows([f" {distinct[i]}" for i in fit.tolist()] + [distinct[i] for i in heads[0].tolist()])
+    spaced = np.full(len(distinct), -1)
+    spaced[fit] = rows[: len(fit)]
+    row = spaced[codes]
+    row[firsts] = rows[len(fit) :][heads[1]]
+    owner = np.repeat(np.arange(len(firsts)), np.diff(offsets))
+    plain = ~odd[owner]
+    owner, row, n = _summed(owner[plain], row[plain], np.ones(int(plain.sum())), max(1, len(known.units)))
+    code, sizes = known.codes.taken(row)
+    owner, n = np.repeat(owner, sizes), np.repeat(n, sizes)
+    whole = np.flatnonzero(odd)
+    more, sizes = known.pretoken_codes([texts[int(i)].as_py() for i in whole])
+    owner, code, n = np.concatenate([owner, np.repeat(whole, sizes)]), np.concatenate([code, more]), np.concatenate([n, np.ones(len(more), np.int64)])
+    return _summed(owner, code, n, max(1, len(known.pretokens)))
+
+
+def slice_counts(known: Vocabulary, texts: pa.Array) -> np.ndarray:
+    """Tokens of each text: frequencies joined to the pieces of each pre-token, and summed up."""
+    owner, code, n = frequencies(known, texts)
+    pieces = known.values.flat[code]
+    return np.bincount(owner, weights=n * pieces, minlength=len(texts)).astype(np.int64)
 
 
 def _counted(path: str, limit: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, known = loaded(path, words=False), _unit_counts.setdefault(path, Memory(REMEMBERED))
+        known = loaded(path, words=False, counts=True)
         for part in text_slices(batches, limit=SLICE):
-            texts = part.column("text")
-            n = slice_counts(pre, known, texts)
-            size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            texts = pc.fill_null(part.column("text"), "")
+            n = slice_counts(known, texts)
+            size = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return count
@@ -64,4 +84,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     a null doc_id stays null, other columns are not read, an empty table gives an empty result.
     """
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_counted(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counted(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
