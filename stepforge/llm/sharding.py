@@ -1,9 +1,9 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters the records uniformly into memory-sized buckets by a seeded hash and writes them to the
-shared folder. Pass two takes one bucket at a time into memory, orders it by a seeded Fisher-Yates shuffle,
-and deals the resulting global order to shards: place p of n rows goes to shard p * shards // n, so the row
-counts of shards are at most one apart.
+Pass one scatters the records uniformly into memory-sized buckets by a seeded hash: one exchange, keyed by the
+bucket. Pass two takes one bucket at a time into memory, orders it by a seeded Fisher-Yates shuffle and writes it
+to the shared folder. The buckets one after the other are the global order, which is dealt to shards: place p of n rows
+goes to shard p * shards // n, so the row counts of shards are at most one apart.
 """
 
 from __future__ import annotations
@@ -13,14 +13,16 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stepforge.llm.common import kept, ready
 
 SHARDS, SEED, BUCKET_BYTES, ROW_BYTES = 40, 17, 16 << 20, 16
-_OWN = "_bucket"
+#: Rows of a file that write_shards writes, about.
+FILE_ROWS = 1 << 20
+#: Buckets whose counts one task sums up; buckets whose sums (16 bytes each) are broadcast at most.
+_SPAN, BROADCAST = 4096, 1 << 18
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -30,57 +32,75 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return order
 
 
-def _dealt(seed: int, shards: int, total: int, before: dict[int, int], columns: list[str]):
-    def deal(key: tuple, rows: pa.Table) -> pa.Table:
+def _ordered(seed: int):
+    def order(key: tuple, rows: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        rows = rows.sort_by([("_place", "ascending")])  # a task that runs again sees its rows in another order
+        rows = rows.sort_by([("_hash", "ascending"), ("_place", "ascending")])  # a task that runs again sees its rows in another order
         n = rows.num_rows
-        place = np.empty(n, dtype=np.int64)
-        place[fisher_yates(n, seed, bucket)] = np.arange(n)
-        place += before[bucket]
-        shard = place * shards // total
-        slot = place - -(-shard * total // shards)
-        texts = rows.column("text").to_pylist()
-        crc = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        at = np.empty(n, dtype=np.int64)
+        at[fisher_yates(n, seed, bucket)] = np.arange(n)
+        crc = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in rows.column("text").to_pylist()]
         size = pc.add(pc.fill_null(pc.binary_length(rows.column("text")), 0).cast(pa.int64()), ROW_BYTES)
-        out = rows.select(columns)
-        for name, values in (("size", size), ("text_crc32", pa.array(crc, pa.int64())), ("shard", pa.array(shard, pa.int32())), ("slot", pa.array(slot, pa.int64()))):
+        out = rows.select(["doc_id", "text"])
+        for name, values in (("size", size), ("text_crc32", pa.array(crc, pa.int64())), ("bucket", rows.column("_bucket")), ("at", pa.array(at))):
             out = out.append_column(name, values)
         return out
 
-    return deal
+    return order
 
 
-def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id and text with size, text_crc32, shard, slot: every row of docs once, in a seeded global order.
+def shuffled_buckets(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, text, size, text_crc32, bucket and the place (at) in the bucket, for every row of docs.
 
-    size counts the UTF-8 bytes of the text (null: none) plus 16. Repeated rows and null ids are rows like
-    others; an empty table gives an empty result; other columns are not carried. The number of buckets
-    follows the bytes, so that a bucket fits in memory at every size; rows are scattered by place as well
-    as by id, so that no id, source or group of copies fills a bucket. Sort a shard by slot to write it.
-    """
+    The number of buckets follows the bytes, so that a bucket fits in memory at every size. Rows are scattered by
+    their place in the table as well as by id, so that no id, source or group of copies fills a bucket: the order is
+    seeded for a table as it is split into tasks, and another split gives another one."""
     ready(docs.sparkSession)
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_place", F.monotonically_increasing_id())
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
-    scattered = kept(named.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "_place")).withColumn("_size", size), "scatter")
-    total, weight = scattered.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    weight = named.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     buckets = max(1, -(-weight // bucket_bytes))
-    bucket = F.pmod(F.col("_hash"), F.lit(buckets)).alias(_OWN)
-    counts = dict(scattered.groupBy(bucket).count().collect())  # one number a bucket of bucket_bytes
-    before, at = {}, 0
-    for b in sorted(counts):
-        before[b], at = at, at + counts[b]
-    columns = ["doc_id", "text"]
-    schema = T.StructType([scattered.schema[c] for c in columns]).add("size", T.LongType()).add("text_crc32", T.LongType()).add("shard", T.IntegerType()).add("slot", T.LongType())
-    return scattered.select(*columns, "_place", bucket).groupBy(_OWN).applyInArrow(_dealt(seed, shards, total, before, columns), schema)
+    scattered = named.withColumn("_place", F.monotonically_increasing_id()).withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "_place"))
+    scattered = scattered.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)))
+    return scattered.groupBy("_bucket").applyInArrow(_ordered(seed), "doc_id long, text string, size long, text_crc32 long, bucket long, at long")
+
+
+def dealt(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """rows (a kept table with bucket and at) with shard and slot instead; slots of a shard are gapless from 0.
+
+    How many rows lie in the buckets before each is summed up in two levels. The sums are broadcast while there are
+    at most BROADCAST buckets, and joined by a shuffle beyond."""
+    counts = kept(rows.groupBy("bucket").agg(F.count("*").alias("n")), "bucket-counts")
+    buckets, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = counts.withColumn("span", F.floor(F.col("bucket") / _SPAN))
+    spans = counts.groupBy("span").agg(F.sum("n").alias("in_span"))
+    spans = spans.select("span", (F.sum("in_span").over(Window.orderBy("span")) - F.col("in_span")).alias("before_span"))  # a row for every _SPAN buckets
+    within = F.sum("n").over(Window.partitionBy("span").orderBy("bucket")) - F.col("n")
+    before = counts.withColumn("within", within).join(spans, "span").select("bucket", (F.col("before_span") + F.col("within")).alias("before"))
+    placed = rows.join(F.broadcast(before) if buckets <= BROADCAST else before, "bucket").withColumn("place", F.col("before") + F.col("at"))
+    placed = placed.withColumn("shard", F.expr(f"place * {shards} div {max(total, 1)}"))
+    slot = F.expr(f"place - (shard * {total} + {shards - 1}) div {shards}")  # shard s begins at the first place p with p * shards >= s * total
+    columns = [c for c in rows.columns if c not in ("bucket", "at")]
+    return placed.withColumn("slot", slot).select(*columns, F.col("shard").cast("int").alias("shard"), "slot")
+
+
+def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id and text with size, text_crc32, shard, slot: every row of docs once, in a seeded global order.
+
+    size counts the UTF-8 bytes of the text (null: none) plus 16. Repeated rows and null ids are rows like
+    others; an empty table gives an empty result; other columns are not carried."""
+    return dealt(kept(shuffled_buckets(docs, seed, bucket_bytes), "shuffled"), shards)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Writes each shard as a folder of its own whose rows stand in slot order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes each shard as a folder of its own, in files of about FILE_ROWS rows whose rows, and whose names, stand in slot order.
+
+    An empty table gives a folder without shards."""
+    files = max(1, -(-sharded.count() // FILE_ROWS))
+    sharded.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The rows of shuffled_shards without texts, with the law they follow."""
-    rows = shuffled_shards(docs, shards)
+    rows = dealt(kept(shuffled_buckets(docs).drop("text"), "shuffled"), shards)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
