@@ -101,13 +101,8 @@ class PieceModel:
 
     def encode_units(self, strings: list[str]) -> list[bytes]:
         """Ids of strings that no piece crosses the border of."""
-        out: list[bytes | None] = [None] * len(strings)
-        plain = []
-        for k, s in enumerate(strings):
-            if SPACE * 2 in s or not s:  # runs of spaces share one score and merge from the left
-                out[k] = np.array(self._ids(self.merged(s)), dtype="<u4").tobytes()
-            else:
-                plain.append(k)
+        out = [b""] * len(strings)
+        plain = [k for k, s in enumerate(strings) if s]
         at = 0
         while at < len(plain):
             stop, size = at, 0
