@@ -10,7 +10,8 @@ intersections of the full shingle sets confirm the rest.
 
 Copies (equal shingle sets) form one class before any of this. Within a band bucket every member is
 paired with one hub only; members that this leaves in different components are compared in blocks of
-bounded size, with their full sets at hand, and a block returns only the links that join components. So no
+bounded size, the largest component of a bucket with the others and these with each other, by sketches first
+and then, what these leave, by full sets; a block returns only the links that join components. So no
 bucket is cut short, and none is expanded into all its pairs.
 """
 
@@ -98,7 +99,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, size and 128-bit digest of the shingle set, and the band keys, for every document."""
+    """doc_id, size and 128-bit digest of the shingle set, and the band keys, for every row: null digests for a null or wordless text, equal ones for equal sets."""
     ready(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketched, SKETCH)
 
@@ -167,28 +168,46 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
+def _candidates(group: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left member of a group the right ones in other components whose sizes and sketches allow a link."""
+    rep, n, band, comp, left = (np.asarray(group.column(c)) for c in ("rep", "n_shingles", "band", "comp", "left"))
+    bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+    lanes, floor = bands.view(np.uint16), _floor(threshold)
+    right = np.flatnonzero(np.asarray(group.column("right")))
+    for x in np.flatnonzero(left):
+        y = right[(comp[right] != comp[x]) & (rep[right] != rep[x])]
+        y = y[np.minimum(n[y], n[x]) >= np.maximum(n[y], n[x]) * threshold]
+        y = y[(bands[y] == bands[x]).argmax(axis=1) == band[x]]  # a pair is compared in the first band it shares
+        if len(y):
+            y = y[corrected((lanes[y] == lanes[x]).mean(axis=1), np.full(len(y), n[x]), n[y]) >= floor]
+        if len(y):
+            yield int(x), y
+
+
+def _survivors(percent: int):
+    """The members of a group that have a candidate."""
+
+    def survive(group: pa.Table) -> pa.Table:
+        some = np.zeros(group.num_rows, dtype=bool)
+        for x, y in _candidates(group, percent / 100):
+            some[x] = True
+            some[y] = True
+        return group.filter(pa.array(some))
+
+    return survive
+
+
 def _blocks(percent: int):
-    """Links between the members of two blocks of a bucket that are not in one component yet; of these, as many as join them."""
-    threshold = percent / 100
-    floor = _floor(threshold)
+    """Links between members of a group that are not in one component yet; of these, as many as join them."""
 
     def compare(group: pa.Table) -> pa.Table:
-        rep, n, band = (np.asarray(group.column(c)) for c in ("rep", "n_shingles", "band"))
+        rep, n = (np.asarray(group.column(c)) for c in ("rep", "n_shingles"))
         comp = np.unique(np.asarray(group.column("comp")), return_inverse=True)[1]
-        bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
         lists = group.column("shingles").combine_chunks()
         flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
         sets = [flat[ends[k] : ends[k + 1]] for k in range(len(rep))]
-        lanes, block = bands.view(np.uint16), np.asarray(group.column("block"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found: list[tuple[int, int]] = []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i != j))]
-            y = y[np.minimum(n[y], n[x]) >= np.maximum(n[y], n[x]) * threshold]
-            y = y[(bands[y] == bands[x]).argmax(axis=1) == band[x]]  # a pair is compared in the first band it shares
-            if len(y):
-                y = y[corrected((lanes[y] == lanes[x]).mean(axis=1), np.full(len(y), n[x]), n[y]) >= floor]
+        for x, y in _candidates(group, percent / 100):
             for k in y:
                 if comp[k] == comp[x]:
                     continue
@@ -202,28 +221,47 @@ def _blocks(percent: int):
     return compare
 
 
+_MEMBER = "bucket long, band int, rep long, comp long, n_shingles long, bands array<long>, i int, j int, left boolean, right boolean"
+
+
 def _open_members(reps: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, band, rep, comp, block, blocks for members of buckets that hold several components beside their hub."""
+    """Members of buckets that hold several components beside their hub, with their block among those of the
+    bucket's largest component (main), or among all others; mains and others are the numbers of these blocks."""
     members = _buckets(reps).join(hubs.filter("members > 2"), "bucket").filter("rep <> hub").select("bucket", "band", "rep")
     members = kept(members.join(labels, F.col("rep") == F.col("id"), "left").select("bucket", "band", "rep", F.coalesce("comp", "rep").alias("comp")), "near-members")
-    several = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    return kept(rows, "near-open")
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("k"), F.count("*").alias("comps")).filter("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    several = several.select("bucket", F.col("most.comp").alias("largest"), blocks(F.col("most.n")).alias("mains"), blocks(F.col("k") - F.col("most.n")).alias("others"))
+    rows = members.join(several, "bucket").withColumn("main", F.col("comp") == F.col("largest"))
+    return kept(rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")), "near-open")
 
 
 def _left_over(open_: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links of bucket members that are still in different components, compared block by block with their full sets."""
-    sets = _sets(open_.select(F.col("rep").alias("doc_id")).distinct(), docs).select(F.col("doc_id").alias("rep"), "shingles")
-    rows = open_.join(reps.select("rep", "n_shingles", "bands"), "rep").join(sets, "rep")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "band", "rep", "comp", "n_shingles", "bands", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return rows.groupBy("bucket", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct()
+    """Links of bucket members that are still in different components.
+
+    A link between components has an end outside the bucket's largest one. So blocks of the others meet each other and
+    the blocks of the largest component, whose members are copied once for each block of others only. Sketches meet
+    first; full sets are fetched for, and sent to, what they leave."""
+    rows = open_.join(reps.select("rep", "n_shingles", "bands"), "rep")
+    # group (i, j): others' block i with others' block j >= i, or with block -1 - j of the largest component
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    with_others = F.transform(upto(F.col("others")), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") <= o).alias("left"), (F.col("block") >= o).alias("right")))
+    with_mains = F.transform(upto(F.col("mains")), lambda m: F.struct(F.col("block").alias("i"), (-1 - m).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
+    of_mains = F.transform(upto(F.col("others")), lambda o: F.struct(o.alias("i"), (-1 - F.col("block")).alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+    rows = rows.select("bucket", "band", "rep", "comp", "n_shingles", "bands", F.inline(F.when(F.col("main"), of_mains).otherwise(F.concat(with_others, with_mains))))
+    rows = kept(rows.groupBy("bucket", "i", "j").applyInArrow(_survivors(percent), _MEMBER), "near-survivors")
+    if rows.isEmpty():
+        return rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    sets = _sets(rows.select(F.col("rep").alias("doc_id")).distinct(), docs).select(F.col("doc_id").alias("rep"), "shingles")
+    return rows.join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, comp (smallest id of its component) for every id of links (a, b): alternating large and small stars.
 
-    Each round joins every edge to the least neighbour of its end; rounds grow with the logarithm of the ids."""
+    Each round joins every edge to the least neighbour of its end; rounds grow with the logarithm of the ids. Repeated
+    links and links of an id with itself count for nothing; no links give no rows."""
     edges = kept(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
     while True:
@@ -241,14 +279,26 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
 
 
+def _same_ids(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the classes of texts that have one doc_id."""
+    several = rows.groupBy("doc_id").agg(F.min("digest_a").alias("lo"), F.max("digest_a").alias("hi")).filter("lo <> hi").select("doc_id")
+    several = kept(several, "near-several")
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    digests = ["digest_a", "digest_b"]
+    of = rows.join(several, "doc_id").select("doc_id", *digests).distinct().join(reps.select(*digests, "rep"), digests).select("doc_id", "rep")
+    return of.groupBy("doc_id").agg(F.min("rep").alias("a")).join(of, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of 5-word shingles;
     component_id is the least doc_id that links reach. Null and wordless texts have no shingles and no
     links. Columns other than doc_id and text are not read. A row without doc_id takes no part in
-    links: its component_id is null and it is kept. Repeated rows are copies of one class; an empty
-    table gives an empty result.
+    links: its component_id is null and it is kept. Repeated rows are copies of one class; rows that repeat
+    a doc_id with other texts are one document with the links of all its texts. An empty table gives an
+    empty result.
     """
     threshold = percent / 100
     all_rows = kept(sketches(docs), "near-sketches")
@@ -258,7 +308,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     hubs = _buckets(reps).groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1")
     hubs = kept(hubs, "near-hubs")
     pairs = _buckets(reps).join(hubs, "bucket").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = kept(_confirmed(kept(_close_pairs(pairs, reps, threshold), "near-pairs"), docs, percent), "near-links")
+    links = _confirmed(kept(_close_pairs(pairs, reps, threshold), "near-pairs"), docs, percent)
+    links = kept(links.union(_same_ids(rows, reps)), "near-links")
     labels = components(links)
     more = kept(_left_over(_open_members(reps, hubs, labels), reps, docs, percent), "near-more")
     if not more.isEmpty():
