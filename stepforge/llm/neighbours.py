@@ -74,8 +74,8 @@ def curve_keys(vectors: np.ndarray, fill: np.ndarray, curve: int) -> np.ndarray:
     return hilbert(np.minimum((at * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def _keyed(largest: float | None):
-    """Keys on every curve: of candidates, filled up to the largest square norm, or of queries (None), which need no filling."""
+def _keyed(unit: float, largest: float | None):
+    """Keys on every curve, of vectors in units of the largest component: of candidates, filled up to the largest square norm, or of queries (None), which need no filling."""
     seeds = seeded(CURVES, 43)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def _keyed(largest: float | None):
             keys = np.zeros((len(sizes), CURVES), np.int64)
             for d in np.unique(sizes):
                 own = np.flatnonzero(sizes == d)
-                m = matrix(lists.take(pa.array(own)), np.float64)
+                m = matrix(lists.take(pa.array(own)), np.float64) / unit
                 fill = np.zeros(len(own)) if largest is None else np.sqrt(np.maximum(largest - (m**2).sum(axis=1), 0))
                 for c in range(CURVES):
                     # vectors of one cell lie in another order on every curve
@@ -144,11 +144,15 @@ def _ranked(k: int):
             c, ids, places = c[order], ids[order], places[order]
             own = np.asarray(queries.column("place"))
             for a in range(0, len(q), 256):
-                for i, row in enumerate(q[a : a + 256] @ c.T):
+                with np.errstate(all="ignore"):
+                    scores = q[a : a + 256] @ c.T
+                for i, row in enumerate(np.where(np.isnan(scores), -np.inf, scores)):
                     some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
                     some = some[np.argsort(-row[some], kind="stable")[:k]]
                     n = len(some)
-                    out.append((np.full(n, own[a + i]), ids[some], places[some], np.einsum("ij,j->i", c[some], q[a + i])))
+                    with np.errstate(all="ignore"):
+                        exact = np.einsum("ij,j->i", c[some], q[a + i])
+                    out.append((np.full(n, own[a + i]), ids[some], places[some], np.where(np.isnan(exact), -np.inf, exact)))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
         return pa.table(dict(zip(("asked", "vec_id", "found", "score"), map(pa.array, columns), strict=True)))
 
@@ -162,23 +166,25 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     are returned if they are fewer. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows without vec_id, take no part; vectors of different lengths are not compared. Rows
     with one vector stand on the curves once, with the k + 1 smallest ids (no others can be among anyone's
-    nearest), and are looked up once. Other columns are not read.
+    nearest), and are looked up once. A score beyond the doubles is infinite, one that is no number counts as
+    the least there is (-inf). Other columns are not read; an empty table gives an empty result.
     """
     spark = ready(vectors.sparkSession)
     v = F.col("vec")
     named = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec"))
     rows = kept(named.filter(usable(v) & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull()).withColumn("place", F.monotonically_increasing_id()), "ann-rows")
-    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    unit = rows.agg(F.coalesce(F.max(F.array_max(F.transform(v, F.abs))), F.lit(1.0))).first()[0]
+    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow(x / F.lit(unit), F.lit(2.0)))
     largest = rows.agg(F.coalesce(F.max(square), F.lit(0.0))).first()[0]
     tie = F.row_number().over(Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("vec_id", "place"))
     first = rows.withColumn("tie", tie).filter(F.col("tie") <= k + 1)
     once = first.groupBy("vec").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "place"))), 1, k + 1).alias("own"))
     once = once.select(F.col("own")[0]["vec_id"].alias("vec_id"), F.col("own")[0]["place"].alias("place"), "vec", "own")
     own = "own array<struct<vec_id:long,place:long>>"
-    keyed = kept(once.mapInArrow(_keyed(float(largest)), f"vec_id long, place long, vec array<double>, {own}, keys array<long>"), "ann-keys")
+    keyed = kept(once.mapInArrow(_keyed(unit, float(largest)), f"vec_id long, place long, vec array<double>, {own}, keys array<long>"), "ann-keys")
     queries = rows.filter(F.col("vec_id") % every == 0)
     asked = queries.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.min("place").alias("place")).select("vec_id", "place", "vec")
-    asked = kept(asked.mapInArrow(_keyed(None), "vec_id long, place long, vec array<double>, keys array<long>"), "ann-asked")
+    asked = kept(asked.mapInArrow(_keyed(unit, None), "vec_id long, place long, vec array<double>, keys array<long>"), "ann-asked")
     dim = F.size("vec").alias("dim")
     plans = {r.dim: _divisions(r.n, k) for r in keyed.groupBy(dim).agg(F.count("*").alias("n")).collect()}
     asks = {r.dim: r.n for r in asked.groupBy(dim).agg(F.count("*").alias("n")).collect()}
