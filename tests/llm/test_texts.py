@@ -11,10 +11,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from stepforge.llm import language, near_dups, packing, personal_data, pieces, sharding, token_counts, toxicity
+from stepforge.llm import language, near_dups, packing, personal_data, pieces, pretokens, sharding, token_counts, toxicity
 from stepforge.llm.registry import tokenizer
 
 NASTY = ["a", "B", "the", " ", "  ", "\n", "\t", "é", "é", "Σ", "ΑΣ", "'s", "'re", "1", "23", "<|endoftext|>", "<|startoftext|>", "<|", "日本", "🙂", "!!", "...", " ", "\x1c", "\x85", "\0", "İ", "ß", "ﬁ", "_", "\U0010ffff", "\r\n", "▁", "<0x0A>", "<s>"]
@@ -66,8 +67,10 @@ def test_near_duplicates_odd(odd, none):
     assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect())[1] == 1
 
 
-def test_near_duplicates_without_hub(spark):
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_duplicates_without_hub(spark, monkeypatch, block):
     """Documents that share bands with a hub they are not linked to still find each other."""
+    monkeypatch.setattr(near_dups, "BLOCK", block)
     rng = random.Random(4)
     base = [f"b{i}" for i in range(400)]
     texts = {}
@@ -80,15 +83,26 @@ def test_near_duplicates_without_hub(spark):
     assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(frame).collect()} == brute_components(texts)[0]
 
 
-def test_left_over_members_meet_in_blocks(spark, monkeypatch):
-    """Links that only the comparison in blocks can find: the hub is far from two members that are near each other."""
+@pytest.mark.parametrize("main", [2, 3, 9])
+def test_left_over_members_meet_in_blocks(spark, main):
+    """Links that only the comparison in blocks can find, between the largest component and others, and among others."""
     words = [f"a{i}" for i in range(300)]
     texts = {1: " ".join(words), 2: " ".join([*words[:200], *[f"z{i}" for i in range(100)]]), 3: " ".join([*words[:200], *[f"z{i}" for i in range(99)], "q"])}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     reps = near_dups.sketches(docs).select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
-    monkeypatch.setattr(near_dups, "BLOCK", 1)
-    open_ = spark.createDataFrame([(7, b, r, r, r % 2, 2) for r in (2, 3) for b in range(near_dups.BANDS)], "bucket long, band int, rep long, comp long, block int, blocks int")
+    columns = "bucket long, band int, rep long, comp long, mains int, others int, main boolean, block int"
+    open_ = spark.createDataFrame([(7, b, r, r, 2, 3, r == main, r % 2) for r in (2, 3) for b in range(near_dups.BANDS)], columns)
     assert [tuple(r) for r in near_dups._left_over(open_, reps, docs, 75).collect()] == [(2, 3)]
+    apart = open_.filter(F.col("rep") != main)
+    assert near_dups._left_over(apart.withColumn("comp", F.lit(5).cast("long")), reps, docs, 75).collect() == []
+
+
+def test_rows_that_repeat_an_id(spark):
+    """They are one document, linked by any of its texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (2, b), (7, a), (9, c), (9, c), (1, "")]
+    got = Counter((r.doc_id, r.component_id) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(got.values()) == 7 and set(got) >= {(7, 2), (2, 2), (9, 9), (1, 1)} and got[9, 9] == 2 and {c for (i, c) in got if i == 5} == {2}
 
 
 def test_register_estimate():
@@ -135,6 +149,21 @@ def test_token_counts(spark, documents, odd, none):
     assert token_counts.token_counts(none, path).collect() == []
 
 
+def test_frequencies_and_forgetting():
+    """Frequencies of pre-tokens by brute force, and equal counts from a vocabulary that keeps forgetting."""
+    path = tokenizer("byte_bpe_50k.json")
+    texts = pa.array([*nasty(200, 4), "a b a  a", "", "it's it's it"])
+    known = pretokens.Vocabulary(path, words=False, counts=True)
+    owner, code, n = token_counts.frequencies(known, texts)
+    names = list(known.pretokens)
+    got = {(o, names[c]): k for o, c, k in zip(owner.tolist(), code.tolist(), n.tolist(), strict=True)}
+    assert got == {(i, p): k for i, t in enumerate(texts.to_pylist()) for p, k in Counter(known.pre.split(t)).items()}
+    small = pretokens.Vocabulary(path, words=False, counts=True, most=20)
+    parts = [token_counts.slice_counts(small, texts[i : i + 10]) for i in range(0, len(texts), 10)]
+    assert np.concatenate(parts).tolist() == token_counts.slice_counts(known, texts).tolist()
+    assert len(small.units) < len(known.units)
+
+
 def test_packing(spark, documents, odd, none):
     from tokenizers import Tokenizer
 
@@ -162,32 +191,82 @@ def test_packing(spark, documents, odd, none):
     assert packing.packed_documents(none, path).collect() == []
 
 
-def test_packing_levels(spark):
+def placed(plan, counts, capacity):
+    """The number of bins of a plan that holds just the given pieces."""
+    held = Counter()
+    for content, n in plan:
+        assert n > 0 and 0 < sum(x * k for x, k in content.items()) <= capacity and all(k > 0 for k in content.values())
+        held.update({x: k * n for x, k in content.items()})
+    assert held == Counter(counts)
+    return sum(n for _, n in plan)
+
+
+def fewest(lengths, capacity):
+    """Bins of the best packing, by trying every one."""
+    best = len(lengths)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values():
+            go(i + 1, [*rooms[:k], rooms[k] - lengths[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, capacity - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    go(0, [])
+    return best
+
+
+def test_packing_by_groups(spark, monkeypatch):
+    """Several groups of one composition and what is left over: every piece once, gapless offsets and sequence numbers."""
     from stepforge.llm.common import kept
 
+    monkeypatch.setattr(packing.planned, "__defaults__", (40,))
     rng = random.Random(1)
-    rows = [(i, 0, 0, rng.randint(1, 100), i) for i in range(1200)]
-    frame = kept(spark.createDataFrame(rows, packing.PIECE), "test-pieces")
-    got = packing.pack(frame, capacity=100, group=40).collect()
-    fills = Counter()
+    lengths, seen = [rng.randint(20, 60) for _ in range(1200)], Counter()
+    rows = [(i, 0, 0, n, i, i % 3, seen.update([(n, i % 3)]) or seen[n, i % 3] - 1) for i, n in enumerate(lengths)]
+    frame = kept(spark.createDataFrame(rows, f"{packing.PIECE}, part int, nth long"), "test-pieces")
+    got = packing.pack(frame, capacity=100).collect()
+    bins = defaultdict(list)
     for r in got:
-        fills[r.sequence_id] += r.length
-    assert len(got) == 1200 and max(fills.values()) <= 100
-    assert len(fills) <= 1.03 * sum(r[3] for r in rows) / 100
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    assert sorted(bins) == list(range(len(bins))) and len(bins) <= 1.1 * sum(lengths) / 100
+    for own in bins.values():
+        assert [a for a, _ in sorted(own)] == np.cumsum([0, *(n for _, n in sorted(own))])[:-1].tolist() and sum(n for _, n in own) <= 100
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_local_search(seed):
-    """No worse than first fit, every item once, no bin over capacity."""
-    rng = np.random.default_rng(seed)
-    lengths = rng.integers(1, 60, 40)
-    first: list[list[int]] = []
-    for i in range(len(lengths)):
-        room = next((b for b in first if lengths[b].sum() + lengths[i] <= 100), None)
-        first.append([i]) if room is None else room.append(i)
-    out = packing.local_search(lengths, [list(b) for b in first], 100)
-    assert sorted(i for b in out for i in b) == list(range(40)) and all(lengths[b].sum() <= 100 for b in out)
-    assert len(out) <= len(first)
+def test_plans_beside_the_best(seed):
+    """At most one bin more than the best packing of few pieces, and never more than best fit alone."""
+    rng = random.Random(seed)
+    lengths = [rng.randint(15, 70) for _ in range(13)]
+    counts = dict(Counter(lengths))
+    first = packing.best_fit(counts, 100)
+    n = placed(packing.local_search(first, 100), counts, 100)
+    assert n <= placed(first, counts, 100) and n <= fewest(lengths, 100) + 1
+
+
+@pytest.mark.parametrize(("low", "high", "most"), [(2100, 3000, 60_000), (1000, 2000, 23_700), (1, 600, 4_500)])
+def test_plans_of_many_pieces(low, high, most):
+    """Also where no two pieces fit together; and what a plan takes does not follow the number of pieces."""
+    lengths = np.random.default_rng(1).integers(low, high, 60_000).tolist()
+    counts = dict(Counter(lengths))
+    assert placed(packing.planned(counts, 4096), counts, 4096) <= most
+    large = {n: k * 10**9 + n % 7 for n, k in counts.items()}
+    plan = packing.planned(large, 4096, group=20_000)
+    assert placed(plan, large, 4096) <= most * 10**9 * 1.01 and len(plan) < 30_000
+
+
+def test_two_for_one_swaps():
+    """Best fit needs three bins; two short pieces for a longer one make it two, which no move or single exchange does."""
+    start = [({5: 1, 3: 1}, 1), ({6: 1, 2: 1}, 1), ({2: 2}, 1)]
+    assert sum(n for _, n in packing.local_search(start, 10)) == 2
+    assert packing.local_search([], 10) == [] and packing.planned({}, 10) == []
 
 
 def test_pieces(spark, documents, odd, none):
@@ -195,7 +274,9 @@ def test_pieces(spark, documents, odd, none):
 
     path = tokenizer("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    extra = spark.createDataFrame(list(enumerate(nasty(500, 3))), "doc_id long, text string")
+    rng = random.Random(8)
+    spaced = ["".join(rng.choice(["a", "the", "Hello", "1", "\n", "日本"]) + " " * rng.choice([1, 2, 3, 5, 8, 9, 16, 17, 40]) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    extra = spark.createDataFrame(list(enumerate([*nasty(500, 3), *spaced, " " * 200_000, "x" + " " * 100_000 + "y"])), "doc_id long, text string")
     for frame in (documents, odd, extra):
         rows = pieces.encoded(frame, path)
         got = rows.collect()
@@ -232,10 +313,35 @@ def test_sharding(documents, odd, none, n):
     assert sharding.shuffled_shards(none, n).collect() == []
 
 
-def test_write_shards(spark, documents, tmp_path):
-    sharding.write_shards(sharding.shuffled_shards(documents, 3), str(tmp_path / "out"))
+def test_sharding_by_brute_force(spark, documents):
+    """The same order row by row: scattered by the hash, each bucket shuffled from its last row down, dealt in ranges."""
+    seed, most, shards = sharding.SEED, 30_000, 7
+    rows = documents.withColumn("place", F.monotonically_increasing_id()).withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "place")).collect()
+    buckets = -(-sum(len(r.text.encode()) + 16 for r in rows) // most)
+    order = []
+    for b in range(buckets):
+        own = sorted((r for r in rows if r.hash % buckets == b), key=lambda r: (r.hash, r.place))
+        order += [own[i] for i in sharding.fisher_yates(len(own), seed, b)]
+    want, slots = [], Counter()
+    for p, r in enumerate(order):
+        s = p * shards // len(order)
+        want.append((r.doc_id, s, slots[s]))
+        slots[s] += 1
+    got = sharding.shuffled_shards(documents, shards, seed, most).select("doc_id", "shard", "slot").collect()
+    assert buckets > 3 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_write_shards(spark, documents, none, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FILE_ROWS", 50)
+    rows = sharding.shuffled_shards(documents, 3)
+    sharding.write_shards(rows, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == documents.count() and back.select("shard").distinct().count() == 3
+    for s in range(3):
+        files = sorted((tmp_path / "out" / f"shard={s}").glob("*.parquet"))
+        slots = [x for f in files for x in pq.read_table(f, columns=["slot"])["slot"].to_pylist()]
+        assert len(files) > 1 and slots == list(range(len(slots)))
+    sharding.write_shards(sharding.shuffled_shards(none, 3), str(tmp_path / "none"))
 
 
 def brute_spans(text: str) -> str:

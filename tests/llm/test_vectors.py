@@ -50,6 +50,33 @@ def test_top_k_few_and_none(spark):
     assert [r.vec_id for r in sorted(topk.exact_top_k(large, k=2).collect())] == [1, 2]
 
 
+def test_top_k_is_found_by_the_histograms(spark, embeddings, monkeypatch):
+    """The kth scores that the histograms locate decide what is returned: with other ones, other rows are."""
+    rows = usable([(r.vec_id, r.embedding) for r in embeddings.collect()], True)
+    want = {}
+    for i, n, _, s in brute(rows, 50, 5, 256):
+        want.setdefault(i, []).append(s)
+    seen, real = {}, topk.kth_scores
+
+    def spied(asks, most, k, against):
+        out = real(asks, most, k, against)
+        seen.update({r.vec_id: (r.lo, r.need) for r in out.join(asks, "place").collect()})
+        return out.withColumn("lo", F.col("lo") - 6000)
+
+    monkeypatch.setattr(topk, "kth_scores", spied)
+    assert len(topk.exact_top_k(embeddings).collect()) > 5 * len(want)
+    assert seen == {i: (s[-1], s.count(s[-1])) for i, s in want.items()}
+
+
+def test_top_k_of_large_components(spark):
+    """Beyond 2 ** 52 scores are whole numbers still; vectors whose scores a long need not hold take no part."""
+    rows = [(0, [2.0**20 + 1, 3.0]), (1, [2.0**20, 5.0]), (2, [2.0**20, 4.0]), (50, [1e17, 0.0]), (3, [1e300, 1e300]), (100, [0.0, 0.0])]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()
+    whole = {i: [int(256 * x) for x in v] for i, v in rows if max(v) < 1e10}
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b], strict=True))
+    assert sorted(map(tuple, got)) == [(0, 1, 1, score(0, 1)), (0, 2, 2, score(0, 2)), (100, 1, 0, 0), (100, 2, 1, 0)]
+
+
 def test_nearest(spark, embeddings):
     rows = usable([(r.vec_id, r.embedding) for r in embeddings.collect()], False)
     want = {}
@@ -75,6 +102,33 @@ def test_nearest_odd(spark):
     assert neighbours.nearest(frame.limit(0)).collect() == []
 
 
+def test_nearest_on_ranges(spark):
+    """Recall of the operator where it has ranges to look through: 2,000 vectors."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in vectors.collect()}
+    ids, m = np.array(list(rows)), np.stack(list(rows.values()))
+    got = {}
+    for r in neighbours.nearest(vectors).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q, found in got.items():
+        score = np.where(ids == q, -np.inf, m @ rows[q])
+        recall.append(len(found & set(ids[np.lexsort((ids, -score))[:20]].tolist())) / 20)
+    assert len(got) == (ids % 20 == 0).sum() and np.mean(recall) >= 0.9
+
+
+def test_nearest_of_huge_and_tiny_components(spark):
+    """Finite components of any size: scores that overflow are infinite, those that are no numbers count as the least."""
+    rng = np.random.default_rng(2)
+    for scale in (1e150, 1e-150):
+        rows = [(i, (rng.normal(size=4) * scale).tolist()) for i in range(30)]
+        got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=5).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(x[:3] for x in brute(usable(rows, False), 10, 5))
+    rows = [(0, [1e200, 1e200]), (1, [1e200, -1e200]), (2, [1e200, 1.0]), (3, [-1e200, 0.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 2, np.inf), (0, 2, 1, -np.inf), (0, 3, 3, -np.inf)]
+
+
 def test_nearest_with_a_hot_vector(spark):
     """A third of the rows is one vector: queries among them find its smallest ids, and the others lose no recall."""
     rng = np.random.default_rng(7)
