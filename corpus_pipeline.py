@@ -39,7 +39,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of every document: the sequence that holds it and its place there."""
-    return packed_documents(docs, tokenizer("word_bpe_49k.json"))
+    # workers of the stages before hold memory of their own
+    return packed_documents(docs, tokenizer("word_bpe_49k.json"), remembered=300_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
