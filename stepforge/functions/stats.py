@@ -16,6 +16,13 @@ def lower_rank(sorted_values: Column, p: float) -> Column:
     return F.get(sorted_values, F.floor(F.lit(p) * (F.size(sorted_values) - 1)).cast("int"))
 
 
+def counted_rank(histogram: Column, p: float) -> Column:
+    """lower_rank of the values of a sorted array of structs (value, n), each as often as n says."""
+    upto = F.aggregate(histogram["n"], F.array().cast("array<long>"), lambda a, n: F.array_append(a, n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long"))))
+    place = F.floor(F.lit(p) * (F.coalesce(F.try_element_at(upto, F.lit(-1)), F.lit(1).cast("long")) - 1))
+    return F.get(histogram["value"], F.size(F.filter(upto, lambda c: c <= place)))
+
+
 def seeded_order(seed: int, *keys: str) -> Column:
     """A fixed random order of rows: the hash of seed and keys."""
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 256)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Characters stripped from the ends of an action.
 ACTION_EDGES = "\"'`., \t\n"
 # Bracketed verbs and their plain names.
-VERBS = {"WALK": "walk", "GRAB": "grab", "OPEN": "open", "SWITCHON": "switchon", "PUTBACK": "put", "PUT": "put", "PUTIN": "putin"}
+VERBS = {"WALK": "walk", "GRAB": "grab", "OPEN": "open", "SWITCHON": "switchon", "PUTBACK": "put", "PUTIN": "putin"}
 # Natural-language beginnings of an action, in the order in which they are tried.
 PREFIXES = [
     ("switch on", "switchon"), ("switchon", "switchon"), ("turn on", "switchon"), ("switch", "switchon"),
@@ -24,6 +24,16 @@ ROOMS = {"dining_room": "kitchen", "home_office": "livingroom", "living_room": "
 # Object states that an observation shows.
 STATES = {"OPEN": "open", "CLOSED": "closed", "ON": "on", "OFF": "off", "PLUGGED_IN": "plugged_in", "PLUGGED_OUT": "plugged_out"}
 
+# Bracketed verbs of a model's answer that have another plain name.
+ANSWER_VERBS = {"putback": "put"}
+# Words between the two objects of an action, in the order in which they are tried.
+BETWEEN = ["into", "in", "onto", "on", "to"]
+# The classes that a room's name may stand for, in the order in which they are tried.
+ROOM_CLASSES = {
+    "livingroom": ["livingroom", "living_room", "home_office"], "living room": ["livingroom", "living_room", "home_office"],
+    "kitchen": ["kitchen", "dining_room"], "dining room": ["dining_room", "kitchen"], "bathroom": ["bathroom"], "bedroom": ["bedroom", "kids_bedroom"],
+}
+# Fixed value: the form of a triple.
 TRIPLE = r"\(([^,]+),\s*([^,]+),\s*([^)]+)\)"
 
 
@@ -38,10 +48,10 @@ def normalised_action(x: Column) -> Column:
 
 
 def script_action(x: Column) -> Column:
-    """`[VERB] <a> (1) <b> (2)` as `verb a b`; null if there is no bracketed verb."""
-    verb = F.regexp_extract(x, r"\[([A-Za-z]+)\]", 1)
-    names = F.transform(F.regexp_extract_all(x, F.lit(r"<([^>]+)>"), 1), lambda n: F.trim(n))
-    return F.when(verb != "", F.concat_ws(" ", mapped(F.upper(verb), VERBS, F.lower(verb)), F.array_join(names, " ")))
+    """`[VERB] <a> (1) <b> (2)` as `verb a b`; a line that does not begin with a verb in brackets stays, trimmed."""
+    verb = F.regexp_extract(x, r"^\s*\[([A-Z_]+)\]", 1)
+    names = F.regexp_extract_all(F.regexp_replace(x, r"^\s*\[[A-Z_]+\]", ""), F.lit(r"<([^>]+)>"), 1)
+    return F.when(verb == "", F.regexp_replace(x, r"^\s+|\s+$", "")).otherwise(F.array_join(F.concat(F.array(mapped(verb, VERBS, F.lower(verb))), names), " "))
 
 
 def action_words(x: Column) -> Column:
@@ -75,6 +85,16 @@ def parsed_action(x: Column) -> Column:
     return F.struct(F.when(inside, "putin").otherwise(verb).alias("verb"), rest.alias("rest"))
 
 
+def parsed_command(x: Column) -> Column:
+    """Struct (verb, args) of a model's answer: `[VERB] <a> (1) <b> (2)`, or a natural-language action, whose rest is its one argument."""
+    line = cleaned_prediction(x)
+    bracket = F.replace(F.lower(F.regexp_extract(line, r"^\s*\[([A-Za-z_]+)\]", 1)), F.lit("_"), F.lit(""))
+    names = F.regexp_extract_all(F.regexp_replace(line, r"^\s*\[[A-Za-z_]+\]", ""), F.lit(r"<([^>]+)>"), 1)
+    said = parsed_action(line)
+    rest = F.when(said["verb"].isNull(), F.lit(None)).when(said["rest"] == "", F.array().cast("array<string>")).otherwise(F.array(said["rest"]))
+    return F.struct(F.when(bracket != "", mapped(bracket, ANSWER_VERBS)).otherwise(said["verb"]).alias("verb"), F.when(bracket != "", names).otherwise(rest).alias("args"))
+
+
 def triples(x: Column) -> Column:
     """Distinct (s, r, o) structs of `(s, r, o), ...`, in order of appearance."""
     one = lambda m, i: F.trim(F.regexp_extract(m, TRIPLE, i))
@@ -88,10 +108,11 @@ def triple_texts(x: Column) -> Column:
 
 
 def sentences(x: Column) -> Column:
-    """Lines, and within them parts after `.`, `!` or `?` and white space; empty parts are left out."""
+    """Lines, and within them parts after `.`, `!` or `?` and white space; empty parts are left out. A text without parts is its own part, an empty or null one has none."""
     lines = F.split(x, r"\R")
     parts = F.flatten(F.transform(lines, lambda line: F.split(line, r"(?<=[.!?])\s+")))
-    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+    found = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+    return F.when(F.coalesce(x, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(found) > 0, found).otherwise(F.array(x))
 
 
 def rendered_triples(items: Column) -> Column:
@@ -103,6 +124,16 @@ def after_last(x: Column, marker: str) -> Column:
     return F.substring_index(x, marker, -1)
 
 
+def first_line(x: Column) -> Column:
+    """The first line that is not blank, trimmed; empty without one."""
+    return F.trim(F.regexp_extract(x, r"\A\s*([^\n\r]*)", 1))
+
+
+def goal_visible(observation: Column, family: Column, args: Column) -> Column:
+    """Whether an observation shows the triple that a task makes true; false for a family without one."""
+    return F.coalesce(F.array_contains(triples(observation), goal(family, args)), F.lit(False))
+
+
 def before_first(x: Column, marker: str) -> Column:
     return F.substring_index(x, marker, 1)
 
@@ -112,6 +143,7 @@ def rendered_chat(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), m["content"], F.lit("<|end|>"))), "")
 
 
+# The sentences of the task families, and their goals, in the three functions below.
 def instruction(family: Column, args: Column) -> Column:
     """The sentence that asks for a task of a family."""
     name = lambda i: F.replace(F.get(args, F.lit(i)), F.lit("_"), F.lit(" "))

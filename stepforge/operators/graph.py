@@ -45,6 +45,23 @@ def has_relation(nodes: DataFrame, edges: DataFrame, subject: str, relation: str
     return nodes.select("scene").distinct().join(hits.select("scene", F.lit(True).alias("_h")).distinct(), "scene", "left").select("scene", F.coalesce("_h", F.lit(False)).alias("holds"))
 
 
+def held_objects(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """scene, held: the class at the end of the first edge by which a character holds a node; null where nothing is held.
+
+    nodes (scene, id, class_name), edges (scene, pos, from_id, to_id, relation_type)."""
+    own = nodes.select("scene", "id", "class_name")
+    holds = edges.filter(F.col("relation_type").isin("HOLDS_RH", "HOLDS_LH"))
+    of = holds.join(own.filter("class_name = 'character'").select("scene", F.col("id").alias("from_id")), ["scene", "from_id"], "left_semi")
+    of = of.join(own.withColumnRenamed("id", "to_id"), ["scene", "to_id"]).groupBy("scene").agg(F.min_by("class_name", "pos").alias("held"))
+    return nodes.select("scene").distinct().join(of, "scene", "left")
+
+
+def has_state(nodes: DataFrame, name: str, state: str) -> DataFrame:
+    """scene, holds: whether some node of the class has the state."""
+    one = (F.col("class_name") == name) & F.exists("states", lambda s: F.upper(s) == state)
+    return nodes.groupBy("scene").agg(F.coalesce(F.bool_or(one), F.lit(False)).alias("holds"))
+
+
 def containment_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, root, depth: the nearest of roots (node) that each child of edges (child, parent) lies in; cycles end their path."""
     spark = edges.sparkSession

@@ -144,11 +144,12 @@ def expected_scene_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}') AS sha256 FROM orders
+    SELECT o_orderkey, sha256('{"o_custkey": ' || o_custkey || ', "o_orderkey": ' || o_orderkey || ', "o_orderpriority": "' || o_orderpriority || '", "o_orderstatus": "' || o_orderstatus || '", "place": {"a": "caf\\u00e9", "b": ' || o_orderkey % 7 || '}}') AS sha256 FROM orders
     """
 )
 def hash_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_hashes(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"), "o_orderkey")
+    place = F.struct((F.col("o_orderkey") % 7).alias("b"), F.lit("café").alias("a")).alias("place")
+    return row_hashes(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", place), "o_orderkey")
 
 
 @query(
@@ -164,11 +165,13 @@ def method_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-    SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(\r\n|\n|\r)', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: p <> ''))::BIGINT AS n_sentences FROM documents
+    SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 WHEN len(p) = 0 THEN 1 ELSE len(p) END::BIGINT AS n_sentences, md5(CASE WHEN coalesce(text, '') = '' THEN '' WHEN len(p) = 0 THEN text ELSE array_to_string(p, chr(1)) END) AS parts
+    FROM (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(\r\n|\n|\r)', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: p <> '') AS p FROM documents)
     """
 )
 def sentence_state_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    parts = tx.sentences(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("n_sentences"), F.md5(F.array_join(parts, "\x01").cast("binary")).alias("parts"))
 
 
 @query(r"SELECT page_id, CASE WHEN len(m) = 0 THEN 1 ELSE len(m) END::BIGINT AS n_states, CASE WHEN len(m) = 0 THEN html ELSE '(' || trim(m[1]) || ')' END AS first_state FROM (SELECT page_id, html, regexp_extract_all(html, '\(([^()]*)\)', 1) AS m FROM pages)")
@@ -177,16 +180,31 @@ def html_tuple_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(states).cast("long").alias("n_states"), F.get(states, F.lit(0)).alias("first_state"))
 
 
+#: Passages of fewer than seven words at most.
+SHORT_PASSAGES = 1_000
+
+
 @query("SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage: they meet on the passage's first word runs, then the texts are compared."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    """Documents that hold a benchmark passage: they meet on the passage's first word runs, then the texts are compared.
+
+    Passages of fewer than seven words have no run of five whole words; they are few, and looked for in every text."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).filter("passage is not null")
     inner = F.split("passage", " ")
-    items = items.withColumn("anchor", F.array_join(F.slice(inner, 2, 5), " "))
+    short = items.filter(F.size(inner) < 7).limit(SHORT_PASSAGES + 1).collect()
+    if len(short) > SHORT_PASSAGES:
+        raise ValueError(f"more than {SHORT_PASSAGES} passages of fewer than seven words")
+    items = items.filter(F.size(inner) >= 7).withColumn("anchor", F.array_join(F.slice(inner, 2, 5), " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.split("text", " ")
-    runs = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - 4, F.lit(0))).alias(f"w{k}") for k in range(5)])
-    anchors = docs.select("doc_id", F.explode(runs).alias("r")).select("doc_id", F.concat_ws(" ", *[f"r.w{k}" for k in range(5)]).alias("anchor"))
-    pairs = anchors.join(F.broadcast(items.select("anchor", "item_id")) if items.count() <= 10_000 else items.select("anchor", "item_id"), "anchor").select("doc_id", "item_id").distinct()
-    hits = pairs.join(docs, "doc_id").join(items.select("item_id", "passage"), "item_id").filter(F.contains("text", F.col("passage")))
+    # runs of five words are told apart by their hash; the texts decide
+    run = lambda w, k: F.xxhash64(F.array_join(F.slice(w, k, F.lit(5)), " "))
+    runs = F.when(F.size(words) >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda k: run(words, k))))
+    anchors = docs.select("doc_id", F.explode(runs).alias("anchor"))
+    wanted = items.select(F.xxhash64("anchor").alias("anchor"), "item_id")
+    pairs = anchors.join(F.broadcast(wanted) if items.count() <= 10_000 else wanted, "anchor").select("doc_id", "item_id").distinct()
+    hits = pairs.join(docs, "doc_id").join(items.select("item_id", "passage"), "item_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    if short:
+        held = [F.when(F.contains("text", F.lit(r["passage"])), F.lit(r["item_id"])) for r in short]
+        hits = hits.union(docs.select(F.explode(F.array_compact(F.array(*held))).alias("item_id"), "doc_id"))
     return hits.groupBy("item_id").agg(F.count("*").alias("n_docs"))

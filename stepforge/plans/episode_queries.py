@@ -9,7 +9,7 @@ from stepforge.functions import text as tx
 from stepforge.functions.stats import cyclic_subsets, spaced_picks
 from stepforge.operators import episodes as ep
 from stepforge.operators import metrics
-from stepforge.operators.matching import match_classes
+from stepforge.operators.matching import match_classes, match_pairs
 from stepforge.plans.registry import query, table
 
 
@@ -98,12 +98,13 @@ def normalize_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'walk item_' || user_id WHEN 1 THEN 'put item_' || user_id || ' table' ELSE NULL END AS action FROM events
+    SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'walk item_' || user_id WHEN 1 THEN 'put item_' || user_id || ' table' ELSE CASE WHEN user_id % 2 = 0 THEN 'see [WALK] <x>' ELSE 'look_at' END END AS action FROM events
     """
 )
 def script_to_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(F.lit("<item_"), F.col("user_id").cast("string"), F.lit("> (1)"))
-    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("[WALK] "), item)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("[PUTBACK] "), item, F.lit(" <table> (2)"))).otherwise(F.lit("no script line"))
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("[WALK] "), item)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("[PUTBACK] "), item, F.lit(" <table> (2)")))
+    line = line.otherwise(F.when(F.col("user_id") % 2 == 0, F.lit("  see [WALK] <x> ")).otherwise(F.lit(" [LOOK_AT] ")))
     return table(spark, sf_dir, "events").select("event_id", tx.script_action(line).alias("action"))
 
 
@@ -203,3 +204,48 @@ def cyclic_model_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT i::INTEGER AS place, floor(i * 31 / 3.0)::INTEGER AS layer FROM range(4) t(i)")
 def linspace_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.posexplode(spaced_picks(31, 4)).alias("place", "layer"))
+
+
+@query(
+    """
+    WITH said AS (SELECT event_id, event_id % 6 AS k, user_id AS u FROM events)
+    SELECT event_id, CASE k WHEN 0 THEN 'put' WHEN 1 THEN 'switchon' WHEN 2 THEN 'lookat' WHEN 3 THEN 'putin' WHEN 4 THEN 'open' END AS verb,
+           CASE k WHEN 0 THEN 'cup ' || u || '|table' WHEN 1 THEN 'lamp' WHEN 2 THEN '' WHEN 3 THEN 'cup in box' WHEN 4 THEN '' END AS args
+    FROM said
+    """
+)
+def command_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, u = F.col("event_id") % 6, F.col("user_id").cast("string")
+    said = (
+        F.when(k == 0, F.concat(F.lit("Action: [PUT_BACK] <cup "), u, F.lit("> (1) <table> (2)")))
+        .when(k == 1, F.lit("[switchon] <lamp> (3)"))
+        .when(k == 2, F.lit("[LOOK_AT]"))
+        .when(k == 3, F.lit("put cup in box"))
+        .when(k == 4, F.lit("Open"))
+        .otherwise(F.lit("think about it"))
+    )
+    parsed = tx.parsed_command(said)
+    return table(spark, sf_dir, "events").select("event_id", parsed["verb"].alias("verb"), F.array_join(parsed["args"], "|").alias("args"))
+
+
+@query("SELECT * FROM (VALUES ('dining room', 'dining_room', 1), ('the kitchen', 'kitchen', 1), ('living room', 'home_office', 1), ('Bedroom', 'kids_bedroom', 1), ('bathroom', 'none', 0)) t(phrase, class, tier)")
+def room_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Room names take the first of their classes that a scene has."""
+    classes = spark.createDataFrame([("dining_room",), ("kitchen",), ("home_office",), ("kids_bedroom",)], ["class"])
+    phrases = spark.createDataFrame([("dining room",), ("the kitchen",), ("living room",), ("Bedroom",), ("bathroom",)], ["phrase"])
+    return match_classes(phrases, classes, fuzzy=False).na.fill({"class": "none", "tier": 0})
+
+
+@query(
+    """
+    WITH q AS (SELECT DISTINCT a.p_name AS one, b.p_name AS other FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
+    SELECT 'the ' || one || s || other AS phrase, CASE WHEN s <> ' near ' THEN one END AS "left", CASE WHEN s <> ' near ' THEN other END AS "right"
+    FROM q, (VALUES (' into '), (' On '), (' to '), (' near '), (' ')) t(s)
+    """
+)
+def class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two classes with a word between them, side by side, or with a word that separates nothing."""
+    part = table(spark, sf_dir, "part")
+    pairs = part.select("p_partkey", F.col("p_name").alias("one")).join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey").select("one", "other").distinct()
+    seps = F.explode(F.array(*map(F.lit, [" into ", " On ", " to ", " near ", " "])))
+    return match_pairs(pairs.select("one", "other", seps.alias("s")).select(F.concat(F.lit("the "), "one", "s", "other").alias("phrase")), part.select(F.col("p_name").alias("class")).distinct())

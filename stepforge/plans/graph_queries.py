@@ -106,3 +106,14 @@ def goal_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = F.when(k == 0, "turnon").when(k == 1, "open").when(k == 2, "puton").otherwise("placein")
     rows = table(spark, sf_dir, "part").select("p_partkey", tx.task_family(tx.instruction(family, args)).alias("family"), args.alias("args"))
     return rows.select("p_partkey", "family", tx.rendered_triples(F.array(tx.goal(F.col("family"), F.col("args")))).alias("goal"))
+
+
+@query("WITH f AS (SELECT s_nationkey::VARCHAR AS scene, s_suppkey AS k, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS agent FROM supplier) SELECT scene, min(CASE WHEN k <> agent AND k % 5 = 0 THEN lpad(k::VARCHAR, 12, '0') || ' thing_' || (k % 7) END)[14:] AS held FROM f GROUP BY scene")
+def held_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _scene(spark, sf_dir)
+    return graph.held_objects(nodes, edges.withColumn("pos", F.col("to_id")))
+
+
+@query("WITH f AS (SELECT s_nationkey::VARCHAR AS scene, s_suppkey AS k, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS agent FROM supplier) SELECT scene, count(*) FILTER (k <> agent AND k % 7 = 3 AND k % 2 = 0) > 0 AS holds FROM f GROUP BY scene")
+def node_has_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.has_state(_scene(spark, sf_dir)[0], "thing_3", "OPEN")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepforge.functions.stats import lower_rank
+from stepforge.functions.stats import counted_rank
 from stepforge.operators import planning, retrieval, splits
 from stepforge.plans.registry import query, table
 
@@ -134,7 +134,9 @@ def split_counts_lower_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_len AS length, p90 FROM (SELECT 'turns' AS conv_len, list_sort(list(n))[floor(0.9 * (count(*) - 1))::INT + 1] AS p90 FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id))")
 def conversation_length_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    return n.agg(lower_rank(F.array_sort(F.collect_list("n")), 0.9).alias("p90")).select(F.lit("turns").alias("length"), "p90")
+    # a row for each length, of which there are few
+    lengths = n.groupBy(F.col("n").alias("value")).agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("h"))
+    return lengths.select(F.lit("turns").alias("length"), counted_rank(F.col("h"), 0.9).alias("p90"))
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P, count(*) FILTER (o_orderstatus = 'X') AS X FROM orders GROUP BY o_orderpriority")
@@ -222,9 +224,11 @@ def greedy_seen_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(chosen)), "place int, p_brand string")
 
 
-@query("SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INTEGER AS pos FROM embeddings) GROUP BY label, pos")
+@query("SELECT label, pos, round(sum(x * m) / greatest(sum(m), 1), 6) AS mean FROM (SELECT label, CASE WHEN label <> 3 AND vec_id % 3 <> 0 THEN 1 ELSE 0 END AS m, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INTEGER AS pos FROM embeddings) GROUP BY label, pos")
 def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = retrieval.mean_vectors(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    """Means of the vectors that a mask keeps; it keeps none of one label, whose means are zeros."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("mask", F.when((F.col("label") != 3) & (F.col("vec_id") % 3 != 0), 1).otherwise(0))
+    means = retrieval.mean_vectors(vectors, ["label"], "embedding", "mask")
     return means.select("label", "pos", F.round("mean", 6).alias("mean"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,8 +181,15 @@ def merged(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def row_hashes(rows: DataFrame, key: str) -> DataFrame:
-    """key, sha256 of each row as JSON with keys in order of name."""
-    return rows.select(key, F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}), 256).alias("sha256"))
+    """key, sha256 of each row as JSON with keys in order of name at every level, `, ` and `: ` between, and ASCII escapes."""
+    ready(rows.sparkSession)
+
+    @F.pandas_udf("string")
+    def canonical(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: hashlib.sha256(json.dumps(json.loads(x), sort_keys=True).encode()).hexdigest())
+
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+    return rows.select(key, canonical(whole).alias("sha256"))
 
 
 def first_document(docs: DataFrame, group: str, order: str, main: str, fallback: str) -> DataFrame:
