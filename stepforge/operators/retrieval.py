@@ -23,11 +23,20 @@ def mean_vectors(vectors: DataFrame, by: list[str], vec: str, weight: str | None
     return long.groupBy(*by, "pos").agg((F.sum(F.col("x") * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(1.0))).alias("mean"))
 
 
+def against_all(queries: DataFrame, query: str, others: DataFrame, other: str, rows: int = 4096) -> DataFrame:
+    """Every query beside every other row, in blocks: others are dealt into blocks of about `rows`, queries into parts, and each block meets each part in a group of its own."""
+    blocks, parts = max(1, -(-others.count() // rows)), queries.sparkSession.sparkContext.defaultParallelism
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("_part", F.pmod(F.xxhash64(query), F.lit(parts)).cast("int")).withColumn("_block", every(blocks))
+    right = others.withColumn("_block", F.pmod(F.xxhash64(other), F.lit(blocks)).cast("int")).withColumn("_part", every(parts))
+    return left.join(right, ["_block", "_part"]).drop("_block", "_part")
+
+
 def nearest_means(queries: DataFrame, means: DataFrame, k: int) -> DataFrame:
     """query, model, distance, rank of the k nearest mean vectors, ties to the smaller model.
 
     queries (query, vec), means (model, vec): one row per model, so the pairs are queries times models."""
-    pairs = queries.join(F.broadcast(means.select("model", F.col("vec").alias("_m"))))
+    pairs = against_all(queries, "query", means.select("model", F.col("vec").alias("_m")), "model")
     far = pairs.select("query", "model", l2_distance(F.col("vec"), F.col("_m")).alias("distance"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 9), "model"))
     return far.withColumn("rank", place).filter(F.col("rank") <= k)
@@ -102,7 +111,7 @@ def nearest_models(protos: DataFrame, queries: DataFrame, k: int = TOP) -> DataF
     ready(protos.sparkSession)
     sets = protos.groupBy("model").agg(F.array_sort(F.collect_list("vec")).alias("a"))
     asked = queries.groupBy(F.col("model").alias("query")).agg(F.array_sort(F.collect_list("vec")).alias("b"))
-    pairs = asked.join(F.broadcast(sets))
+    pairs = against_all(asked, "query", sets, "model")
 
     @F.pandas_udf("double")
     def far(a: pd.Series, b: pd.Series) -> pd.Series:

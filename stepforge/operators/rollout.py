@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.session import ready
@@ -71,7 +71,8 @@ def rollouts(actions: DataFrame, goals: DataFrame, most: int = 30, world: type =
 
     An episode runs in one task, step by step, of which it has `most` at most; parsing failures count as invalid."""
     ready(actions.sparkSession)
-    early = actions.join(goals, "episode")
+    first = Window.partitionBy("episode").orderBy("step")
+    early = actions.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= most).drop("_at").join(goals, "episode")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
@@ -82,13 +83,16 @@ def rollouts(actions: DataFrame, goals: DataFrame, most: int = 30, world: type =
     return early.groupBy("episode").applyInPandas(run, "episode long, success boolean, steps long, invalid_actions long, executed_actions long")
 
 
-def candidate_grid(tasks: DataFrame, scenes: DataFrame, present: DataFrame, scene: str, name: str, more: list[tuple[str, Column]]) -> DataFrame:
-    """scene, task, reason for every task in every scene: 'missing_object', the first of `more` (reason, condition) that holds, or 'ok'.
+def candidate_reasons(tasks: DataFrame, scenes: DataFrame, present: DataFrame, scene: str, name: str, more: list[tuple[str, Column]]) -> DataFrame:
+    """reason, n over every task in every scene: the first of `more` (reason, condition) that holds, 'ok', or 'missing_object'.
 
-    tasks (task, name, ...) is a bounded plan; present (scene, name) says what a scene holds."""
-    grid = scenes.select(scene).distinct().join(F.broadcast(tasks))
-    held = present.select(scene, name).distinct().withColumn("_held", F.lit(True))
-    reason = F.when(F.col("_held").isNull(), "missing_object")
-    for label, broken in more:
+    tasks (task, name, ...), scenes and present (scene, name), what a scene holds. Tasks meet the scenes that hold their
+    object; the others are counted by what is left of all pairs, which are never made."""
+    reason = F.when(more[0][1], more[0][0]) if more else F.when(F.lit(False), "")
+    for label, broken in more[1:]:
         reason = reason.when(broken, label)
-    return grid.join(held, [scene, name], "left").select(scene, "task", reason.otherwise("ok").alias("reason"))
+    own = scenes.select(scene).distinct()
+    held = present.select(scene, name).distinct().join(own, scene, "left_semi").join(tasks, name)
+    counts = held.groupBy(reason.otherwise("ok").alias("reason")).agg(F.count("*").alias("n"))
+    missing = counts.agg((F.lit(own.count() * tasks.count()) - F.coalesce(F.sum("n"), F.lit(0))).alias("n")).filter("n > 0")
+    return counts.unionByName(missing.select(F.lit("missing_object").alias("reason"), "n"))

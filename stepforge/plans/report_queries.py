@@ -29,8 +29,7 @@ def simulated_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def candidate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "part").select("p_brand").distinct().select(F.col("p_brand").alias("task"), "p_brand")
-    grid = rollout.candidate_grid(tasks, table(spark, sf_dir, "supplier"), members(spark, sf_dir), "s_nationkey", "p_brand", [("too_long", F.length("task") > 7)])
-    return grid.groupBy("reason").agg(F.count("*").alias("n"))
+    return rollout.candidate_reasons(tasks, table(spark, sf_dir, "supplier"), members(spark, sf_dir), "s_nationkey", "p_brand", [("too_long", F.length("task") > 7)])
 
 
 @query("SELECT o_orderpriority || chr(9) || o_orderstatus || chr(9) || printf('%.6f', count(*)::DOUBLE) AS line FROM orders GROUP BY o_orderpriority, o_orderstatus")

@@ -33,6 +33,18 @@ def test_query(spark, sf_dir, duck, name):
         assert len(got)
 
 
+def test_fuzzy_matches_by_brute_force(spark, sf_dir, duck):
+    from difflib import SequenceMatcher
+
+    names = [n for (n,) in duck.sql("SELECT DISTINCT p_name FROM part").fetchall()]
+    for r in queries()["fuzzy_class_match"](spark, sf_dir).collect():
+        if r.tier == 4 or r["class"] is None:
+            ratio = {n: SequenceMatcher(None, r.phrase.replace("_", " "), n).ratio() for n in names}
+            best = max(ratio.values())
+            assert (r["class"] is None) == (best < 0.88)
+            assert r["class"] is None or ratio[r["class"]] == best
+
+
 def test_entry(spark):
     import __spark_entry__
 
