@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import ready, text_slices
+from stepforge.llm.common import mixed, ready, text_slices
 from stepforge.llm.pretokens import Memory, units
 
 SPACE = "▁"
@@ -27,6 +27,8 @@ SPACE = "▁"
 REMEMBERED, REMEMBERED_PAIRS = 600_000, 500_000
 #: UTF-8 bytes of a slice of texts, and characters that one suffix array indexes.
 SLICE, INDEXED = 4 << 20, 400_000
+#: Characters of strings that are relaxed together, and slots (as a power of two) for pairs met lately.
+SHORT, SLOT_BITS = 64, 20
 _RUN = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -62,6 +64,8 @@ class PieceModel:
         self.first_key, self.last_key = keys.view(as_bytes).ravel(), last.view(as_bytes).ravel()
         self.known = Memory(REMEMBERED)
         self.pairs: dict[int, bool] = {}
+        self.slot_keys, self.slot_fits = np.full(1 << SLOT_BITS, -1), np.zeros(1 << SLOT_BITS, dtype=bool)
+        self.lengths = np.array([len(x) for x in names])
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges done one by one: best score first, the leftmost of equals."""
@@ -101,34 +105,73 @@ class PieceModel:
 
     def encode_units(self, strings: list[str]) -> list[bytes]:
         """Ids of strings that no piece crosses the border of."""
-        out = [b""] * len(strings)
+        out, at = [b""] * len(strings), 0
         plain = [k for k, s in enumerate(strings) if s]
-        at = 0
         while at < len(plain):
             stop, size = at, 0
             while stop < len(plain) and (stop == at or size + len(strings[plain[stop]]) < INDEXED):
                 size += len(strings[plain[stop]]) + 1
                 stop += 1
             for k, ids in zip(plain[at:stop], self._relaxed([strings[k] for k in plain[at:stop]]), strict=True):
-                out[k] = np.array(ids, dtype="<u4").tobytes()
+                out[k] = ids
             at = stop
         return out
 
-    def _relaxed(self, strings: list[str]) -> Iterator[list[int]]:
+    def _fits(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the two pieces of each key stand side by side unmerged. Slots hold the pairs met lately."""
+        slot = (mixed(keys.view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        fits = self.slot_fits[slot]
+        miss = np.flatnonzero(self.slot_keys[slot] != keys)
+        if len(miss):
+            new, back = np.unique(keys[miss], return_inverse=True)
+            found = np.zeros(len(new), dtype=bool)
+            for n, key in enumerate(new.tolist()):
+                known = self.pairs.get(key)
+                if known is None:
+                    known = self.pairs[key] = self._apart(key >> 20, key & 0xFFFFF)
+                found[n] = known
+            fits[miss] = found[back]
+            self.slot_keys[slot[miss]], self.slot_fits[slot[miss]] = keys[miss], fits[miss]
+        return fits
+
+    def _relaxed(self, strings: list[str]) -> list[bytes]:
         text = "\0".join(strings)
-        begins = np.cumsum([0] + [len(s) + 1 for s in strings[:-1]])
+        sizes = np.array([len(s) for s in strings], dtype=np.int64)
+        begins = np.cumsum(sizes + 1) - sizes - 1
         ends, starts, ids = self.edges(text)
-        # -1 where a string begins, -2 behind a character without a piece, -3 where nothing is known yet
-        known = np.full(len(text) + 1, -3)
-        known[1:][np.array([c not in self.rank for c in text], dtype=bool)] = -2
-        known[begins] = -1
-        last, pairs = known.tolist(), self.pairs
-        if len(pairs) > REMEMBERED_PAIRS:
-            pairs.clear()
-        for end, start, i in zip(ends.tolist(), starts.tolist(), ids.tolist()):
-            if last[end] >= -1:
+        # the last piece of each prefix: -1 where a string begins, -2 behind a character without a piece, -3 where nothing is known yet
+        last = np.full(len(text) + 1, -3)
+        last[1:][np.array([c not in self.rank for c in text], dtype=bool)] = -2
+        last[begins] = -1
+        if len(self.pairs) > REMEMBERED_PAIRS:
+            self.pairs.clear()
+        of = np.searchsorted(begins, ends - 1, side="right") - 1
+        depth = ends - begins[of]
+        short = sizes <= SHORT
+        # of short strings, prefixes of one length are relaxed together
+        order = np.flatnonzero(short[of])
+        order = order[np.argsort(depth[order], kind="stable")]
+        steps = np.searchsorted(depth[order], np.arange(1, int(sizes[short].max(initial=0)) + 2))
+        for low, high in zip(steps[:-1], steps[1:], strict=True):
+            own = order[low:high]
+            end, i, before = ends[own], ids[own], last[starts[own]]
+            can = before != -3
+            behind = np.flatnonzero(before >= 0)
+            can[behind] = self._fits(before[behind] << 20 | i[behind])
+            end, i = end[can], i[can]
+            first = np.flatnonzero(np.diff(end, prepend=-1))
+            last[end[first]] = i[first]
+        self._relaxed_one_by_one(last, *(x[~short[of]] for x in (ends, starts, ids)))
+        return self._read_back(text, strings, begins, sizes, short, last)
+
+    def _relaxed_one_by_one(self, last: np.ndarray, ends: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> None:
+        if not len(ends):
+            return
+        now, pairs = last.tolist(), self.pairs
+        for end, start, i in zip(ends.tolist(), starts.tolist(), ids.tolist(), strict=True):
+            if now[end] >= -1:
                 continue
-            before = last[start]
+            before = now[start]
             if before >= 0:
                 key = before << 20 | i
                 fits = pairs.get(key)
@@ -138,18 +181,38 @@ class PieceModel:
                     continue
             elif before == -3:
                 continue
-            last[end] = i
-        for b, s in zip(begins.tolist(), strings, strict=True):
-            at, out = b + len(s), []
-            while at > b:
-                i = last[at]
+            now[end] = i
+        last[:] = now
+
+    def _read_back(self, text: str, strings: list[str], begins: np.ndarray, sizes: np.ndarray, short: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """Ids of each string, from its end to its beginning; all short strings a step at a time."""
+        plain = np.ones(len(strings), dtype=bool)
+        at, left = begins + sizes, np.flatnonzero(short)
+        owners, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(left):
+            i = last[at[left]]
+            plain[left[i < 0]] = False  # a character without a piece
+            left, i = left[i >= 0], i[i >= 0]
+            owners.append(left)
+            pieces.append(i)
+            at[left] -= self.lengths[i]
+            left = left[at[left] > begins[left]]
+        owner, piece = np.concatenate(owners[::-1]), np.concatenate(pieces[::-1]).astype("<u4")
+        flat = piece[np.argsort(owner, kind="stable")].tobytes()
+        stops = np.cumsum(np.bincount(owner, minlength=len(strings))) * 4
+        out = [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        for k in np.flatnonzero(~(plain & short)).tolist():
+            end, b, own = int(begins[k] + sizes[k]), int(begins[k]), []
+            while end > b:
+                i = int(last[end])
                 if i < 0:
-                    out += [self.bytes[x] for x in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
-                    at -= 1
+                    own += [self.bytes[x] for x in reversed(text[end - 1].encode("utf-8", "surrogatepass"))]
+                    end -= 1
                 else:
-                    out.append(i)
-                    at -= len(self.names[i])
-            yield out[::-1]
+                    own.append(i)
+                    end -= len(self.names[i])
+            out[k] = np.array(own[::-1], dtype="<u4").tobytes()
+        return out
 
     def _remembered(self, strings: list[str]) -> list[bytes]:
         distinct = list(dict.fromkeys(strings))
