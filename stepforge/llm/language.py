@@ -63,7 +63,7 @@ def gram_counts(texts: list[str | None]) -> tuple[Counts, np.ndarray]:
     codes = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     owner = np.repeat(np.arange(len(lower)), [len(t) + 1 for t in lower])
     letter = _is_letter(codes)
-    keep = letter | np.concatenate([[True], letter[:-1]])  # of what is between letters, the first character
+    keep = letter | np.concatenate([[False], letter[:-1]])  # of what is between letters, the first character
     codes, owner, letter = np.where(letter, codes, 32)[keep].astype(np.uint64), owner[keep], letter[keep]
     cells = []
     for n in GRAMS:

@@ -486,3 +486,69 @@ def test_slices_hold_whole_rows():
     assert [t for b in out for t in b.column("text").to_pylist()] == rows
     assert all(sum(len(t or "") for t in b.column("text").to_pylist()) <= 200 or b.num_rows == 1 for b in out)
     assert max(b.num_rows for b in out) <= 20
+
+
+def test_grams_and_cosines_by_brute_force(documents):
+    texts = [r.text for r in documents.limit(40).collect()] + ["  Ab, cd1e", "", None, "x", " 12 ", "ÄÖ ßß"]
+
+    def grams(text):
+        plain = "".join(c if c.isalpha() else " " for c in (text or "").lower() + " ")
+        plain = re.sub(" +", " ", plain).lstrip()
+        return Counter(plain[k : k + n] for n in language.GRAMS for k in range(len(plain) - n + 1))
+
+    counts, has = language.gram_counts(texts)
+    for i, text in enumerate(texts):
+        one, _ = language.gram_counts([text])
+        own = counts.owner == i
+        assert (one.cell.tolist(), one.n.tolist()) == (counts.cell[own].tolist(), counts.n[own].tolist())
+        assert one.n.sum() == sum(grams(text).values()) and has[i] == any(c.isalpha() for c in text or "")
+        if text and len(text) < 20:
+            assert sorted(one.n.tolist()) == sorted(grams(text).values())
+    model = language.fit(documents)
+    at, score = model.nearest(counts)
+    for i in np.flatnonzero(has):
+        v = np.zeros(1 << language.DIM_BITS)
+        for cell, n in zip(counts.cell[counts.owner == i], counts.n[counts.owner == i], strict=True):
+            v[cell] = np.log(1 + n) * model.idf[cell]
+        cosines = [float(v @ c) / float(np.sqrt(v @ v)) for c in model.centers]
+        assert abs(max(cosines) - score[i]) < 1e-4 and model.owner[int(np.argmax(cosines))] == at[i]
+    assert all(abs(float(c @ c) - 1) < 1e-4 for c in model.centers) and max(np.bincount(model.owner)) <= language.CENTROIDS
+
+
+def test_toxic_features_and_trees_by_brute_force(documents):
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "fool": 1.6}, {"idio": 1.8})
+    texts = ["You are an IDIOT!", "1d1ot fool, you", "fool a b c d e you", "", "Fine weather\ttoday", "vous! tu @fool idiots ABC"] + [r.text for r in documents.limit(20).collect()]
+    got = toxicity.features(toxicity.Units(lexicon), pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        words = re.sub(r"[\t\n\v\f\r]", " ", text).split(" ")
+        cores = [toxicity.core(w) for w in words]
+        hit = [max(lexicon.weights(c)) > 0 for c in cores]
+        you = [c in toxicity.SECOND_PERSON for c in cores]
+        n = max(1, sum(map(bool, words)))
+        letters, digits = sum(c.isalpha() for c in text), sum(c.isdigit() for c in text)
+        want = {
+            "hits": sum(hit), "hit_density": sum(hit) / n, "you_density": sum(you) / n, "exclaim_density": text.count("!") / n, "log_units": np.log1p(n),
+            "near_you": sum(h and any(you[max(0, k - toxicity.NEAR) : k] + you[k + 1 : k + 1 + toxicity.NEAR]) for k, h in enumerate(hit)),
+            "upper_share": sum(c.isalpha() and c.isupper() for c in text) / max(1, letters), "digit_share": digits / max(1, sum(map(len, words))),
+            "word_sum": sum(lexicon.weights(c)[0] for c in cores), "hidden_most": max(lexicon.weights(c)[2] for c in cores),
+        }
+        for name, value in want.items():
+            assert abs(row[toxicity.FEATURES.index(name)] - value) < 1e-5, (text, name)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((300, 4)), 1)
+    trees = toxicity.Trees(rounds=8, depth=3).fit(x, (x[:, 0] > x[:, 1]).astype(float), np.ones(300))
+    for row, raw in zip(x, trees.raw(x), strict=True):
+        total = trees.base
+        for axis, cut, value in trees.trees:
+            node = 0
+            while node < len(axis):
+                edges = trees.edges[axis[node]]
+                node = 2 * node + 1 + (sum(e < row[axis[node]] for e in edges) > cut[node])
+            total += value[node - len(axis)]
+        assert abs(total - raw) < 1e-9
+
+
+def test_sanitised_and_first_of_each_without_rows(none):
+    for f in (personal_data.sanitised, near_dups.first_of_each):
+        out = f(none)
+        assert out.columns == none.columns and out.collect() == []
