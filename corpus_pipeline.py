@@ -17,28 +17,38 @@ from stepforge.llm.toxicity import scored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those that are rejected go."""
+    """Documents whose language is identified; those that are rejected go.
+
+    Null, empty and letterless texts go too. Repeated rows are each decided alike, a null doc_id is no reason to go, all
+    columns stay, an empty table gives an empty one; the same holds for the next stage."""
     return identified(docs).filter("not rejected").select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
+    """Documents that are not predicted to be toxic; null and empty texts are scored as texts without words."""
     return scored(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Rows that repeat a kept doc_id stay once; rows without doc_id, and null or wordless texts, are no one's duplicates
+    and stay. All columns stay, an empty table gives an empty one."""
     return first_of_each(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and terms that give it away replaced; n_chars follows the new text."""
+    """All documents, personal data and terms that give it away replaced; n_chars follows the new text.
+
+    Null texts stay null, repeated rows are rewritten alike, all columns stay, an empty table gives an empty one."""
     clean = sanitised(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of every document: the sequence that holds it and its place there."""
+    """A row per piece of every document: the sequence that holds it and its place there.
+
+    A null or empty text is one piece, the end id; repeated rows are packed each; an empty table gives no rows."""
     # workers of the stages before hold memory of their own
     return packed_documents(docs, tokenizer("word_bpe_49k.json"), remembered=300_000)
 
