@@ -171,3 +171,16 @@ def task_family(text: Column) -> Column:
         .when(low.startswith("put ") & F.contains(low, F.lit(" on ")), "puton")
         .when(low.startswith("place ") & F.contains(low, F.lit(" in ")), "placein")
     )
+
+
+# What stands around a model's answer.
+SPEAKER, ANSWER_START, ANSWER_END = "assistant", "<|end_header_id|>", "<|eot_id|>"
+
+
+def decoded_action(x: Column, strict: bool = False) -> Column:
+    """The first line of a decoded answer: behind the last SPEAKER, then behind the first ANSWER_START, before the first ANSWER_END.
+
+    An answer without any text gives an empty line, or with strict an error."""
+    said = F.element_at(F.split(after_last(x, SPEAKER), r"\Q" + ANSWER_START + r"\E", 2), -1)
+    line = first_line(F.substring_index(said, ANSWER_END, 1))
+    return F.when(F.coalesce(line, F.lit("")) == "", F.raise_error(F.lit("an answer without an action"))).otherwise(line) if strict else line

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.functions.text import ROOMS, STATES, mapped, rendered_triples
+from stepforge.session import cut
 
 # Categories that are no objects.
 NOT_OBJECTS = ("Floor", "Walls", "Ceiling", "Doors")
@@ -63,24 +64,20 @@ def has_state(nodes: DataFrame, name: str, state: str) -> DataFrame:
 
 
 def containment_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, root, depth: the nearest of roots (node) that each child of edges (child, parent) lies in; cycles end their path."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_inside_edges")
-    roots.createOrReplaceTempView("_inside_roots")
-    reached = spark.sql(
-        """
-        WITH RECURSIVE up AS (
-            SELECT DISTINCT child AS start, child AS at, 0 AS depth, array(child) AS path FROM _inside_edges
-            UNION ALL
-            SELECT up.start, e.parent, up.depth + 1, concat(up.path, array(e.parent))
-            FROM up JOIN _inside_edges e ON e.child = up.at
-            WHERE NOT array_contains(up.path, e.parent)
-        )
-        SELECT start, at, depth FROM up
-        """
-    )
-    found = reached.join(roots.select(F.col("node").alias("at")), "at")
-    return found.groupBy(F.col("start").alias("node")).agg(F.min_by("at", F.struct("depth", "at")).alias("root"), F.min("depth").cast("long").alias("depth"))
+    """node, root, depth: the nearest of roots (node) that each child of edges (child, parent) lies in, the least name of equally near ones.
+
+    Levels are found from the roots down, each node once, so cycles end by themselves; there are as many rounds as levels."""
+    inside = edges.select("child", "parent").distinct()
+    level = roots.select("node", F.col("node").alias("root")).distinct()
+    found, depth = level.withColumn("depth", F.lit(0).cast("long")), 0
+    while True:
+        depth += 1
+        below = inside.join(level, F.col("parent") == F.col("node")).groupBy(F.col("child").alias("node")).agg(F.min("root").alias("root"))
+        level = cut(below.join(found.select("node"), "node", "left_anti"))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.withColumn("depth", F.lit(depth).cast("long")))
+    return found.join(inside.select(F.col("child").alias("node")).distinct(), "node", "left_semi")
 
 
 def best_nodes(nodes: DataFrame, by: list[str], order: list) -> DataFrame:

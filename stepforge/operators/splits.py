@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,34 +76,7 @@ def protected_downsample(rows: DataFrame, key: str, quadrant: str, task: str, sc
     return free.select(*columns, "kept").union(flagged.filter("_p").select(*columns, F.lit(True).alias("kept")))
 
 
-def scene_combination(counts: list[tuple[str, str, int]], scenes: list[str], k: int) -> tuple[str, ...]:
-    """The k scenes whose rows cover tasks best: covered tasks, least count, deviation from the target, total, small names.
-
-    counts holds (scene, task, rows) of one room, a bounded table; all combinations are scored, the first best wins."""
-    tasks = sorted({t for _, t, _ in counts})
-    table = {(s, t): n for s, t, n in counts}
-    target = {t: max(1.0, sum(table.get((s, t), 0) for s in scenes) * k / len(scenes)) for t in tasks}
-
-    def score(combo: tuple[str, ...]) -> tuple:
-        sums = [sum(table.get((s, t), 0) for s in combo) for t in tasks]
-        off = sum(abs(n - target[t]) / target[t] for n, t in zip(sums, tasks, strict=True))
-        return (sum(n > 0 for n in sums), min(sums, default=0), -round(off, 9), sum(sums))
-
-    return max(combinations(sorted(scenes), k), key=score)
-
-
-def clusters(scenes: DataFrame, scene: str, weight: str, names: list[str]) -> DataFrame:
-    """scene, cluster: scenes in order of falling weight, each to the cluster with least weight, then fewest scenes, then first name."""
-    placed, load = [], {n: [0, 0] for n in names}
-    for row in scenes.orderBy(F.desc(weight), scene).collect():  # an aggregate: a row per scene
-        to = min(names, key=lambda n: (*load[n], n))
-        load[to][0] += row[weight]
-        load[to][1] += 1
-        placed.append((row[scene], to, int(row[weight])))
-    return scenes.sparkSession.createDataFrame(placed, "scene string, cluster string, weight long")
-
-
-def _levelled(used: dict[str, int], room: dict[str, int], take: int) -> dict[str, int]:
+def _levelled(used: dict, room: dict, take: int) -> dict:
     """How many of `take` picks each scene gets if every pick goes to the scene used least so far (first name of equals) that has room."""
     take = min(take, sum(room.values()))
     given = lambda level: {s: min(max(level - used.get(s, 0), 0), room[s]) for s in room}
@@ -120,22 +91,28 @@ def _levelled(used: dict[str, int], room: dict[str, int], take: int) -> dict[str
     return out
 
 
-def eval_spread(rows: DataFrame, task: str, scene: str, key: str, share: float) -> DataFrame:
-    """task, scene, key of rows held out: of each task in turn, max(1, half-even(n * share)) rows from the scenes used least so far.
+def eval_spread(rows: DataFrame, task: str, scene: str, key: str, per_task: int) -> DataFrame:
+    """task, scene, key of rows held out: of each task in turn at most per_task rows, each from the scene used least so far, the first of equals.
 
     The running use of scenes is global, so tasks go one after another; but a scene gives its rows in order of
     key, so the decisions need the counts of (task, scene) alone, and the rows are then chosen where they are."""
-    counts: dict[str, dict[str, int]] = {}
-    for r in rows.groupBy(F.col(task).alias("task"), F.col(scene).alias("scene")).count().collect():  # a row per task and scene
+    own = rows.select(F.col(task).alias("task"), F.col(scene).alias("scene"), F.col(key).alias("key"))
+    counts: dict = {}
+    for r in own.groupBy("task", "scene").count().collect():  # a row per task and scene
         counts.setdefault(r.task, {})[r.scene] = r["count"]
-    used: dict[str, int] = {}
+    used: dict = {}
     quota = []
     for t in sorted(counts):
-        take = max(1, round(sum(counts[t].values()) * share))
-        for s, n in _levelled(used, counts[t], take).items():
+        for s, n in _levelled(used, counts[t], max(0, per_task)).items():
             used[s] = used.get(s, 0) + n
             quota.append((t, s, n))
-    quotas = rows.sparkSession.createDataFrame(quota, "task string, scene string, quota long")
+    kind = own.schema
+    quotas = rows.sparkSession.createDataFrame(quota, f"task {kind['task'].dataType.simpleString()}, scene {kind['scene'].dataType.simpleString()}, quota long")
     place = F.row_number().over(Window.partitionBy("task", "scene").orderBy("key"))
-    own = rows.select(F.col(task).alias("task"), F.col(scene).alias("scene"), F.col(key).alias("key")).join(quotas, ["task", "scene"])
-    return own.withColumn("place", place).filter("place <= quota").select("task", "scene", "key")
+    return own.join(quotas, ["task", "scene"]).withColumn("place", place).filter("place <= quota").select("task", "scene", "key")
+
+
+def task_room_matrix(rows: DataFrame, task: str, room: str, tasks: list[str], rooms: list[str]) -> DataFrame:
+    """A row for each task and a count for each room, zero where there are none; other tasks and rooms are left out."""
+    all_ = rows.sparkSession.createDataFrame([(t,) for t in tasks], f"`{task}` string")
+    return all_.join(rows.groupBy(task).pivot(room, rooms).count(), task, "left").na.fill(0, rooms)

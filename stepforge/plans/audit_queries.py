@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepforge.functions import text as tx
 from stepforge.operators import audit
 from stepforge.plans.registry import query, table
-from stepforge.sources.jsonl import row_hashes, views, without_done
+from stepforge.sources.jsonl import row_hashes, without_done
 
 
 @query("SELECT doc_id, left(sha256(source || ':' || doc_id::VARCHAR), 24) AS episode_id FROM documents")
@@ -152,17 +152,6 @@ def hash_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_hashes(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", place), "o_orderkey")
 
 
-@query(
-    """
-    SELECT "view", lang, count(*) AS n FROM (
-        SELECT 'zero_shot' AS "view", lang FROM documents WHERE doc_id % 10 < 7 UNION ALL SELECT 'eval', lang FROM documents WHERE doc_id % 10 = 7 UNION ALL SELECT 'all', lang FROM documents) GROUP BY 1, 2
-    """
-)
-def method_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return views({"zero_shot": docs.filter("doc_id % 10 < 7"), "eval": docs.filter("doc_id % 10 = 7"), "all": docs}).groupBy("view", "lang").agg(F.count("*").alias("n"))
-
-
 @query(
     r"""
     SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 WHEN len(p) = 0 THEN 1 ELSE len(p) END::BIGINT AS n_sentences, md5(CASE WHEN coalesce(text, '') = '' THEN '' WHEN len(p) = 0 THEN text ELSE array_to_string(p, chr(1)) END) AS parts

@@ -79,31 +79,9 @@ def protected_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "quadrant", "kept")
 
 
-_COMBO_SQL = """
-WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang), s AS (SELECT DISTINCT source FROM c), l AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
-g AS (SELECT s.source, l.lang, coalesce(c.n, 0) AS n, greatest(1.0, l.total * 2.0 / (SELECT count(*) FROM s)) AS target FROM s CROSS JOIN l LEFT JOIN c ON c.source = s.source AND c.lang = l.lang),
-p AS (SELECT a.source AS first, b.source AS second, count(*) FILTER (a.n + b.n > 0) AS covered, min(a.n + b.n) AS least, round(sum(abs(a.n + b.n - a.target) / a.target), 9) AS off, sum(a.n + b.n) AS total
-      FROM g a JOIN g b ON a.lang = b.lang AND a.source < b.source GROUP BY a.source, b.source)
-SELECT first, second FROM p ORDER BY covered DESC, least DESC, off, total DESC, first, second LIMIT 1
-"""
-
-
-@query(_COMBO_SQL)
-def balanced_scene_combo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "documents").groupBy("source", "lang").count().collect()  # a row per scene and task
-    table_ = [(r["source"], r["lang"], r["count"]) for r in counts]
-    return spark.createDataFrame([splits.scene_combination(table_, sorted({s for s, _, _ in table_}), 2)], "first string, second string")
-
-
-@query()
-def scene_cluster_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scenes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return splits.clusters(scenes, "source", "n", ["c0", "c1", "c2"])
-
-
 @query()
 def eval_holdout_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.eval_spread(table(spark, sf_dir, "documents"), "lang", "source", "doc_id", 0.05)
+    return splits.eval_spread(table(spark, sf_dir, "documents"), "lang", "source", "doc_id", 25)
 
 
 _STATS_SQL = """
@@ -139,10 +117,14 @@ def conversation_length_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.select(F.lit("turns").alias("length"), counted_rank(F.col("h"), 0.9).alias("p90"))
 
 
-@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P, count(*) FILTER (o_orderstatus = 'X') AS X FROM orders GROUP BY o_orderpriority")
+@query(
+    """
+    SELECT task AS o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P, count(*) FILTER (o_orderstatus = 'X') AS X
+    FROM (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW', '6-NEVER']) AS task) LEFT JOIN orders ON o_orderpriority = task GROUP BY task
+    """
+)
 def task_room_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rooms = ["F", "O", "P", "X"]
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", rooms).count().na.fill(0, rooms)
+    return splits.task_room_matrix(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "6-NEVER"], ["F", "O", "P", "X"])
 
 
 @query("SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
@@ -186,24 +168,6 @@ def pair_anti_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.top_pairs(planning.without_pairs(pairs, first, "p_brand", "p_type"), "p_brand", "p_type", 32)
 
 
-@query(
-    f"""
-    WITH t AS ({_TOP}), c AS (SELECT p_brand, count(DISTINCT s_nationkey) AS coverage FROM ({_MEMBERS}) GROUP BY p_brand),
-    o AS (SELECT p_brand, row_number() OVER (ORDER BY coverage DESC, p_brand) AS rank FROM c)
-    SELECT 'turnon:' || p_brand AS task_id, 'Turn on ' || replace(p_brand, '_', ' ') AS instruction FROM o WHERE rank <= 9
-    UNION ALL SELECT 'puton:' || p_brand || '|' || p_type, 'Put ' || p_brand || ' on ' || p_type FROM t WHERE rank <= 30
-    """
-)
-def candidate_plan_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stepforge.functions.text import instruction
-
-    own = members(spark, sf_dir)
-    single = planning.coverage_rank(own, "s_nationkey", "p_brand").filter("rank <= 9").select(F.lit("turnon").alias("family"), F.array("p_brand").alias("args"))
-    double = planning.top_pairs(planning.joint_coverage(own, own, "s_nationkey", "p_brand", "p_type"), "p_brand", "p_type", 30).select(F.lit("puton").alias("family"), F.array("p_brand", "p_type").alias("args"))
-    both = single.unionByName(double)
-    return both.select(F.concat("family", F.lit(":"), F.array_join("args", "|")).alias("task_id"), instruction(F.col("family"), F.col("args")).alias("instruction"))
-
-
 _QUOTA_SQL = """
 WITH q AS (SELECT lang, greatest(1, round_even(16.0 * count(*) / (SELECT count(*) FROM documents), 0))::BIGINT AS quota FROM documents GROUP BY lang),
 r AS (SELECT lang, quota, row_number() OVER (ORDER BY quota DESC, lang) AS place, 16 - sum(quota) OVER () AS short FROM q)

@@ -8,8 +8,9 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from stepforge.session import ready
 
@@ -59,6 +60,29 @@ def read_document(spark: SparkSession, path: str, schema: str | None = None) ->
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_like_first(spark: SparkSession, path: str) -> DataFrame:
+    """Rows with the keys and kinds of the first one: others' further keys are left out, missing ones are null."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    if first is None:
+        raise ValueError(f"no rows in {path}")
+    kinds = spark.range(1).select(F.schema_of_json(F.lit(first.value)).alias("kinds")).first().kinds
+    return spark.read.schema(DataType.fromDDL(kinds)).json(path)
+
+
+def evaluation_rows(spark: SparkSession, paths: str | list[str]) -> tuple[str, DataFrame]:
+    """Kind and episodes of line-JSON files: episodes as they are, steps as trajectory and its steps in order.
+
+    The kind is the first registered one that every row passes; no rows, or rows of no kind, are an error."""
+    rows = spark.read.json(paths)
+    kind = kind_of(rows) if rows.columns else None
+    if kind not in ("episodes", "steps"):
+        raise ValueError(f"no rows of a known kind in {paths}")
+    if kind == "steps":
+        step = F.struct(F.col("_meta.step_index").alias("step_index"), "instruction", "observation", "action", "next_observation")
+        rows = rows.groupBy(F.col("_meta.trajectory_id").alias("trajectory_id")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    return kind, rows
+
+
 def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """key, value rows of a JSON object whose values share a type."""
     text = spark.read.text(path, wholetext=True)
@@ -93,21 +117,56 @@ register("episodes", lambda c: F.col("task").isNotNull() & F.col("history").isNo
 register("steps", lambda c: F.col("instruction").isNotNull() & F.col("action").isNotNull() if {"instruction", "observation", "action"} <= set(c) else None)
 
 
-def zip_members(spark: SparkSession, paths: str, pattern: str) -> DataFrame:
-    """archive, member for the members of zip files whose names match; an archive is read by one task, its payload is not unpacked."""
+def _archive(path: str) -> zipfile.ZipFile:
+    """A zip file of any file system that workers reach, read by seeking: its directory stands at the end, members are read alone."""
+    from pyarrow.fs import FileSystem
 
-    def names(batches):
-        import io
+    system, inner = FileSystem.from_uri(path)
+    return zipfile.ZipFile(system.open_input_file(inner))
+
+
+def _files(spark: SparkSession, paths: str) -> DataFrame:
+    # only paths are asked for, so no content is read
+    return ready(spark).read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "file:///").alias("archive"))
 
-        import pandas as pd
 
+def zip_members(spark: SparkSession, paths: str, pattern: str) -> DataFrame:
+    """archive, member for the members of zip files whose names match; only the archives' directories are read."""
+
+    def names(batches):
         for pdf in batches:
-            rows = [(p, n) for p, data in zip(pdf["path"], pdf["content"], strict=True) for n in sorted(zipfile.ZipFile(io.BytesIO(data)).namelist())]
+            rows = [(p, n) for p in pdf["archive"] for n in sorted(_archive(p).namelist())]
             yield pd.DataFrame(rows, columns=["archive", "member"])
 
-    ready(spark)
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(names, "archive string, member string").filter(F.col("member").rlike(pattern))
+    return _files(spark, paths).mapInPandas(names, "archive string, member string").filter(F.col("member").rlike(pattern))
+
+
+def zip_payloads(spark: SparkSession, paths: str, pattern: str, base: Column, order: list[Column], quota: int, accept: Callable[[dict], bool], strict: bool = True) -> DataFrame:
+    """base, pos, archive, member, payload: of each base the first `quota` JSON members, in order, that accept takes.
+
+    A base is one task, which reads members one at a time and stops when it has enough; with strict, too few are an error."""
+    named = zip_members(spark, paths, pattern).withColumn("base", base)
+    listed = named.groupBy("base").agg(F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "archive", "member"))).alias("all"))
+
+    def picked(batches):
+        for pdf in batches:
+            out = []
+            for name, members in zip(pdf["base"], pdf["all"], strict=True):
+                held: dict[str, zipfile.ZipFile] = {}
+                n = 0
+                for m in members:
+                    if n == quota:
+                        break
+                    path = m["archive"]
+                    text = held.setdefault(path, held.get(path) or _archive(path)).read(m["member"]).decode()
+                    if accept(json.loads(text)):
+                        out.append((name, n, path, m["member"], text))
+                        n += 1
+                if strict and n < quota:
+                    raise ValueError(f"{name}: {n} of {quota} members after all {len(members)}")
+            yield pd.DataFrame(out, columns=["base", "pos", "archive", "member", "payload"])
+
+    return listed.repartition("base").mapInPandas(picked, "base string, pos int, archive string, member string, payload string")
 
 
 def game_fields(path):
@@ -122,14 +181,27 @@ def without_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+def _sorted(x: Column, kind: DataType) -> Column:
+    """A value with the keys of its structs and maps in order of name, at every level."""
+    if isinstance(kind, StructType):
+        return F.when(x.isNotNull(), F.struct(*[_sorted(x.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]))
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda e: _sorted(e, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(x), lambda e: F.struct(e["key"].alias("key"), _sorted(e["value"], kind.valueType).alias("value")))))
+    return x
+
+
 def sorted_columns(rows: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(f"`{c}`") for c in sorted(rows.columns)])
+    return rows.select(*[_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(rows.schema, key=lambda f: f.name)])
 
 
-def write_jsonl(rows: DataFrame, path: str, partition: list[str] | None = None) -> None:
-    """Line-JSON with keys in order of name, replacing what is there; with partition, a folder per value."""
-    writer = sorted_columns(rows).write.mode("overwrite").option("ignoreNullFields", False)
+def write_jsonl(rows: DataFrame, path: str, partition: list[str] | None = None) -> int:
+    """Line-JSON with keys in order of name at every level, replacing what is there; with partition, a folder per value. The rows written are counted on the way."""
+    seen = Observation()
+    writer = sorted_columns(rows).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("ignoreNullFields", False)
     (writer.partitionBy(*partition) if partition else writer).json(path)
+    return seen.get["n"]
 
 
 def document(value: object) -> str:
@@ -166,6 +238,25 @@ def swap_in(rows: DataFrame, path: str, check: Callable[[DataFrame], bool]) -> N
     fs.rename(jvm.org.apache.hadoop.fs.Path(staged), where)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file, replacing what is there."""
+    where, fs = _fs(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def copied(spark: SparkSession, source: str, target: str) -> None:
+    """A copy of a file or folder at a second path that other readers expect, replacing what is there."""
+    (start, fs), (end, other) = _fs(spark, source), _fs(spark, target)
+    if not fs.exists(start):
+        raise FileNotFoundError(source)
+    other.delete(end, True)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, start, other, end, False, True, spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def views(parts: dict[str, DataFrame]) -> DataFrame:
     """The rows of several views, marked by name, for one partitioned write."""
     out = None
