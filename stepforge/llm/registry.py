@@ -13,6 +13,7 @@ from stepforge.llm.near_dups import near_duplicates
 from stepforge.llm.neighbours import nearest
 from stepforge.llm.packing import packed_documents
 from stepforge.llm.personal_data import private_digest
+from stepforge.llm.phrases import deduplicated
 from stepforge.llm.pieces import piece_digest
 from stepforge.llm.sharding import shard_digest
 from stepforge.llm.token_counts import token_counts
@@ -69,6 +70,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
+REPEATED_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+owners AS (SELECT h, min(doc_id) AS owner FROM windows GROUP BY h),
+gone AS (SELECT doc_id, i AS hit FROM windows JOIN owners USING (h) WHERE owner < doc_id),
+words AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d)),
+hits AS (
+    SELECT w.doc_id, w.word, w.i, max(g.hit) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS removed
+    FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.hit = w.i
+), counts AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT removed), '') AS left_over FROM hits GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM documents LEFT JOIN counts USING (doc_id)
+"""
+
 TOP_K_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS q
@@ -105,9 +126,9 @@ FROM documents d JOIN reach r ON r.id = d.doc_id LEFT JOIN sizes s ON s.doc_id =
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_sentencepiece, op2_hyperminhash, op3_hilbert_neighbours, op4_toxicity, op5_personal_data, op6_exact_top_k, op7_token_counts, op8_sharding, op9_packing, op10_language)
+    every = (op1_sentencepiece, op2_hyperminhash, op3_hilbert_neighbours, op4_toxicity, op5_personal_data, op6_exact_top_k, op7_token_counts, op8_sharding, op9_packing, op10_language, op11_repeated_phrases)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_hyperminhash": NEAR_SQL, "op6_exact_top_k": TOP_K_SQL}
+    return {"op2_hyperminhash": NEAR_SQL, "op6_exact_top_k": TOP_K_SQL, "op11_repeated_phrases": REPEATED_SQL}

@@ -44,14 +44,34 @@ def runs(data: np.ndarray, terms: bool = False) -> tuple[np.ndarray, np.ndarray]
     return edges[::2], edges[1::2]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z taken as a-z: differences of one prefix sum over the slice."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, with lower A-Z taken as a-z: differences of one prefix sum over the slice."""
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up[:-1], out=sums[1:])
+    np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[:-1], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of width hashes, by the place where it starts."""
+    n = max(0, len(hashes) - width + 1)
+    up, down = _power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[:-1], out=sums[1:])
+    return mixed((sums[width : width + n] - sums[:n]) * down[:n])
+
+
+def least_of_runs(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of width values: minima from both ends of blocks of width."""
+    n = max(0, len(values) - width + 1)
+    blocks = np.full(-(-len(values) // width) * width, np.iinfo(values.dtype).max, dtype=values.dtype)
+    blocks[: len(values)] = values
+    blocks = blocks.reshape(-1, width)
+    down = np.minimum.accumulate(blocks, axis=1).ravel()
+    up = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(up[:n], down[width - 1 : width - 1 + n])
+
+
 _PLACE = seeded(6, 12) | np.uint64(1)
 
 
