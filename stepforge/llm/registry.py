@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stepforge.llm.common import table
+from stepforge.llm.divergence import audited
 from stepforge.llm.language import language_digest
 from stepforge.llm.near_dups import near_duplicates
 from stepforge.llm.neighbours import nearest
@@ -74,6 +75,10 @@ def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents"))
+
+
 REPEATED_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
@@ -90,6 +95,28 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::
 FROM documents LEFT JOIN counts USING (doc_id)
 """
 
+DIVERGENCE_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+gp AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s) AS p FROM grid WINDOW s AS (PARTITION BY lang, source)),
+lq AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) WINDOW s AS (PARTITION BY lang)),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN gp x ON x.lang = a.lang AND x.source = a.source LEFT JOIN gp y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+    GROUP BY a.lang, a.source, b.source
+), terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM gp JOIN lq USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 50
+"""
+
 TOP_K_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS q
@@ -126,9 +153,9 @@ FROM documents d JOIN reach r ON r.id = d.doc_id LEFT JOIN sizes s ON s.doc_id =
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_sentencepiece, op2_hyperminhash, op3_hilbert_neighbours, op4_toxicity, op5_personal_data, op6_exact_top_k, op7_token_counts, op8_sharding, op9_packing, op10_language, op11_repeated_phrases)
+    every = (op1_sentencepiece, op2_hyperminhash, op3_hilbert_neighbours, op4_toxicity, op5_personal_data, op6_exact_top_k, op7_token_counts, op8_sharding, op9_packing, op10_language, op11_repeated_phrases, op12_source_divergence)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_hyperminhash": NEAR_SQL, "op6_exact_top_k": TOP_K_SQL, "op11_repeated_phrases": REPEATED_SQL}
+    return {"op2_hyperminhash": NEAR_SQL, "op6_exact_top_k": TOP_K_SQL, "op11_repeated_phrases": REPEATED_SQL, "op12_source_divergence": DIVERGENCE_SQL}
