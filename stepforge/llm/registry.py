@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stepforge.llm.common import table
 from stepforge.llm.divergence import audited
+from stepforge.llm.hard_negatives import hard_negatives
 from stepforge.llm.language import language_digest
 from stepforge.llm.near_dups import near_duplicates
 from stepforge.llm.neighbours import nearest
@@ -79,6 +80,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 REPEATED_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
@@ -117,6 +122,23 @@ SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PAR
 FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 50
 """
 
+NEGATIVES_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 TOP_K_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS q
@@ -153,9 +175,9 @@ FROM documents d JOIN reach r ON r.id = d.doc_id LEFT JOIN sizes s ON s.doc_id =
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_sentencepiece, op2_hyperminhash, op3_hilbert_neighbours, op4_toxicity, op5_personal_data, op6_exact_top_k, op7_token_counts, op8_sharding, op9_packing, op10_language, op11_repeated_phrases, op12_source_divergence)
+    every = (op1_sentencepiece, op2_hyperminhash, op3_hilbert_neighbours, op4_toxicity, op5_personal_data, op6_exact_top_k, op7_token_counts, op8_sharding, op9_packing, op10_language, op11_repeated_phrases, op12_source_divergence, op13_hard_negatives)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_hyperminhash": NEAR_SQL, "op6_exact_top_k": TOP_K_SQL, "op11_repeated_phrases": REPEATED_SQL, "op12_source_divergence": DIVERGENCE_SQL}
+    return {"op2_hyperminhash": NEAR_SQL, "op6_exact_top_k": TOP_K_SQL, "op11_repeated_phrases": REPEATED_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_hard_negatives": NEGATIVES_SQL}

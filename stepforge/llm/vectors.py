@@ -17,6 +17,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine, F.lit(False))
 
 
+def whole_numbers(vector: Column, scale: int) -> tuple[Column, Column]:
+    """Whether the scaled length is below 2 ** 31, so that a long holds every inner product; and the floors of the scaled components."""
+    # components first, so that no square overflows; the floor may lie up to one beyond the component
+    short = F.forall(vector, lambda x: F.abs(x * scale) < 2.0**31) & (F.aggregate(vector, F.lit(0.0), lambda s, x: s + F.pow(F.abs(x * scale) + 1, F.lit(2.0))) < 2.0**62)
+    return short, F.transform(vector, lambda x: F.floor(x * scale).cast("long"))
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
     """Rows of a list column whose lists are of one length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
