@@ -32,7 +32,7 @@ from stepforge.llm.vectors import block_count, copied, dealt, matrix, usable, wh
 
 SCALE, POSITIVES, NEGATIVES = 256, 5, 10
 #: Rows of a leaf over anchors and over candidates; candidates scored first for a leaf of anchors.
-ANCHOR_LEAF, CANDIDATE_LEAF, FIRST = 32, 128, 512
+ANCHOR_LEAF, CANDIDATE_LEAF, FIRST = 16, 128, 512
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
