@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepforge.operators import membership
+
 
 def overlap(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """One row: n, the distinct keys on both sides."""
@@ -15,8 +17,12 @@ def overlap(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 def leakage(train: DataFrame, held: DataFrame, checks: dict[str, list[str]]) -> DataFrame:
     """check, n for every named key: distinct values that both sides hold."""
-    parts = [overlap(train, held, on).select(F.lit(name).alias("check"), "n") for name, on in checks.items()]
-    return reduce(DataFrame.unionByName, parts)
+    of = membership.Views(["train", "held"])
+    keys = {name: F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in on]), F.to_json(F.struct(*[F.col(c) for c in on]))) for name, on in checks.items()}
+    columns = list(dict.fromkeys(c for on in checks.values() for c in on))
+    masks = of.masks(membership.union({"train": train.select(*columns), "held": held.select(*columns)}, "_view"), keys, "_view")
+    rules = [(name, "held", "error", of.shared(name, ["train"], ["held"]), F.col("n") > 0) for name in checks]
+    return membership.counted(masks, rules).select(F.col("rule").alias("check"), "n")
 
 
 def multiset_difference(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions.stats import seeded_order
 from stepforge.functions.text import action_words, goal, goal_visible, sentences, triple_texts, triples
+from stepforge.operators import membership
 
 # Verbs of step rows, those of two objects, and the verb that each task family ends with.
 ALLOWED, TWO_OBJECTS = ("walk", "grab", "open", "switchon", "put", "putin"), ("put", "putin")
@@ -164,12 +163,13 @@ def prototype_texts(rows: DataFrame, key: str) -> DataFrame:
 
 def release_report(views: dict[str, DataFrame], key: str, disjoint: list[tuple[str, str]], nested: list[tuple[str, str]]) -> DataFrame:
     """view, error, n for the views of a release: keys that repeat in a view, that two disjoint views share, or that a nested view has and its outer one has not."""
-    ids = {name: rows.select(key) for name, rows in views.items()}
-    parts = [rows.groupBy(key).count().filter("count > 1").agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), F.lit("repeated").alias("error"), "n") for name, rows in ids.items()]
-    shared = lambda a, b, how: ids[a].distinct().join(ids[b].distinct(), key, how).agg(F.count("*").alias("n"))
-    parts += [shared(a, b, "left_semi").select(F.lit(a).alias("view"), F.lit(f"shared with {b}").alias("error"), "n") for a, b in disjoint]
-    parts += [shared(a, b, "left_anti").select(F.lit(a).alias("view"), F.lit(f"not in {b}").alias("error"), "n") for a, b in nested]
-    return reduce(DataFrame.unionByName, parts).filter("n > 0")
+    of = membership.Views(list(views))
+    masks = of.masks(membership.union({name: rows.select(key) for name, rows in views.items()}, "_view"), {"id": F.col(key)}, "_view")
+    some = F.col("n") > 0
+    rules = [("repeated", name, "error", of.repeated("id", name), some) for name in views]
+    rules += [(f"shared with {b}", a, "error", of.shared("id", [a], [b]), some) for a, b in disjoint]
+    rules += [(f"not in {b}", a, "error", of.missing("id", [a], [b]), some) for a, b in nested]
+    return membership.counted(masks, rules).filter("broken").select(F.col("subject").alias("view"), F.col("rule").alias("error"), "n")
 
 
 def goal_satisfied(observation: Column, family: Column, args: Column) -> Column:
