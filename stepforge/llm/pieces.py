@@ -4,13 +4,15 @@ The distinct space-delimited units of a batch are concatenated and indexed by a
 binary-searched for its range of occurrences; the occurrences become edges, sorted by the position where they
 end; and edges are relaxed in that order. The model's type decides the relaxation. For the byte-pair type of
 the public model it keeps, for every prefix, the one last piece of that prefix's encoding: an edge extends an
-encoded prefix if the two pieces stand side by side unmerged when they are encoded together. (A sum of
+encoded prefix if the two pieces stand side by side unmerged when they are encoded together. Very long units are indexed
+a window at a time, and the prefixes' pieces carried over. (A sum of
 scores, as for unigram models, would give other pieces.) Characters without a piece become byte pieces.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ REMEMBERED, REMEMBERED_PAIRS = 600_000, 500_000
 SLICE, INDEXED = 4 << 20, 400_000
 #: Characters of strings that are relaxed together, and slots (as a power of two) for pairs met lately.
 SHORT, SLOT_BITS = 64, 20
+#: Longer strings count this many times in an index, since each of their positions may end as many pieces as it has characters to reach back to; and characters of a window of a very long one.
+DENSE, WINDOW = 8, 16_384
 _RUN = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -106,17 +110,54 @@ class PieceModel:
     def encode_units(self, strings: list[str]) -> list[bytes]:
         """Ids of strings that no piece crosses the border of."""
         out, at = [b""] * len(strings), 0
-        plain = [k for k, s in enumerate(strings) if s]
+        plain = []
+        for k, s in enumerate(strings):
+            if len(s) > WINDOW:
+                out[k] = self._windowed(s)
+            elif s:
+                plain.append(k)
         while at < len(plain):
             stop, size = at, 0
-            while stop < len(plain) and (stop == at or size + len(strings[plain[stop]]) < INDEXED):
-                size += len(strings[plain[stop]]) + 1
+            while stop < len(plain):
+                n = len(strings[plain[stop]])
+                n *= DENSE if n > SHORT else 1
+                if stop > at and size + n >= INDEXED:
+                    break
+                size += n + 1
                 stop += 1
             for k, ids in zip(plain[at:stop], self._relaxed([strings[k] for k in plain[at:stop]]), strict=True):
                 out[k] = ids
             at = stop
         return out
 
+    def _windowed(self, string: str) -> bytes:
+        """A string of any length, indexed by a window at a time; each sees what edges that end in it may start from, and the last pieces found so far."""
+        last = np.full(len(string) + 1, -3, dtype=np.int32)
+        last[0] = -1
+        for at in range(0, len(string), WINDOW):
+            low, stop = max(0, at - self.width + 1), min(len(string), at + WINDOW)
+            part = string[low:stop]
+            own = last[low : stop + 1]
+            own[at - low + 1 :][np.array([c not in self.rank for c in string[at:stop]], dtype=bool)] = -2
+            ends, starts, ids = self.edges(part)
+            new = ends > at - low
+            if len(self.pairs) > REMEMBERED_PAIRS:
+                self.pairs.clear()
+            self._relaxed_one_by_one(own, ends[new], starts[new], ids[new])
+        return self._backwards(string, last, 0, len(string))
+
+    def _backwards(self, text: str, last: np.ndarray, begin: int, end: int) -> bytes:
+        own = array("I")
+        while end > begin:
+            i = int(last[end])
+            if i < 0:
+                own.extend([self.bytes[x] for x in reversed(text[end - 1].encode("utf-8", "surrogatepass"))])
+                end -= 1
+            else:
+                own.append(i)
+                end -= len(self.names[i])
+        return np.frombuffer(own, dtype=np.uint32)[::-1].astype("<u4").tobytes() if own else b""
+
     def _fits(self, keys: np.ndarray) -> np.ndarray:
         """Whether the two pieces of each key stand side by side unmerged. Slots hold the pairs met lately."""
         slot = (mixed(keys.view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -202,16 +243,7 @@ class PieceModel:
         stops = np.cumsum(np.bincount(owner, minlength=len(strings))) * 4
         out = [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
         for k in np.flatnonzero(~(plain & short)).tolist():
-            end, b, own = int(begins[k] + sizes[k]), int(begins[k]), []
-            while end > b:
-                i = int(last[end])
-                if i < 0:
-                    own += [self.bytes[x] for x in reversed(text[end - 1].encode("utf-8", "surrogatepass"))]
-                    end -= 1
-                else:
-                    own.append(i)
-                    end -= len(self.names[i])
-            out[k] = np.array(own[::-1], dtype="<u4").tobytes()
+            out[k] = self._backwards(text, last, int(begins[k]), int(begins[k] + sizes[k]))
         return out
 
     def _remembered(self, strings: list[str]) -> list[bytes]:
