@@ -8,7 +8,7 @@ one by a further component that fills every candidate up to the largest norm.
 
 The share of the rows that a window covers is a parameter, not a number of rows: the recall then holds at
 every size, and the work grows with the square of the rows (a fixed part of comparing all). Each vector length
-has ranges of its own; where a range would hold too few vectors, all of that length are compared.
+has ranges of its own, fewer where there are few vectors, so that each range holds as many as are asked for.
 """
 
 from __future__ import annotations
@@ -102,15 +102,16 @@ def _keyed(unit: float, largest: float | None):
 def _divisions(rows: int, k: int) -> tuple[int, int]:
     """Ranges of an ordering of so many vectors, and how many are looked through on either side.
 
-    A range holds k + 1 vectors at least; where there are too few for that, one range holds them all."""
-    if rows < RANGES * (k + 1):
-        return 1, 0
+    A range holds k + 1 vectors at least; a window is the same share of the rows at every size, and one range on either side at least."""
+    ranges = max(1, min(RANGES, rows // (k + 1)))
+    if ranges < RANGES:
+        return ranges, -(-REACH * ranges // RANGES) if ranges > 1 else 0
     finer = max(1, -(-rows // (RANGES * RANGE_ROWS)))
     return RANGES * finer, REACH * finer + (finer - 1) // 2
 
 
 def _ranges(bounds: dict[int, list[list[int]]], reaches: dict[int, int], asking: bool):
-    """For each row its range on every curve, or for queries the first and last of its window; vectors of a length without bounds have one range on one curve."""
+    """For each row its range on every curve, or for queries the first and last of its window."""
     edges = {d: [np.array(x, dtype=np.int64) for x in b] for d, b in bounds.items()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,16 +119,17 @@ def _ranges(bounds: dict[int, list[list[int]]], reaches: dict[int, int], asking:
             if not b.num_rows:
                 continue
             keys, sizes = matrix(b.column("keys"), np.int64), np.asarray(pa.compute.list_value_length(b.column("vec")))
-            windows: list[list[dict[str, int]]] = [[{"first": 0, "last": 0}]] * len(keys)
-            for d in edges.keys() & set(sizes.tolist()):
+            first, last = np.zeros(keys.shape, dtype=np.int32), np.zeros(keys.shape, dtype=np.int32)
+            for d in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == d)
+                ranges = len(edges[d][0]) + 1
+                wide = min(2 * reaches[d], ranges - 1) if asking else 0
                 at = np.stack([np.searchsorted(e, keys[own, c], side="left") for c, e in enumerate(edges[d])], axis=1)
-                wide = 2 * reaches[d] if asking else 0
-                first = np.clip(at - wide // 2, 0, len(edges[d][0]) - wide)
-                for i, row in zip(own.tolist(), first.tolist(), strict=True):
-                    windows[i] = [{"first": x, "last": x + wide} for x in row]
-            ranges = pa.array(windows, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("place"), b.column("vec"), ranges], names=["vec_id", "place", "vec", "ranges"])
+                first[own] = np.clip(at - (wide + 1) // 2, 0, ranges - 1 - wide) if asking else at
+                last[own] = first[own] + wide
+            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * CURVES)
+            windows = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(first.ravel()), pa.array(last.ravel())], names=["first", "last"]))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("place"), b.column("vec"), windows], names=["vec_id", "place", "vec", "ranges"])
 
     return find
 
@@ -188,7 +190,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     dim = F.size("vec").alias("dim")
     plans = {r.dim: _divisions(r.n, k) for r in keyed.groupBy(dim).agg(F.count("*").alias("n")).collect()}
     asks = {r.dim: r.n for r in asked.groupBy(dim).agg(F.count("*").alias("n")).collect()}
-    bounds: dict[int, list[list[int]]] = {}
+    bounds: dict[int, list[list[int]]] = {d: [[] for _ in range(CURVES)] for d in {*plans, *asks}}
     for ranges in {n for n, _ in plans.values() if n > 1}:
         shares = [i / ranges for i in range(1, ranges)]
         own = keyed.filter(F.size("vec").isin([d for d, (n, _) in plans.items() if n == ranges])).groupBy(dim)

@@ -161,6 +161,24 @@ def test_nearest_few(spark):
         assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(want)
 
 
+def test_few_vectors_go_through_ranges(embeddings, monkeypatch):
+    """Also a small table is searched by ranges of the curves, a share of the rows on each."""
+    seen, real = [], neighbours._ranges
+
+    def spied(bounds, reaches, asking):
+        seen.append((bounds, reaches))
+        return real(bounds, reaches, asking)
+
+    monkeypatch.setattr(neighbours, "_ranges", spied)
+    rows = embeddings.count()
+    neighbours.nearest(embeddings).collect()
+    for bounds, reaches in seen:
+        ranges, reach = len(bounds[64][0]) + 1, reaches[64]
+        assert len(bounds[64]) == neighbours.CURVES and ranges == rows // 21 and 2 * reach + 1 < ranges
+    assert neighbours._divisions(500, 20) == (23, 2) and neighbours._divisions(20, 20) == (1, 0) and neighbours._divisions(50, 20) == (2, 1)
+    assert neighbours._divisions(10_000, 20) == (64, 3) and neighbours._divisions(10**7, 20)[0] == 640
+
+
 def test_hilbert_is_a_walk():
     """Neighbours on the curve differ by one step on one axis, and every cell is met once."""
     for d, bits in ((2, 3), (3, 2)):
