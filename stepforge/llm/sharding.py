@@ -8,11 +8,8 @@ goes to shard p * shards // n, so the row counts of shards are at most one apart
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +36,8 @@ def _ordered(seed: int):
         n = rows.num_rows
         at = np.empty(n, dtype=np.int64)
         at[fisher_yates(n, seed, bucket)] = np.arange(n)
-        crc = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in rows.column("text").to_pylist()]
-        size = pc.add(pc.fill_null(pc.binary_length(rows.column("text")), 0).cast(pa.int64()), ROW_BYTES)
         out = rows.select(["doc_id", "text"])
-        for name, values in (("size", size), ("text_crc32", pa.array(crc, pa.int64())), ("bucket", rows.column("_bucket")), ("at", pa.array(at))):
+        for name, values in (("bucket", rows.column("_bucket")), ("at", pa.array(at))):
             out = out.append_column(name, values)
         return out
 
@@ -50,7 +45,7 @@ def _ordered(seed: int):
 
 
 def shuffled_buckets(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, text, size, text_crc32, bucket and the place (at) in the bucket, for every row of docs.
+    """doc_id, text, bucket and the place (at) in the bucket, for every row of docs.
 
     The number of buckets follows the bytes, so that a bucket fits in memory at every size. Rows are scattered by
     their place in the table as well as by id, so that no id, source or group of copies fills a bucket: the order is
@@ -62,7 +57,7 @@ def shuffled_buckets(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCK
     buckets = max(1, -(-weight // bucket_bytes))
     scattered = named.withColumn("_place", F.monotonically_increasing_id()).withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "_place"))
     scattered = scattered.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)))
-    return scattered.groupBy("_bucket").applyInArrow(_ordered(seed), "doc_id long, text string, size long, text_crc32 long, bucket long, at long")
+    return scattered.groupBy("_bucket").applyInArrow(_ordered(seed), "doc_id long, text string, bucket long, at long")
 
 
 def dealt(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -87,9 +82,12 @@ def dealt(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id and text with size, text_crc32, shard, slot: every row of docs once, in a seeded global order.
 
+    Whole buckets are written to the shared folder, and what is told of them is taken from what was written.
     size counts the UTF-8 bytes of the text (null: none) plus 16. Repeated rows and null ids are rows like
-    others; an empty table gives an empty result; other columns are not carried."""
-    return dealt(kept(shuffled_buckets(docs, seed, bucket_bytes), "shuffled"), shards)
+    others, very long texts make a bucket of their own size; an empty table gives an empty result; other columns are not carried."""
+    rows = dealt(kept(shuffled_buckets(docs, seed, bucket_bytes), "shuffled"), shards)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long")
+    return rows.select("doc_id", "text", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
@@ -101,6 +99,6 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The rows of shuffled_shards without texts, with the law they follow."""
-    rows = dealt(kept(shuffled_buckets(docs).drop("text"), "shuffled"), shards)
+    """The rows of shuffled_shards, whole records written and read again, without texts, with the law they follow."""
+    rows = shuffled_shards(docs, shards)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
