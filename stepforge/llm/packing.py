@@ -5,7 +5,8 @@ Documents become pieces of at most `capacity` tokens. A packing depends on lengt
 the same content are one class with a count. The plan starts best-fit, longest pieces first. Local search then takes
 the least filled class of bins and moves its documents to fuller bins, exchanges one for one, or two for one, each
 step done for as many bins as both classes have and raising the sum of squared fills, until the bins are empty,
-no step is left, or no packing can have fewer bins. What the plan takes does not grow with the number of pieces. Pieces
+no step is left in a whole sweep, or no packing can have fewer bins. Beyond 100,000 pieces one of several groups of the same
+composition is searched for all of them, and then what they leave over. What the plan takes does not grow with the number of pieces. Pieces
 find their places by their rank among those of the same length.
 """
 
@@ -171,9 +172,11 @@ class _Search:
         shortest = np.full(2 * self.capacity + 2, 1 << 40, np.int64)
         np.minimum.at(shortest, reach, length)
         shortest = np.minimum.accumulate(shortest[::-1])[::-1]
-        pairs = [(a, b) for i, a in enumerate(longest_first) for b in longest_first[i:] if a != b or content[a] > 1]
-        for given in ([(a,) for a in longest_first], pairs):
-            total = np.array([sum(x) for x in given], dtype=np.int64)
+        own = np.array(longest_first, dtype=np.int64)
+        i, j = np.triu_indices(len(own))
+        two = (i != j) | (np.array([content[a] for a in longest_first])[i] > 1)
+        i, j = i[two], j[two]
+        for given, total in (((own,), own), ((own[i], own[j]), own[i] + own[j])):
             if not len(total):
                 continue
             gain = total - shortest[total]
@@ -182,8 +185,8 @@ class _Search:
                 back = int(shortest[total[best]])
                 to = owner[(length == back) & (reach >= total[best])]
                 out: Content = {}
-                for x in given[best]:
-                    out[x] = out.get(x, 0) + 1
+                for lengths in given:
+                    out[int(lengths[best])] = out.get(int(lengths[best]), 0) + 1
                 return self._exchanged(least, out, int(to[room[to].argmin()]), back)
         return None
 
@@ -199,24 +202,28 @@ class _Search:
 
 
 def local_search(classes: list[tuple[Content, int]], capacity: int) -> list[tuple[Content, int]]:
-    """Empties bins, the least filled first; bins that no step can empty are left as they are."""
+    """Empties bins, the least filled first, until a whole sweep over all classes finds no step, or no packing can have fewer bins."""
     bound = -(-sum(x * k * n for content, n in classes for x, k in content.items()) // capacity)
-    state = _Search(capacity, classes)
+    state, moved = _Search(capacity, classes), False
     while state.bins > bound:
         n = len(state.contents)
         open_ = np.flatnonzero((state.count[:n] > 0) & ~state.stuck[:n])
         if not len(open_):
-            break
+            if not moved:
+                break
+            state.stuck[:], moved = False, False  # what has changed since may give a class a step that had none
+            continue
         least = int(open_[state.fill[open_].argmin()])
         fuller = (state.fill[:n] >= state.fill[least]) & (state.count[:n] > 0)
         if int((state.count[:n] * (capacity - state.fill[:n]))[fuller].sum()) - (capacity - state.fill[least]) < state.fill[least]:
-            break  # the fuller bins together have not the room for one more, those fuller still have less
+            state.stuck[least] = True  # the fuller bins together have not the room for one more
+            continue
         while least >= 0:
             then = state.step(least)
             if then is None:
                 state.stuck[least] = True
                 break
-            least = then
+            least, moved = then, True
             if state.bins <= bound:
                 break
     return state.complete + [(c, int(k)) for c, k in zip(state.contents, state.count, strict=False) if k]
