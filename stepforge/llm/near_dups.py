@@ -321,16 +321,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns, without near duplicates of a kept document; rows that repeat a doc_id stay once."""
+    """The rows of docs, all columns, without near duplicates of a kept document; of rows that repeat a doc_id the one with the least hash of its text stays.
+
+    All columns travel as one struct, so none of them can clash with a name used here."""
     found = kept(near_duplicates(docs, percent).select("doc_id", "kept"), "near-found")
-    own = F.col("doc_id").cast("long")
-    gone = kept(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    has = likely(gone.select(F.xxhash64("_gone").alias("hash")), "hash")
-    may_go = has(F.xxhash64(own))
-    rest = docs.filter(~may_go).unionByName(docs.filter(may_go).join(gone, own == F.col("_gone"), "left_anti"))
-    repeated = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().filter("count > 1").select("_again")
-    repeated = kept(repeated, "near-repeated")
+    gone = kept(found.filter("not kept").select("doc_id").distinct(), "near-gone")
+    has = likely(gone.select(F.xxhash64("doc_id").alias("hash")), "hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    may_go = has(F.xxhash64("doc_id"))
+    rest = rows.filter(~may_go).unionByName(rows.filter(may_go).join(gone, "doc_id", "left_anti"))
+    repeated = kept(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-repeated")
     if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, own == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, own == F.col("_again"), "left_anti").unionByName(once)
+        return rest.select("row.*")
+    order = F.struct(F.xxhash64("row.text"), F.to_json("row"))
+    once = rest.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", order).alias("row"))
+    return rest.join(repeated, "doc_id", "left_anti").unionByName(once).select("row.*")

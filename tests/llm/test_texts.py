@@ -6,8 +6,11 @@ import hashlib
 import random
 import re
 import string
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -240,6 +243,18 @@ def test_packing_by_groups(spark, monkeypatch):
         assert [a for a, _ in sorted(own)] == np.cumsum([0, *(n for _, n in sorted(own))])[:-1].tolist() and sum(n for _, n in own) <= 100
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_no_step_is_left(seed):
+    """A second search on the result of the first changes nothing, whatever the lengths."""
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(*((10, 60), (300, 1400), (1, 4000), (1200, 2100), (700, 900), (1, 300))[seed], 3000)
+    capacity = 100 if seed == 0 else 4096
+    once = packing.local_search(packing.best_fit(dict(Counter(lengths.tolist())), capacity), capacity)
+    again = packing.local_search(once, capacity)
+    assert sum(n for _, n in again) == sum(n for _, n in once)
+    assert sum(n * sum(x * k for x, k in c.items()) ** 2 for c, n in again) == sum(n * sum(x * k for x, k in c.items()) ** 2 for c, n in once)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_plans_beside_the_best(seed):
     """At most one bin more than the best packing of few pieces, and never more than best fit alone."""
@@ -287,6 +302,40 @@ def test_pieces(spark, documents, odd, none):
     assert pieces.encoded(none, path).collect() == []
 
 
+_LONG = """
+import resource, sys
+sys.path.insert(0, {root!r})
+import pyarrow as pa, sentencepiece
+from stepforge.llm import pieces
+path = {path!r}
+model, library = pieces.loaded(path), sentencepiece.SentencePieceProcessor(model_file=path)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+texts = [" " * 2_000_000, "日本語の" * 170_000, "ab" * 500_000 + "é" * 100, *["x" * k + " " * (9_000 + k) for k in range(40)]]
+for text, ids in zip(texts, model.encode(pa.array(texts)), strict=True):
+    assert ids.tolist() == library.encode(text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_very_long_units_in_bounded_memory():
+    """2 MB of spaces, 2 MB of CJK, a megabyte of letters and many long runs of spaces equal the library below 600 MB."""
+    code = _LONG.format(root=str(Path(pieces.__file__).parents[2]), path=tokenizer("piece_bpe_32k.model"))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, check=False)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert int(out.stdout) < 600
+
+
+def test_windows_of_a_long_unit(monkeypatch):
+    """Cut anywhere, windows give what one index gives."""
+    model = pieces.loaded(tokenizer("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    texts = ["▁" + "".join(rng.choice(["the", "ing", "日", "e", "x", "▁", "▁▁▁", "é", "1"]) for _ in range(120)) for _ in range(40)]
+    want = model.encode_units(texts)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(pieces, "WINDOW", size)
+        assert model.encode_units(texts) == want
+
+
 def test_piece_edges_are_all_occurrences():
     model = pieces.loaded(tokenizer("piece_bpe_32k.model"))
     text = "▁the▁there\0▁ththe"
