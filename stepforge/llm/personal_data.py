@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stepforge.llm.common import among, kept, likely, member_bits, ready, text_slices
 from stepforge.llm.words import joined, runs, word_hashes
@@ -32,8 +33,8 @@ DISCLOSURE, REMOVED, BITS = 0.5, 0.9, 6.0
 GAIN_PART, EVIDENCE = 0.75, SUPPORT * BITS
 #: Bits (as a power of two) of the filter that keeps most terms of no interest from being shuffled; it loses none of the others.
 FILTER_BITS = 23
-#: Terms that a task holds counts of before it hands them on.
-HELD_TERMS = 1_000_000
+#: Terms that a task holds counts of before it hands them on; sensitive terms (of about 30 bytes) that are broadcast at most.
+HELD_TERMS, BROADCAST_TERMS = 1_000_000, 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -88,10 +89,10 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _entity(text: str, span: tuple[int, int, int]) -> int:
-    """A hash of the value: emails in lower case, numbers by their digits."""
+    """A hash of the value, emails in lower case, numbers by their digits; its last two bits are the kind."""
     kind, a, b = span
     value = text[a:b].lower() if kind == 0 else text[a:b] if kind == 1 else "".join(_DIGITS.findall(text[a:b]))
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True) & ~3 | kind
 
 
 def terms_beside(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -244,7 +245,7 @@ def near_counts(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def sensitive_terms(found: DataFrame, in_docs: DataFrame, near: DataFrame) -> DataFrame:
-    """term, disclosure, removed for the terms over the thresholds; near holds (term, entity, n_near), in_docs (term, n)."""
+    """term, disclosure, removed, kind (of the entity that it discloses most) for the terms over the thresholds; near holds (term, entity, n_near), in_docs (term, n)."""
     total = found.count()
     in_docs = in_docs.groupBy("term").agg(F.sum("n").alias("n_term"))
     of = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -254,7 +255,9 @@ def sensitive_terms(found: DataFrame, in_docs: DataFrame, near: DataFrame) -> Da
     rest = F.when((share < 1) & (alone < 1), (1 - share) * F.log2((1 - share) / (1 - alone))).otherwise(0.0)
     frequent = (alone < 1) & (bits >= -GAIN_PART * F.log2(alone)) & (F.col("n_term") * (share * bits + rest) >= EVIDENCE)
     over = near.join(in_docs, "term").join(of, "entity").filter((share >= DISCLOSURE) & ((bits >= BITS) | frequent))
-    return over.groupBy("term").agg(F.max(share).alias("disclosure")).withColumn("removed", F.col("disclosure") >= REMOVED)
+    most = over.groupBy("term").agg(F.max(F.struct(share.alias("disclosure"), F.col("entity").alias("entity"))).alias("most"))
+    disclosure = F.col("most.disclosure")
+    return most.select("term", disclosure.alias("disclosure"), (disclosure >= REMOVED).alias("removed"), F.col("most.entity").bitwiseAND(F.lit(3)).cast("int").alias("kind"))
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
@@ -268,7 +271,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     found = kept(rows.mapInArrow(_found, _FOUND), "private-found")
     near = kept(near_counts(rows, found), "private-near")
-    term_type = "array<struct<start:int,stop:int,removed:boolean>>"
+    term_type = "array<struct<start:int,stop:int,removed:boolean,kind:int>>"
     base = found.select("doc_id", "row_key", "spans")
     bare = base.withColumn("terms", F.array().cast(term_type))
     if near.isEmpty():
@@ -279,7 +282,9 @@ def private_spans(docs: DataFrame) -> DataFrame:
     if sensitive.isEmpty():
         return bare
     hits = rows.mapInArrow(_hits(member_bits(sensitive, "term", FILTER_BITS)), _HIT)
-    own = hits.join(sensitive, "term").groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "removed"))).alias("terms"))
+    # a frequent term is one hot key of a shuffle; a longer list of terms is joined by one all the same, where skewed partitions are split
+    terms = F.broadcast(sensitive) if sensitive.count() <= BROADCAST_TERMS else sensitive
+    own = hits.join(terms, "term").groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "removed", "kind"))).alias("terms"))
     own = own.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "terms")
     both = base.join(own, (F.col("row_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     beside = F.filter(F.coalesce("terms", F.array().cast(term_type)), lambda t: ~F.exists("spans", lambda s: (t["start"] < s["stop"]) & (s["start"] < t["stop"])))
@@ -308,23 +313,39 @@ def rewritten(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def generalised(term: str, kind: int) -> str:
+    """What stands for a sensitive term: its shape (number, name, code of letters and digits, or word) and the kind of entity that it leads to."""
+    if term.isdigit():
+        shape = "NUMBER"
+    elif any(c.isdigit() for c in term):
+        shape = "CODE"
+    else:
+        shape = "NAME" if term[:1].isupper() else "WORD"
+    return f"[{shape} NEAR {KINDS[kind].upper()}]"
+
+
 def sanitised(docs: DataFrame) -> DataFrame:
-    """All columns of docs, personal data in text replaced by [KIND], sensitive terms by [TERM] or by nothing. Null texts stay null."""
-    marks, columns = [f"[{k.upper()}]" for k in KINDS], docs.columns
+    """All columns of docs, personal data in text replaced by [KIND], sensitive terms by their class (see generalised), or by nothing where they all but name the entity.
+
+    Null texts stay null; rows that repeat are rewritten alike; of overlapping spans, ties included, the first and then the shorter one stands for all; an empty table gives an
+    empty one. All columns travel as one struct, so none of them can clash with a name used here."""
+    marks = [f"[{k.upper()}]" for k in KINDS]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for text, spans, terms in zip(*(b.column(c).to_pylist() for c in ("text", "_spans", "_terms")), strict=True):
-                own = [(s["start"], s["stop"], marks[s["kind"]]) for s in spans or []] + [(t["start"], t["stop"], "" if t["removed"] else "[TERM]") for t in terms or []]
+            rows, texts = b.column("row"), []
+            for text, spans, terms in zip(rows.field("text").to_pylist(), *(b.column(c).to_pylist() for c in ("spans", "terms")), strict=True):
+                own = [(s["start"], s["stop"], marks[s["kind"]]) for s in spans or []]
+                own += [(t["start"], t["stop"], "" if t["removed"] else generalised(text[t["start"] : t["stop"]], t["kind"])) for t in terms or []]
                 texts.append(text if text is None or not own else rewritten(text, own))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], names=columns)
+            yield pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string())], names=["row", "new"])
 
     spans = private_spans(docs).filter("size(spans) > 0 or size(terms) > 0").dropDuplicates(["row_key", "doc_id"])
-    spans = kept(spans.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("spans").alias("_spans"), F.col("terms").alias("_terms")), "private-spans")
-    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    has = likely(spans.select("_key"), "_key")
-    both = docs.filter(has(own)).join(spans, (own == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    spans = kept(spans.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "spans", "terms"), "private-spans")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("own"))
+    has = likely(spans.select("key"), "key")
+    both = rows.filter(has("own")).join(spans, (F.col("own") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("id")), "left")
     # written, so that no task holds two Python workers, the filter's and the rewriting one
-    both = kept(both.select(*docs.columns, "_spans", "_terms"), "private-texts")
-    return docs.filter(~has(own)).unionByName(both.mapInArrow(rewrite, docs.schema))
+    both = kept(both.select("row", "spans", "terms"), "private-texts")
+    new = both.mapInArrow(rewrite, StructType([rows.schema["row"], StructField("new", StringType())])).select(F.col("row").withField("text", F.col("new")).alias("row"))
+    return rows.filter(~has("own")).select("row").unionByName(new).select("row.*")

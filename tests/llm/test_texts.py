@@ -434,7 +434,76 @@ def test_revealing_terms(spark):
     assert got[0].startswith("email:32:52,") and "term:15:23" in got[0] and "term:8:14" not in got[0]
     assert got[5] == ""
     clean = personal_data.sanitised(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert clean.filter("doc_id = 400").first().text == "only [TERM] é [TERM] here"
+    assert clean.filter("doc_id = 400").first().text == "only [WORD NEAR EMAIL] é [WORD NEAR EMAIL] here"
+
+
+def brute_sensitive(texts):
+    """term: (disclosure, removed, kind), by counting documents."""
+    term, entities, beside, whole = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+"), [], [], []
+    low = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
+    for text in texts:
+        spans = personal_data.base_spans(text)
+        entities.append({personal_data._entity(text, s) for s in spans})
+        found = [m for m in term.finditer(text)]
+        beside.append({low(m[0]) for m in found if not any(m.start() < b and a < m.end() for _, a, b in spans)})
+        whole.append({low(m[0]) for m in found})
+    n_term, n_entity = Counter(t for w in whole for t in w), Counter(e for own in entities for e in own)
+    n_near = Counter((t, e) for own, w in zip(entities, beside, strict=True) for t in w for e in own)
+    out = {}
+    for (t, e), near in n_near.items():
+        share, alone = near / n_term[t], n_entity[e] / len(texts)
+        bits = np.log2(share / alone)
+        rest = (1 - share) * np.log2((1 - share) / (1 - alone)) if share < 1 and alone < 1 else 0.0
+        frequent = alone < 1 and bits >= -0.75 * np.log2(alone) and n_term[t] * (share * bits + rest) >= 18
+        if near >= 3 and share >= 0.5 and (bits >= 6 or frequent):
+            out[t] = max(out.get(t, (0, 0)), (share, e))
+    return {t: (share, share >= 0.9, e & 3) for t, (share, e) in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_disclosure_by_brute_force(spark, seed):
+    """Random documents with names, numbers and nicknames beside addresses and phones; shares at and about the thresholds, ties, repeated rows, empty texts."""
+    rng = random.Random(seed)
+    people = [(f"p{i}@site.example.com", f"+1 (017) 555-{1000 + i}", [f"Name{i}", f"{7000 + i}", f"nick{i}x", f"Ömer{i}"]) for i in range(6)]
+    texts = [" ".join(rng.choice(["alpha", "beta", "Gamma", "12", "é"]) for _ in range(6)) for _ in range(500)]
+    for n, (mail, phone, hints) in enumerate(people):
+        for hint in hints:
+            near, apart = rng.choice([(2, 0), (3, 0), (3, 1), (3, 3), (3, 4), (9, 1), (10, 0), (5, 5)])
+            texts += [f"{hint} wrote alpha {mail if n % 2 else phone} today" for _ in range(near)] + [f"met {hint} and {hint.upper()} beta" for _ in range(apart)]
+    texts += [f"common zanzibar {people[0][0]} {k}" for k in range(150)] + ["zanzibar alone", "", " ", texts[-1], texts[-1]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute_sensitive(texts)
+    assert len({x[1] for x in want.values()}) == 2 and len({x[2] for x in want.values()}) == 2
+    got = {r.doc_id: r for r in personal_data.private_spans(frame).collect()}
+    clean = {r.doc_id: r.text for r in personal_data.sanitised(frame).collect()}
+    for i, text in enumerate(texts):
+        own = personal_data.base_spans(text)
+        terms = []
+        for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", text):
+            of = want.get(re.sub("[A-Z]", lambda c: c[0].lower(), m[0]))
+            if of and not any(m.start() < b and a < m.end() for _, a, b in own):
+                terms.append((m.start(), m.end(), of[1], of[2]))
+        assert [tuple(t) for t in got[i].terms] == terms
+        marks = [(a, b, f"[{personal_data.KINDS[k].upper()}]") for k, a, b in own] + [(a, b, "" if gone else personal_data.generalised(text[a:b], kind)) for a, b, gone, kind in terms]
+        for a, b, mark in sorted(marks, reverse=True):
+            text = text[:a] + mark + text[b:]
+        assert clean[i] == text
+
+
+def test_generalised():
+    assert [personal_data.generalised(t, k) for t, k in (("4711", 0), ("a1", 1), ("Joe", 2), ("zanzibar", 3))] == ["[NUMBER NEAR EMAIL]", "[CODE NEAR IP]", "[NAME NEAR CARD]", "[WORD NEAR PHONE]"]
+
+
+@pytest.mark.parametrize("columns", [("_spans", "_terms", "_gone", "_again", "_key", "_id"), ("spans", "terms", "row", "key", "own", "id", "own_id", "hash", "new", "kept", "a.b")])
+def test_clashing_columns(spark, columns):
+    """Whatever other columns are called, they come out as they went in."""
+    rows = [(1, "mail joe@site.example.com " * 3, *columns), (2, "mail joe@site.example.com " * 3, *columns), (3, None, *columns), (1, "other text here", *columns), (1, "other text here", *columns)]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", *columns])
+    clean = personal_data.sanitised(frame)
+    assert clean.columns == frame.columns and sorted(map(repr, clean.collect())) == sorted(repr(r).replace("joe@site.example.com", "[EMAIL]") for r in frame.collect())
+    left = near_dups.first_of_each(frame)
+    assert left.columns == frame.columns and sorted((r.doc_id, r[2:]) for r in left.collect()) == [(1, columns), (3, columns)]
+    assert len({r.text for _ in range(2) for r in near_dups.first_of_each(frame.repartition(3)).filter("doc_id = 1").collect()}) == 1
 
 
 def test_revealing_terms_far_away(spark):
