@@ -261,19 +261,6 @@ def first_row_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.read_like_first(spark, path).select("id", "name")
 
 
-@query("SELECT conv_id::VARCHAR AS trajectory_id, count(*)::INTEGER AS n, arg_min(role, turn) AS first, arg_max(role, turn) AS last FROM conversations GROUP BY conv_id")
-def evaluation_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step rows of two files, recognised by their columns and grouped into trajectories in order."""
-    path = _folder(spark)
-    meta = F.struct(F.col("conv_id").cast("string").alias("trajectory_id"), F.col("turn").alias("step_index"))
-    steps = table(spark, sf_dir, "conversations").select("conv_id", F.lit("i").alias("instruction"), F.lit("o").alias("observation"), F.col("role").alias("action"), F.lit("n").alias("next_observation"), meta.alias("_meta"))
-    for i in range(2):
-        jsonl.write_jsonl(steps.filter(F.col("conv_id") % 2 == i).drop("conv_id"), f"{path}/{i}")
-    kind, rows = jsonl.evaluation_rows(spark, [f"{path}/{i}" for i in range(2)])
-    assert kind == "steps"
-    return rows.select("trajectory_id", F.size("steps").alias("n"), F.get("steps.action", F.lit(0)).alias("first"), F.element_at("steps.action", -1).alias("last"))
-
-
 @query("SELECT r_regionkey::INTEGER AS region, r_name AS name FROM region")
 def compatible_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file folder that a second reader finds at its own path."""

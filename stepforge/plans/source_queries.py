@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepforge.operators import planning
 from stepforge.plans.registry import query, table
 from stepforge.plans.stream_queries import _folder
-from stepforge.sources import jsonl
+from stepforge.sources import jsonl, lines
 
 _CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"
 
@@ -39,14 +39,111 @@ def staged_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("SELECT 2 + 3 * (i // 2) AS line, CASE WHEN i % 2 = 0 THEN 'blank' ELSE 'broken' END AS kind FROM (SELECT unnest([0, 3, 4, 7]) AS i)")
+@query(
+    """
+    WITH e AS (SELECT event_id, event_id % 3 AS file, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS line FROM events)
+    SELECT file::INTEGER AS file, line, CASE WHEN event_id % 97 = 0 THEN 'broken' WHEN event_id % 89 = 0 THEN 'blank' ELSE 'other_type' END AS kind FROM e WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 101 = 0
+    """
+)
 def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a file that are blank or no rows of the schema."""
-    path = f"{_folder(spark)}/lines"
-    good = '{"a": 1}'
-    spark.createDataFrame([("\n".join([good, "", good, good, "{", good, good, " ", good, good, "[", good]),)], "value string").coalesce(1).write.text(path)
-    found = jsonl.malformed(spark, path, "a int", blank_is_error=True)
-    return found.select("line", F.when(F.trim("text") == "", "blank").otherwise("broken").alias("kind"))
+    """Events in three files; the lines that are blank, no JSON, or no rows of the schema."""
+    path, k = f"{_folder(spark)}/lines", F.col("event_id")
+    good = F.to_json(F.struct("event_id", "event_type", "value"))
+    text = F.when(k % 97 == 0, "{").when(k % 89 == 0, "").when(k % 101 == 0, '{"event_id": "none"}').otherwise(good)
+    rows = table(spark, sf_dir, "events").select("event_id", (k % 3).cast("int").alias("file"), text.alias("value"))
+    rows.repartition(3, "file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(path)
+    found = jsonl.malformed(spark, path, "event_id long, event_type string, value double", blank_is_error=True)
+    kind = F.when(F.trim("text") == "", "blank").when(F.col("text") == "{", "broken").otherwise("other_type")
+    return found.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("int").alias("file"), "line", kind.alias("kind"))
+
+
+_MIXED = """
+    WITH e AS (
+        SELECT *, (conv_id % 2)::INTEGER AS file, row_number() OVER (PARTITION BY conv_id % 2 ORDER BY conv_id, turn, role, text) AS line,
+               CASE conv_id % 3 WHEN 0 THEN 'steps' WHEN 1 THEN 'episodes' ELSE 'other' END AS kind FROM conversations
+    )
+"""
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> str:
+    """Turns of conversations in two files, as steps, episodes and rows of no kind."""
+    path, c = f"{_folder(spark)}/mixed", F.col("conv_id")
+    said, turn = F.substring(F.regexp_replace("text", r"[^a-z]+", ""), 1, 5), F.col("turn").cast("string")
+    step = F.struct(F.lit("do").alias("instruction"), F.concat(F.lit("(a, is, "), said, F.lit("), (b, on, "), turn, F.lit(")")).alias("observation"), F.col("role").alias("action"), F.when(F.col("turn") % 2 == 0, said).otherwise("").alias("next_observation"))
+    episode = F.struct(F.col("role").alias("task"), F.array(F.struct(F.concat(F.lit("It is "), said, F.lit(". Turn "), turn, F.lit("!")).alias("observation"), F.lit("end").alias("next_observation"))).alias("history"))
+    other = F.struct(said.alias("z"), F.col("turn").alias("n"), F.col("role").alias("a"))
+    value = F.when(c % 3 == 0, F.to_json(step)).when(c % 3 == 1, F.to_json(episode)).otherwise(F.to_json(other))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", (c % 2).cast("int").alias("file"), value.alias("value"))
+    rows.repartition(2, "file").sortWithinPartitions("file", "conv_id", "turn", "role", "text").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+@query(
+    _MIXED
+    + """
+    , s AS (SELECT file, line, kind, turn, role, left(regexp_replace(text, '[^a-z]+', '', 'g'), 5) AS said FROM e),
+    t AS (
+        SELECT file, line, unnest(CASE kind
+            WHEN 'steps' THEN ['(a, is, ' || said || ')', '(b, on, ' || turn || ')'] || CASE WHEN turn % 2 = 0 AND said <> '' THEN [said] ELSE [] END
+            WHEN 'episodes' THEN ['It is ' || said || '.', 'Turn ' || turn || '!', 'end']
+            ELSE [said, role] END) AS text, generate_subscripts(CASE kind WHEN 'steps' THEN [1, 2] || CASE WHEN turn % 2 = 0 AND said <> '' THEN [3] ELSE [] END WHEN 'episodes' THEN [1, 2, 3] ELSE [1, 2] END, 1) AS i
+        FROM s
+    )
+    SELECT file, line, (i - 1)::INTEGER AS pos, text FROM t
+    """
+)
+def mixed_prototype_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State texts of files that mix steps, episodes and other rows, each by its own kind."""
+    texts = lines.prototype_rows(spark, _mixed(spark, sf_dir))
+    return texts.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("int").alias("file"), "line", "pos", "text")
+
+
+@query(_MIXED + "SELECT kind, file, count(*) AS n, min(line) AS first FROM e GROUP BY kind, file")
+def mixed_row_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.variants(spark, _mixed(spark, sf_dir))
+    return rows.groupBy(lines.kind_of_row(F.col("row")).alias("kind"), F.regexp_extract("path", r"file=(\d+)", 1).cast("int").alias("file")).agg(F.count("*").alias("n"), F.min("line").alias("first"))
+
+
+_STEPS = """
+    WITH s AS (
+        SELECT *, CASE WHEN turn = 0 AND conv_id % 4 = 1 THEN NULL WHEN conv_id % 7 <> 3 THEN turn END AS step_index, CASE WHEN conv_id % 5 <> 2 THEN 't' || conv_id END AS own,
+               row_number() OVER (ORDER BY conv_id % 2, conv_id, turn, role, text) AS place FROM conversations
+    ), n AS (SELECT place, 'legacy-row-' || row_number() OVER (ORDER BY place) - 1 AS loose FROM s WHERE own IS NULL)
+"""
+
+
+@query(
+    _STEPS
+    + """
+    SELECT coalesce(own, loose) AS trajectory_id, count(*)::INTEGER AS n, string_agg(role || turn, ' ' ORDER BY coalesce(step_index, 0), s.place) AS steps
+    FROM s LEFT JOIN n ON n.place = s.place GROUP BY coalesce(own, loose)
+    """
+)
+def evaluation_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step rows of two files as trajectories in order; rows without an id are episodes of their own, steps without a number come first."""
+    path, c, turn = _folder(spark), F.col("conv_id"), F.col("turn")
+    index = F.when((turn == 0) & (c % 4 == 1), None).when(c % 7 != 3, turn)
+    meta = F.struct(F.when(c % 5 != 2, F.concat(F.lit("t"), c.cast("string"))).alias("trajectory_id"), index.alias("step_index"))
+    value = F.to_json(F.struct(F.lit("i").alias("instruction"), F.lit("o").alias("observation"), F.concat("role", turn.cast("string")).alias("action"), F.lit("n").alias("next_observation"), meta.alias("_meta")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", (c % 2).cast("int").alias("file"), value.alias("value"))
+    rows.repartition(2, "file").sortWithinPartitions("file", "conv_id", "turn", "role", "text").select("file", "value").write.partitionBy("file").text(path)
+    kind, found = lines.evaluation_rows(spark, [f"{path}/file={i}" for i in range(2)])
+    assert kind == "steps"
+    return found.select("trajectory_id", F.size("steps").alias("n"), F.array_join("steps.action", " ").alias("steps"))
+
+
+@query("SELECT event_type AS task, file::INTEGER AS file, count(*) AS n, sum(CASE WHEN event_id % 11 = 0 THEN 0 ELSE 2 END)::BIGINT AS steps, min(line) AS first FROM (SELECT *, event_id % 2 AS file, row_number() OVER (PARTITION BY event_id % 2 ORDER BY event_id) AS line FROM events) GROUP BY 1, 2")
+def evaluation_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as episodes of two files, known by the history of the first row; some are empty."""
+    path, k = _folder(spark), F.col("event_id")
+    step = F.struct(F.lit("o").alias("observation"), F.col("event_type").alias("action"), F.lit("n").alias("next_observation"))
+    history = F.when(k % 11 == 0, F.array().cast("array<struct<observation:string,action:string,next_observation:string>>")).otherwise(F.array(step, step))
+    value = F.to_json(F.struct(F.col("event_type").alias("task"), k.cast("string").alias("trial_name"), history.alias("history")))
+    rows = table(spark, sf_dir, "events").select("event_id", (k % 2).cast("int").alias("file"), value.alias("value"))
+    rows.repartition(2, "file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(path)
+    kind, found = lines.evaluation_rows(spark, [f"{path}/file={i}" for i in range(2)])
+    assert kind == "episodes"
+    return found.groupBy("task", F.col("source").alias("file")).agg(F.count("*").alias("n"), F.sum(F.size("history")).cast("long").alias("steps"), F.min("line").alias("first"))
 
 
 @query("SELECT type AS task_type, scene AS scene_num, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'pick_heat' ELSE 'look_at' END AS type, p_size::INTEGER AS scene FROM part WHERE p_partkey % 10 <> 9) GROUP BY 1, 2")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from stepforge.session import ready
+from stepforge.sources import lines
 
 _BAD = "_malformed"
 
@@ -34,16 +35,11 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str) -> Data
 
 
 def malformed(spark: SparkSession, paths: str | list[str], schema: str, blank_is_error: bool = False) -> DataFrame:
-    """path, line, text of every line that is no object of the schema, numbered from 1 within its file.
-
-    Files are read as whole texts, since a line's number needs those before it; use it on files that fit a task."""
-    paths = [paths] if isinstance(paths, str) else paths
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("at", "text"))
+    """path, line, text of every line that is no object of the schema, numbered from 1 within its file."""
     parsed = F.from_json("text", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
     blank = F.trim("text") == ""
     bad = F.when(blank, F.lit(blank_is_error)).otherwise(parsed.isNull() | parsed[_BAD].isNotNull())
-    return lines.filter(bad).select("path", (F.col("at") + 1).alias("line"), "text")
+    return lines.located(lines.lines(spark, paths), bad).select("path", "line", "text")
 
 
 def read_strict(spark: SparkSession, paths: str | list[str], schema: str, blank_is_error: bool = False) -> DataFrame:
@@ -69,20 +65,6 @@ def read_like_first(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DataType.fromDDL(kinds)).json(path)
 
 
-def evaluation_rows(spark: SparkSession, paths: str | list[str]) -> tuple[str, DataFrame]:
-    """Kind and episodes of line-JSON files: episodes as they are, steps as trajectory and its steps in order.
-
-    The kind is the first registered one that every row passes; no rows, or rows of no kind, are an error."""
-    rows = spark.read.json(paths)
-    kind = kind_of(rows) if rows.columns else None
-    if kind not in ("episodes", "steps"):
-        raise ValueError(f"no rows of a known kind in {paths}")
-    if kind == "steps":
-        step = F.struct(F.col("_meta.step_index").alias("step_index"), "instruction", "observation", "action", "next_observation")
-        rows = rows.groupBy(F.col("_meta.trajectory_id").alias("trajectory_id")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    return kind, rows
-
-
 def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """key, value rows of a JSON object whose values share a type."""
     text = spark.read.text(path, wholetext=True)

@@ -17,7 +17,7 @@ from stepforge.config import load_curricula
 from stepforge.functions import text as tx
 from stepforge.operators import graph, releases, splits, store
 from stepforge.plans.catalog import queries
-from stepforge.sources import jsonl
+from stepforge.sources import jsonl, lines
 from stepforge.streaming import incremental
 
 
@@ -111,14 +111,14 @@ def test_zip_payloads_stop_early(spark, tmp_path):
 def test_nested_keys_and_count(spark, tmp_path):
     rows = spark.range(3).select(F.struct(F.col("id").alias("z"), F.struct(F.lit(1).alias("b"), F.lit(2).alias("a")).alias("m")).alias("s"), F.array(F.struct(F.lit(1).alias("y"), F.lit(2).alias("x"))).alias("a"))
     assert jsonl.write_jsonl(rows, str(tmp_path / "out")) == 3
-    lines = sorted(line for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines())
-    assert lines[0] == '{"a":[{"x":2,"y":1}],"s":{"m":{"a":2,"b":1},"z":0}}'
+    written = sorted(line for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines())
+    assert written[0] == '{"a":[{"x":2,"y":1}],"s":{"m":{"a":2,"b":1},"z":0}}'
 
 
 def test_unknown_rows_are_an_error(spark, tmp_path):
     (tmp_path / "rows.jsonl").write_text('{"other": 1}\n')
     with pytest.raises(ValueError, match="known kind"):
-        jsonl.evaluation_rows(spark, str(tmp_path / "rows.jsonl"))
+        lines.evaluation_rows(spark, str(tmp_path / "rows.jsonl"))
     (tmp_path / "rows.jsonl").write_text("\n")
     with pytest.raises(ValueError, match="no rows"):
         jsonl.read_like_first(spark, str(tmp_path / "rows.jsonl"))
