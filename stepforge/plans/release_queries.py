@@ -12,7 +12,7 @@ from stepforge.functions import text as tx
 from stepforge.operators import releases, store, validation
 from stepforge.plans.registry import query, table
 from stepforge.plans.stream_queries import _folder
-from stepforge.sources import jsonl
+from stepforge.sources import archives, jsonl
 
 _GOALS = {"puton": 2, "placein": 1}
 _OWNED = "SELECT DISTINCT s_nationkey AS scene, p_brand AS class FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey"
@@ -286,5 +286,17 @@ def zip_scene_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
         z.writestr("readme.txt", "no scene")
     jsonl.put(spark, path, packed.getvalue())
     member = F.col("member")
-    found = jsonl.zip_payloads(spark, path, r"^scenes/.*\.json$", F.split(member, "/")[1], [F.sha2(F.concat(F.lit("2:"), member), 256)], 2, lambda x: x["id"] % 3 != 0, strict=False)
+    found = archives.picked(spark, path, r"^scenes/.*\.json$", F.split(member, "/")[1], [F.sha2(F.concat(F.lit("2:"), member), 256)], 2, lambda x: x["id"] % 3 != 0, strict=False)
     return found.select("base", "pos", "member", F.get_json_object("payload", "$.id").cast("long").alias("id"))
+
+
+@query("SELECT c_custkey % 4 AS archive, count(*) AS n, sum(length('{\"id\": ' || c_custkey || '}'))::BIGINT AS size, sum(c_custkey)::BIGINT AS total FROM customer WHERE (c_custkey // 40) % 2 = 0 GROUP BY 1")
+def zip_member_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as members of four archives, written by tasks; the filter on names reaches the reader, which takes ranges of members."""
+    path, key = f"{_folder(spark)}/zips", F.col("c_custkey")
+    name = F.format_string("%s/%d.json", F.when(F.expr("(c_custkey div 40) % 2 = 0"), "even").otherwise("odd"), key)
+    rows = table(spark, sf_dir, "customer").select((key % 4).alias("archive"), name.alias("member"), F.format_string('{"id": %d}', key).alias("payload"))
+    archives.write(rows, path)
+    found = archives.members(spark, path, payload=True, range_=50).filter(F.col("member").startswith("even/"))
+    number = F.regexp_extract("archive", r"(\d+)\.zip$", 1).cast("long")
+    return found.groupBy(number.alias("archive")).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.get_json_object(F.col("payload").cast("string"), "$.id").cast("long")).alias("total"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import zipfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -99,58 +98,6 @@ register("episodes", lambda c: F.col("task").isNotNull() & F.col("history").isNo
 register("steps", lambda c: F.col("instruction").isNotNull() & F.col("action").isNotNull() if {"instruction", "observation", "action"} <= set(c) else None)
 
 
-def _archive(path: str) -> zipfile.ZipFile:
-    """A zip file of any file system that workers reach, read by seeking: its directory stands at the end, members are read alone."""
-    from pyarrow.fs import FileSystem
-
-    system, inner = FileSystem.from_uri(path)
-    return zipfile.ZipFile(system.open_input_file(inner))
-
-
-def _files(spark: SparkSession, paths: str) -> DataFrame:
-    # only paths are asked for, so no content is read
-    return ready(spark).read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "file:///").alias("archive"))
-
-
-def zip_members(spark: SparkSession, paths: str, pattern: str) -> DataFrame:
-    """archive, member for the members of zip files whose names match; only the archives' directories are read."""
-
-    def names(batches):
-        for pdf in batches:
-            rows = [(p, n) for p in pdf["archive"] for n in sorted(_archive(p).namelist())]
-            yield pd.DataFrame(rows, columns=["archive", "member"])
-
-    return _files(spark, paths).mapInPandas(names, "archive string, member string").filter(F.col("member").rlike(pattern))
-
-
-def zip_payloads(spark: SparkSession, paths: str, pattern: str, base: Column, order: list[Column], quota: int, accept: Callable[[dict], bool], strict: bool = True) -> DataFrame:
-    """base, pos, archive, member, payload: of each base the first `quota` JSON members, in order, that accept takes.
-
-    A base is one task, which reads members one at a time and stops when it has enough; with strict, too few are an error."""
-    named = zip_members(spark, paths, pattern).withColumn("base", base)
-    listed = named.groupBy("base").agg(F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "archive", "member"))).alias("all"))
-
-    def picked(batches):
-        for pdf in batches:
-            out = []
-            for name, members in zip(pdf["base"], pdf["all"], strict=True):
-                held: dict[str, zipfile.ZipFile] = {}
-                n = 0
-                for m in members:
-                    if n == quota:
-                        break
-                    path = m["archive"]
-                    text = held.setdefault(path, held.get(path) or _archive(path)).read(m["member"]).decode()
-                    if accept(json.loads(text)):
-                        out.append((name, n, path, m["member"], text))
-                        n += 1
-                if strict and n < quota:
-                    raise ValueError(f"{name}: {n} of {quota} members after all {len(members)}")
-            yield pd.DataFrame(out, columns=["base", "pos", "archive", "member", "payload"])
-
-    return listed.repartition("base").mapInPandas(picked, "base string, pos int, archive string, member string, payload string")
-
-
 def game_fields(path):
     """Struct (task_type, scene_num, trial) of `…/<task>-<object>-…-<scene>/<trial>/<file>`; null if it does not have that form."""
     folder = F.try_element_at(F.split(path, "/"), F.lit(-3))

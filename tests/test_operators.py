@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stepforge.functions import stats
 from stepforge.functions import text as tx
 from stepforge.operators import audit, episodes, graph, metrics, planning, retrieval, splits
-from stepforge.sources import jsonl
+from stepforge.sources import archives, jsonl
 from stepforge.streaming import incremental
 
 
@@ -195,7 +195,7 @@ def test_zip_and_paths(spark, tmp_path):
         z.writestr("train/pick_heat-Apple-None-Table-12/trial_1/game.tw", "x")
         z.writestr("readme.txt", "x")
     (tmp_path / "a.zip").write_bytes(data.getvalue())
-    members = jsonl.zip_members(spark, str(tmp_path / "a.zip"), r"\.tw$")
+    members = archives.members(spark, str(tmp_path / "a.zip")).filter(F.col("member").endswith(".tw"))
     fields = members.select(jsonl.game_fields(F.col("member")).alias("g")).first().g
     assert (fields.task_type, fields.scene_num, fields.trial) == ("pick_heat", 12, "trial_1")
     assert one(spark, jsonl.game_fields(F.lit("short/path"))) is None

@@ -17,7 +17,7 @@ from stepforge.config import load_curricula
 from stepforge.functions import text as tx
 from stepforge.operators import graph, releases, splits, store
 from stepforge.plans.catalog import queries
-from stepforge.sources import jsonl, lines
+from stepforge.sources import archives, jsonl, lines
 from stepforge.streaming import incremental
 
 
@@ -99,12 +99,11 @@ def test_zip_payloads_stop_early(spark, tmp_path):
                 z.writestr(f"base{i % 2}/{name}{i}.json", json.dumps({"good": i != 1}) if i < 3 else "{")
     base, order = F.split("member", "/")[0], [F.col("member")]
     # the last members of base1 do not parse; nothing reads them where the first ones are enough
-    got = jsonl.zip_payloads(spark, f"file://{tmp_path}/*.zip", r"\.json$", base, order, 1, lambda x: True)
+    got = archives.picked(spark, f"file://{tmp_path}/*.zip", r"\.json$", base, order, 1, lambda x: True)
     assert [(r.base, r.member) for r in got.orderBy("base").collect()] == [("base0", "base0/one0.json"), ("base1", "base1/one1.json")]
-    few = jsonl.zip_payloads(spark, f"file://{tmp_path}/one.zip", r"base0/", base, order, 3, lambda x: x["good"])
-    with pytest.raises(Exception, match="base0: 2 of 3 members after all 2"):
-        few.collect()
-    one = jsonl.zip_payloads(spark, f"file://{tmp_path}/*.zip", r"base0/", base, order, 3, lambda x: x["good"])
+    with pytest.raises(ValueError, match="base0: 2 of 3 members after all 2"):
+        archives.picked(spark, f"file://{tmp_path}/one.zip", r"base0/", base, order, 3, lambda x: x["good"])
+    one = archives.picked(spark, f"file://{tmp_path}/*.zip", r"base0/", base, order, 3, lambda x: x["good"])
     assert [r.member for r in one.orderBy("pos").collect()] == ["base0/one0.json", "base0/one2.json", "base0/two0.json"]
 
 
