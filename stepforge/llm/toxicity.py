@@ -24,6 +24,8 @@ from stepforge.llm.samples import bounded, remainder
 
 #: Rows of each label that the fit sees at most; entries of the lexicon at most, and the toxic texts an entry must be in.
 SAMPLE, LEXICON, SUPPORT = 6_000, 2_000, 4
+#: Folds of the sample.
+FOLDS = 3
 #: Lengths of word beginnings that the lexicon may hold; words between a lexicon word and a second-person word that count as near.
 STEMS, NEAR = (4, 5, 6, 7), 4
 ROUNDS, DEPTH, RATE, BINS, LEAF = 60, 4, 0.2, 32, 8
@@ -233,59 +235,73 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each word and word beginning of a text once."""
     for part in text_slices(batches):
         found: list[tuple[str, bool, int]] = []
-        for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+        for text, toxic, fold in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
             words = {w for u in (text or "").split() if (w := core(u))}
-            found += [(w, False, toxic) for w in words]
-            found += [(s, True, toxic) for s in {w[:n] for w in words for n in STEMS if len(w) >= n}]
-        entry, stem, toxic = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(entry, pa.string()), pa.array(stem, pa.bool_()), pa.array(toxic, pa.int32())], names=["entry", "stem", "toxic"])
+            found += [(w, False, toxic, fold) for w in words]
+            found += [(s, True, toxic, fold) for s in {w[:n] for w in words for n in STEMS if len(w) >= n}]
+        columns = zip(*found, strict=True) if found else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.int32(), pa.int32()), strict=True)], names=["entry", "stem", "toxic", "fold"])
 
 
-def learned_lexicon(sample: DataFrame) -> Lexicon:
-    """Entries far likelier in toxic texts than in others, weighted by their smoothed log odds."""
-    totals = {r.toxic: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = totals.get(1, 0), totals.get(0, 0)
+def entry_counts(sample: DataFrame) -> DataFrame:
+    """entry, stem, fold, p, q: toxic and other texts of each fold that have an entry."""
+    each = sample.select("text", "toxic", "fold").mapInArrow(_entries, "entry string, stem boolean, toxic int, fold int")
+    return each.groupBy("entry", "stem", "fold").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+
+
+def learned_lexicon(counts: DataFrame, totals: dict[tuple[int, int], int], without: int | None = None) -> Lexicon:
+    """Entries far likelier in toxic texts than in others, weighted by their smoothed log odds; of all folds (fold, toxic: texts) but one."""
+    pos, neg = (sum(n for (fold, toxic), n in totals.items() if toxic == k and fold != without) for k in (1, 0))
     if not pos or not neg:
         return Lexicon()
-    counts = sample.mapInArrow(_entries, "entry string, stem boolean, toxic int").groupBy("entry", "stem").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+    counts = counts.filter(F.lit(True) if without is None else F.col("fold") != without).groupBy("entry", "stem").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     odds = F.log(((F.col("p") + 0.5) / (pos + 1)) / ((F.col("q") + 0.5) / (neg + 1)))
     # by evidence as well as by odds: a rare word of a few texts says little
     top = counts.filter(F.col("p") >= SUPPORT).withColumn("w", odds).filter("w > 1.5").orderBy(F.desc(F.col("w") * F.sqrt("p")), "entry", "stem").limit(LEXICON).collect()
     return Lexicon({r.entry: r.w for r in top if not r.stem}, {r.entry: r.w for r in top if r.stem})
 
 
-def _sample_features(lexicon: Lexicon):
+def _sample_features(lexica: list[Lexicon]):
+    """Features of each text by the lexicon that was learned without its fold."""
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Units(lexicon)
+        known = [Units(x) for x in lexica]
         for part in text_slices(batches, limit=SLICE):
-            x = features(known, part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(list(x), type=pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+            for f in range(len(lexica)):
+                own = part.filter(pa.compute.equal(part.column("fold"), f))
+                if own.num_rows:
+                    x = features(known[f], own.column("text"))
+                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("doc_id", "toxic", "fold")), pa.array(list(x), type=pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
 
     return take
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
-    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0: at most SAMPLE of each label, by hash of the id."""
+    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0: at most SAMPLE of each label, by hash of the id.
+
+    A lexicon holds its own texts' labels. So a text of the sample has its densities by a lexicon learned without its fold, as a new text
+    has them; on these the trees are grown, and each fold's scores by trees of the other folds are what is calibrated. The lexicon of all folds serves new texts."""
     ready(docs.sparkSession)
     learn = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder("doc_id", 5) != 0)).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     known_rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
     learn = learn.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(known_rows, "doc_id", "left_semi")
     counts = {r.toxic: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sample = bounded(docs, learn, "toxic", SAMPLE)
+    sample = bounded(docs, learn, "toxic", SAMPLE).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
     sample = kept(sample, "toxic-sample")
-    lexicon = learned_lexicon(sample)
-    rows = sample.mapInArrow(_sample_features(lexicon), "doc_id long, toxic int, x array<double>").collect()
+    totals = {(r.fold, r.toxic): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    entries = kept(entry_counts(sample), "toxic-entries")
+    lexicon = learned_lexicon(entries, totals)
+    rows = sample.mapInArrow(_sample_features([learned_lexicon(entries, totals, f) for f in range(FOLDS)]), "doc_id long, toxic int, fold int, x array<double>").collect()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if len({r.toxic for r in rows}) < 2:
         return Toxicity(lexicon, None, np.zeros(1), np.zeros(1), prior)
     rows.sort(key=lambda r: (r.doc_id, r.x))
-    x, y, ids = np.array([r.x for r in rows]), np.array([r.toxic for r in rows], dtype=np.float64), np.array([r.doc_id for r in rows])
+    x, y, fold = np.array([r.x for r in rows]), np.array([r.toxic for r in rows], dtype=np.float64), np.array([r.fold for r in rows])
     seen = np.array([(y == 0).sum(), (y == 1).sum()])
     weight = np.array([counts[0] / seen[0], counts[1] / seen[1]])[y.astype(int)]  # the sample has both labels alike, the corpus has not
     weight = weight / weight.mean()
-    fold = (ids * 2654435761 >> 7) % 3
     out = np.zeros(len(y))
-    for f in range(3):
+    for f in np.unique(fold):
         rest = fold != f
         if len(np.unique(y[rest])) < 2:
             return Toxicity(lexicon, None, np.zeros(1), np.zeros(1), prior)
