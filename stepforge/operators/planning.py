@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepforge.functions.stats import seeded_order
+from stepforge.operators import ranking
+
 
 def coverage(members: DataFrame, scene: str, name: str) -> DataFrame:
     """name, coverage: the scenes that hold it."""
@@ -13,8 +16,7 @@ def coverage(members: DataFrame, scene: str, name: str) -> DataFrame:
 
 def coverage_rank(members: DataFrame, scene: str, name: str) -> DataFrame:
     """Coverage with its rank: most scenes first, then by name."""
-    ranked = coverage(members, scene, name)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("coverage"), name)))  # a row per class
+    return ranking.placed(coverage(members, scene, name), [F.desc("coverage"), F.col(name)], "_at").withColumn("rank", (F.col("_at") + 1).cast("int")).drop("_at")
 
 
 def joint_coverage(left: DataFrame, right: DataFrame, scene: str, a: str, b: str) -> DataFrame:
@@ -72,7 +74,12 @@ def greedy_cover(tasks: list[tuple[str, list[str], list[str]]], quota: int, seen
 
 def unseen_order(tasks: DataFrame, unseen: str, valid: str, order: str) -> DataFrame:
     """Rank of tasks for the unseen part: most unseen scenes, most valid scenes, first in order."""
-    return tasks.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(unseen), F.desc(valid), order)))
+    return ranking.placed(tasks, [F.desc(unseen), F.desc(valid), F.col(order)], "_at").withColumn("rank", (F.col("_at") + 1).cast("int")).drop("_at")
+
+
+def held_out_order(rows: DataFrame, group: str, key: str, seed: int) -> DataFrame:
+    """place: rows in a seeded order, then by their group's name, a stable sort of a shuffle."""
+    return ranking.placed(rows.withColumn("_hash", seeded_order(seed, key)), [group, "_hash", key], "place").drop("_hash")
 
 
 def within_quota(candidates: DataFrame, group: str, order: list[Column | str], quota: Column | int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions.stats import seeded_order
-from stepforge.operators import planning, splits
+from stepforge.operators import planning, ranking, splits
 from stepforge.session import ready
 
 #: Combinations scored at once.
@@ -126,13 +126,8 @@ def with_cluster(rows: DataFrame, placed: DataFrame, names: list[str], scene: st
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """rows with their place (from 0) in a total order of columns; ranks are taken within each value of the first, and counts of values before it added."""
-    first = order[0]
-    counts = rows.groupBy(F.col(first).alias("_v")).agg(F.count("*").alias("_n"))
-    before = counts.select("_v", (F.sum("_n").over(Window.orderBy("_v")) - F.col("_n")).alias("_before"))  # a row per value of the first column
-    own = F.row_number().over(Window.partitionBy(first).orderBy(*order[1:])) if order[1:] else F.row_number().over(Window.partitionBy(first).orderBy(F.lit(0)))
-    out = rows.withColumn("_own", own).join(before, F.col(first).eqNullSafe(F.col("_v")))
-    return out.withColumn(name, F.col("_own") - 1 + F.col("_before")).drop("_own", "_v", "_before")
+    """rows with their place (from 0) in a total order of columns."""
+    return ranking.placed(rows, order, name)
 
 
 def method_views(parts: DataFrame, part: str, cluster: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions.stats import half_even, seeded_order
+from stepforge.operators import ranking
 
 
 def seen_tags(rows: DataFrame, task: str, scene: str, unseen_tasks: list[str], unseen_scenes: list[str]) -> DataFrame:
@@ -27,28 +28,42 @@ def three_way(rows: DataFrame, strata: list[str], key: str, eval_share: float, m
     """split: eval, monitor or train, carved from each stratum in hashed order.
 
     Shares are rounded half to even; a stratum of 20 or more gives at least one to each; training keeps at least one row."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(seeded_order(seed, key), key))
-    least = F.when(F.col("_n") >= 20, 1).otherwise(0)
-    out = rows.withColumn("_n", n).withColumn("_at", place)
-    out = out.withColumn("_e", F.greatest(half_even(F.col("_n") * eval_share), least)).withColumn("_m", F.greatest(half_even(F.col("_n") * monitor_share), least))
-    tight = F.col("_e") + F.col("_m") >= F.col("_n")
-    out = out.withColumn("_e", F.when(tight, F.greatest(F.lit(0), F.least(F.col("_e"), F.col("_n") - 1))).otherwise(F.col("_e")))
-    out = out.withColumn("_m", F.when(tight, F.greatest(F.lit(0), F.least(F.col("_m"), F.col("_n") - F.col("_e") - 1))).otherwise(F.col("_m")))
-    split = F.when(F.col("_at") <= F.col("_e"), "eval").when(F.col("_at") <= F.col("_e") + F.col("_m"), "monitor").otherwise("train")
-    return out.withColumn("split", split).drop("_n", "_at", "_e", "_m")
+
+    def cuts(n: Column) -> list[Column]:
+        least = F.when(n >= 20, 1).otherwise(0)
+        e, m = F.greatest(half_even(n * eval_share), least), F.greatest(half_even(n * monitor_share), least)
+        tight = e + m >= n
+        e = F.when(tight, F.greatest(F.lit(0), F.least(e, n - 1))).otherwise(e)
+        m = F.when(tight, F.greatest(F.lit(0), F.least(m, n - e - 1))).otherwise(m)
+        return [e, e + m]
+
+    of = F.element_at(F.array(*map(F.lit, ("eval", "monitor", "train"))), F.col("_class") + 1)
+    return ranking.classed(rows, strata, key, seed, cuts, "_class").withColumn("split", of).drop("_class")
 
 
 def holdout(rows: DataFrame, by: list[str], key: str, share: float, seed: int) -> DataFrame:
     """held_out: in each group the first max(1, half-even(n * share)) rows in hashed order."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(seeded_order(seed, key), key))
-    return rows.withColumn("held_out", place <= F.greatest(F.lit(1), half_even(n * share)))
+    return ranking.classed(rows, by, key, seed, lambda n: [F.greatest(F.lit(1), half_even(n * share))], "_class").withColumn("held_out", F.col("_class") == 0).drop("_class")
+
+
+def exact_holdout(rows: DataFrame, by: list[str], key: str, held: int, seed: int) -> DataFrame:
+    """held_out for exactly `held` rows, shared among groups in proportion by largest remainders, in hashed order within each; more than there are rows is an error."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("_n")) if by else rows.agg(F.count("*").alias("_n"))
+    have = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    if have < held:
+        raise ValueError(f"{held} rows asked of {have}")
+    quota = ranking.allotted(counts, "_n", held).drop("_n")
+    if by:
+        named = rows.alias("r").join(quota.alias("q"), ranking._same("r", "q", by)).select("r.*", "q.quota")
+    else:
+        named = rows.withColumn("quota", F.lit(held).cast("long"))
+    # the quota is a group's, so it is one of the grouping columns
+    return ranking.classed(named, [*by, "quota"], key, seed, lambda n: [F.least(n, F.col("quota"))], "_class").withColumn("held_out", F.col("_class") == 0).drop("_class", "quota")
 
 
 def sample_per_group(rows: DataFrame, by: list[str], key: str, most: int, seed: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(seeded_order(seed, key), key))
-    return rows.withColumn("_at", place).filter(F.col("_at") <= most).drop("_at")
+    """The first `most` rows of each group in hashed order."""
+    return ranking.classed(rows, by, key, seed, lambda n: [F.least(n, F.lit(most))], "_class").filter("_class = 0").drop("_class")
 
 
 def select_samples(rows: DataFrame, key: str, most: int | None, seed: int) -> DataFrame:
@@ -60,8 +75,9 @@ def protected_downsample(rows: DataFrame, key: str, quadrant: str, task: str, sc
     """kept: protected rows (seen_seen, the first of each task and of each scene) and others until target rows are left.
 
     Removal goes through `order` of quadrants, in hashed order within each. More protected rows than target is an error."""
-    first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(key)) == 1
-    flagged = rows.withColumn("_p", (F.col(quadrant) == "seen_seen") | first(task) | first(scene))
+    firsts = [rows.groupBy(c).agg(F.min(key).alias("_key")).select("_key") for c in (task, scene)]  # counted before the shuffle, so no task holds a frequent one
+    firsts = firsts[0].union(firsts[1]).distinct().withColumn("_first", F.lit(True))
+    flagged = rows.join(firsts, F.col(key) == F.col("_key"), "left").withColumn("_p", (F.col(quadrant) == "seen_seen") | F.coalesce("_first", F.lit(False))).drop("_key", "_first")
     total, protected = flagged.agg(F.count("*"), F.count_if("_p")).first()
     if protected > target < total:
         raise ValueError(f"{protected} protected rows, but the target is {target}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepforge.functions.stats import seeded_order
 from stepforge.functions.text import action_words, goal, goal_visible, sentences, triple_texts, triples
-from stepforge.operators import membership
+from stepforge.operators import membership, splits
 
 # Verbs of step rows, those of two objects, and the verb that each task family ends with.
 ALLOWED, TWO_OBJECTS = ("walk", "grab", "open", "switchon", "put", "putin"), ("put", "putin")
@@ -134,10 +134,9 @@ def shuffled_take(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     return rows.orderBy(seeded_order(seed, *keys), *keys).limit(n)
 
 
-def exact_split(rows: DataFrame, held: int, seed: int, *keys: str) -> DataFrame:
-    """rows with held_out: true for exactly that many of them, the first in a seeded order of keys. Equal keys are ordered by chance."""
-    last = shuffled_take(rows.select(*keys).distinct(), held, seed, *keys)
-    return rows.join(last.withColumn("_held", F.lit(True)), list(keys), "left").withColumn("held_out", F.coalesce("_held", F.lit(False))).drop("_held")
+def exact_split(rows: DataFrame, held: int, seed: int, key: str, stratify: list[str] | None = None) -> DataFrame:
+    """rows with held_out: true for exactly that many of them, the first in a seeded order of key; with stratify, each stratum gives its share."""
+    return splits.exact_holdout(rows, stratify or [], key, held, seed)
 
 
 def paired(left: Column, right: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.functions import text as tx
-from stepforge.operators import releases, store, validation
+from stepforge.operators import planning, releases, store, validation
 from stepforge.plans.registry import query, table
 from stepforge.plans.stream_queries import _folder
 from stepforge.sources import archives, jsonl
@@ -300,3 +300,15 @@ def zip_member_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archives.members(spark, path, payload=True, range_=50).filter(F.col("member").startswith("even/"))
     number = F.regexp_extract("archive", r"(\d+)\.zip$", 1).cast("long")
     return found.groupBy(number.alias("archive")).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.get_json_object(F.col("payload").cast("string"), "$.id").cast("long")).alias("total"))
+
+
+@query("SELECT p_partkey, (row_number() OVER (ORDER BY p_size DESC, p_retailprice DESC, p_partkey))::INTEGER AS rank FROM part")
+def unseen_task_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tasks by their unseen and their valid scenes."""
+    return planning.unseen_order(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_retailprice", "p_partkey").select("p_partkey", "rank")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY source, sha256('4:' || doc_id), doc_id) - 1 AS place FROM documents")
+def held_out_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents shuffled, then sorted by source: one source in the order of the shuffle."""
+    return planning.held_out_order(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 4).select("doc_id", "place")

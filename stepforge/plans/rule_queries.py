@@ -142,11 +142,24 @@ def enriched_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "reason", "_meta.name", F.col("_meta.room_type").alias("priority"), "_meta.benchmark_split", "_meta.scene_split")
 
 
-@query("SELECT count(*) FILTER (held) AS held, count(*) AS n, count(*) FILTER (held AND doc_id % 2 = 0) >= 0 AS fine FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) <= 37 AS held FROM documents)")
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('5:' || doc_id), doc_id) <= 37 AS held_out FROM documents")
 def exact_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exactly 37 documents are held out; which ones is a seeded choice of its own."""
-    rows = validation.exact_split(table(spark, sf_dir, "documents").select("doc_id"), 37, 5, "doc_id")
-    return rows.agg(F.count_if("held_out").alias("held"), F.count("*").alias("n"), (F.count_if(F.col("held_out") & (F.col("doc_id") % 2 == 0)) >= 0).alias("fine"))
+    """Exactly 37 documents are held out, the first in a seeded order."""
+    return validation.exact_split(table(spark, sf_dir, "documents").select("doc_id"), 37, 5, "doc_id")
+
+
+@query(
+    """
+    WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang),
+    s AS (SELECT *, sum(n) OVER () AS total, 101 * n // sum(n) OVER () AS base, (101 * n) % sum(n) OVER () AS rest FROM c),
+    q AS (SELECT source, lang, base + (row_number() OVER (ORDER BY rest DESC, n DESC, source, lang) <= 101 - sum(base) OVER ())::BIGINT AS quota FROM s)
+    SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY sha256('8:' || doc_id), doc_id) <= quota AS held_out FROM documents JOIN q USING (source, lang)
+    """
+)
+def stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly 101 documents are held out, each source and language giving its share by largest remainders."""
+    rows = validation.exact_split(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), 101, 8, "doc_id", ["source", "lang"])
+    return rows.select("doc_id", "held_out")
 
 
 @query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::INTEGER AS pos, part AS text FROM (SELECT conv_id, turn, k, CASE k WHEN 0 THEN 'Turn ' || turn || '.' WHEN 1 THEN 'By ' || role || '!' ELSE 'end' END AS part FROM conversations, range(3) r(k))")
