@@ -573,6 +573,9 @@ def test_toxicity(spark, odd, none):
     held = [i for i in truth if got[i].held_out]
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
     assert np.mean([got[i].predicted == truth[i] for i in held]) > 0.93
+    score, toxic = np.array([got[i].score for i in held]), np.array([truth[i] for i in held])
+    bins = np.digitize(score, [0.05, 0.3, 0.7, 0.95])
+    assert sum(abs(score[bins == b].sum() - toxic[bins == b].sum()) for b in set(bins)) / len(held) < 0.05
     model = toxicity.fit(docs, labels)
     rows = toxicity.scored(odd, labels, model)
     assert rows.select("row.*").columns == odd.columns and all(0 <= r.score <= 1 for r in rows.collect())
@@ -581,6 +584,18 @@ def test_toxicity(spark, odd, none):
     assert len(some) == odd.count() and {r.score for r in some} == {0.0}
 
 
+def test_lexica_know_nothing_of_their_own_fold(spark):
+    """A word of one fold's toxic texts alone is in the lexicon of all, and in those of the other folds' texts, but not in its own."""
+    rows = [("zap bad", 1, 0)] * 8 + [("bad", 1, 1)] * 8 + [("bad", 1, 2)] * 8 + [("good", 0, f) for f in range(3)] * 8
+    sample = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int, fold int")
+    totals = Counter((f, t) for _, t, f in rows)
+    entries = toxicity.entry_counts(sample).cache()
+    assert {r.entry: (r.p, r.q) for r in entries.filter("not stem and fold = 0").collect()} == {"zap": (8, 0), "bad": (8, 0), "good": (0, 8)}
+    lexica = {f: toxicity.learned_lexicon(entries, totals, f).words for f in (None, 0, 1, 2)}
+    assert ["zap" in lexica[f] for f in (None, 0, 1, 2)] == [True, False, True, True] and all("bad" in w for w in lexica.values())
+    assert toxicity.learned_lexicon(entries.filter("q > 100"), {}).words == {}
+
+
 def test_isotonic():
     at, value = toxicity.isotonic(np.array([1.0, 2.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
     assert np.interp([1, 2, 3, 4], at, value).tolist() == [0.0, 0.5, 0.5, 1.0]
