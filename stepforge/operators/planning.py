@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heapreplace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,19 +58,24 @@ def quotas(counts: dict[str, int], total: int, of: int) -> dict[str, int]:
 def greedy_cover(tasks: list[tuple[str, list[str], list[str]]], quota: int, seen: set[str]) -> list[str]:
     """quota tasks, each the one that covers most seen scenes not covered yet; then most seen, most unseen, most scenes, first in order.
 
-    tasks holds (name, scenes where it is valid) in order: a bounded plan, a row per task."""
-    left, covered, chosen = list(enumerate(tasks)), set(), []
-    while left and len(chosen) < quota:
-
-        def worth(item: tuple) -> tuple:
-            at, (_, valid, _) = item
-            own = set(valid) & seen
-            return (len(own - covered), len(own), len(set(valid) - seen), len(valid), -at)
-
-        best = max(left, key=worth)
-        left.remove(best)
-        covered |= set(best[1][1]) & seen
-        chosen.append(best[1][0])
+    tasks holds (name, scenes where it is valid) in order: a bounded plan, a row per task. What a task would add only shrinks, so a heap holds what each added when it was last
+    looked at, and only the tasks that come to its top are looked at again; scenes are bits of one number. Fewer tasks than the quota are an error."""
+    if len(tasks) < quota:
+        raise ValueError(f"{quota} tasks asked of {len(tasks)}")
+    bit = {s: 1 << i for i, s in enumerate(sorted(seen))}
+    own = [sum(bit[s] for s in set(valid) if s in bit) for _, valid, _ in tasks]
+    heap = [(-own[at].bit_count(), -own[at].bit_count(), -len(set(valid) - seen), -len(valid), at) for at, (_, valid, _) in enumerate(tasks)]
+    heapify(heap)
+    covered, chosen = 0, []
+    while len(chosen) < quota:
+        gain, *rest, at = heap[0]
+        now = -(own[at] & ~covered).bit_count()
+        if now > gain:
+            heapreplace(heap, (now, *rest, at))
+            continue
+        heappop(heap)
+        covered |= own[at]
+        chosen.append(tasks[at][0])
     return chosen
 
 

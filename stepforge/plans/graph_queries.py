@@ -65,6 +65,27 @@ def containment_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.containment_roots(customers.unionByName(nations), table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("node")))
 
 
+_NEST = """
+    WITH RECURSIVE e AS (
+        SELECT event_id AS child, event_id - 1 AS parent FROM events WHERE event_id % 700 <> 0
+        UNION ALL SELECT event_id, event_id - 40 FROM events WHERE event_id % 700 > 40 AND event_id % 97 = 5
+    ), walk AS (
+        SELECT event_id AS node, event_id AS root, 0::BIGINT AS depth FROM events WHERE event_id % 700 = 0
+        UNION SELECT child, root, depth + 1 FROM walk JOIN e ON parent = node WHERE child % 700 <> 0
+    )
+"""
+
+
+@query(_NEST + "SELECT node, min(root) AS root, min(depth) AS depth FROM walk WHERE node % 700 <> 0 GROUP BY node")
+def deep_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events nested up to 700 deep, some in two others; the nearest roots by doubled pointers."""
+    k = F.col("event_id")
+    events = table(spark, sf_dir, "events").select("event_id")
+    pair = lambda rows, parent: rows.select(k.alias("child"), parent.alias("parent"))
+    edges = pair(events.filter(k % 700 != 0), k - 1).unionByName(pair(events.filter((k % 700 > 40) & (k % 97 == 5)), k - 40))
+    return graph.containment_roots(edges, events.filter(k % 700 == 0).select(k.alias("node")))
+
+
 @query("SELECT p_brand, p_type, p_partkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY (p_size > 25) DESC, p_name LIKE 'red%' DESC, p_partkey) AS place FROM part) WHERE place = 1")
 def best_node_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")

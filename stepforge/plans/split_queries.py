@@ -181,7 +181,21 @@ def family_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(planning.quotas(counts, 16, sum(counts.values())).items()), "lang string, quota long")
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE t AS (
+        SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS k, list_filter(s, lambda x: x < 12) AS own, len(s) AS valid
+        FROM (SELECT p_brand, list(DISTINCT s_nationkey) AS s FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY p_brand)
+    ), g AS (
+        SELECT 0 AS n, []::BIGINT[] AS chosen, []::BIGINT[] AS covered
+        UNION ALL
+        SELECT n + 1, list_append(chosen, -best[5]), list_distinct(covered || (SELECT own FROM t WHERE k = -best[5])) FROM (
+            SELECT n, chosen, covered, max([len(list_filter(own, lambda x: NOT list_contains(covered, x))), len(own), valid - len(own), valid, -k]) AS best
+            FROM g JOIN t ON NOT list_contains(chosen, k) WHERE n < 6 GROUP BY n, chosen, covered)
+    )
+    SELECT (i - 1)::INTEGER AS place, p_brand FROM (SELECT unnest(chosen) AS k, generate_subscripts(chosen, 1) AS i FROM g WHERE n = 6) JOIN t USING (k)
+    """
+)
 def greedy_seen_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = members(spark, sf_dir).groupBy("p_brand").agg(F.sort_array(F.collect_set(F.col("s_nationkey").cast("string"))).alias("scenes")).orderBy("p_brand").collect()  # a row per class
     chosen = planning.greedy_cover([(r["p_brand"], r["scenes"], []) for r in tasks], 6, {str(i) for i in range(12)})

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, IntegralType, MapType, StringType, StructType
 
 from stepforge.session import ready
 from stepforge.sources import lines
@@ -200,16 +201,59 @@ def merged(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right.select(left.columns))
 
 
+def _escaped(text: Column) -> Column:
+    """Characters of a JSON string other than printable ASCII, quotes and backslashes by their escapes, in UTF-16 units."""
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def one(c: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        out = F.when(c.between(" ", "~") & (F.length(c) == 1) & ~c.isin('"', "\\"), c)
+        for plain, escape in short.items():
+            out = out.when(c == plain, F.lit(escape))
+        return out.otherwise(units)
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def _canonical(x: Column, kind: DataType) -> Column | None:
+    """A value as JSON with keys in order of name, and `, ` and `: ` between; None for kinds whose text only Python gives."""
+    null = F.lit("null")
+    if isinstance(kind, StringType):
+        text = F.when(x.rlike(r'[^ !#-\[\]-~]'), _escaped(x)).otherwise(x)
+        return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), null)
+    if isinstance(kind, (IntegralType, BooleanType)):
+        return F.coalesce(x.cast("string"), null)
+    if isinstance(kind, DateType):
+        return F.coalesce(F.concat(F.lit('"'), x.cast("string"), F.lit('"')), null)
+    if isinstance(kind, ArrayType):
+        if _canonical(F.lit(None), kind.elementType) is None:
+            return None
+        inner = F.transform(x, lambda e: _canonical(e, kind.elementType))
+        return F.coalesce(F.concat(F.lit("["), F.array_join(inner, ", "), F.lit("]")), null)
+    if isinstance(kind, StructType):
+        parts = [(f.name, _canonical(x.getField(f.name), f.dataType)) for f in sorted(kind, key=lambda f: f.name)]
+        if any(text is None for _, text in parts) or not all(re.fullmatch(r"[ !#-\[\]-~]*", name) for name, _ in parts):
+            return None
+        named = [F.concat(F.lit(f'"{name}": '), text) for name, text in parts]
+        return F.when(x.isNull(), null).otherwise(F.concat(F.lit("{"), F.concat_ws(", ", *named), F.lit("}")))
+    return None
+
+
 def row_hashes(rows: DataFrame, key: str) -> DataFrame:
-    """key, sha256 of each row as JSON with keys in order of name at every level, `, ` and `: ` between, and ASCII escapes."""
+    """key, sha256 of each row as JSON with keys in order of name at every level, `, ` and `: ` between, and ASCII escapes.
+
+    The text is built from column expressions; tables with fractions, times or maps have it from Python."""
     ready(rows.sparkSession)
 
     @F.pandas_udf("string")
     def canonical(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: hashlib.sha256(json.dumps(json.loads(x), sort_keys=True).encode()).hexdigest())
 
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
-    return rows.select(key, canonical(whole).alias("sha256"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    plain = _canonical(whole, rows.schema)
+    if plain is None:
+        return rows.select(key, canonical(F.to_json(whole, {"ignoreNullFields": "false"})).alias("sha256"))
+    return rows.select(key, F.sha2(plain.cast("binary"), 256).alias("sha256"))
 
 
 def first_document(docs: DataFrame, group: str, order: str, main: str, fallback: str) -> DataFrame:

@@ -236,3 +236,42 @@ def test_reports(spark):
     assert reports.is_run_name("2026-05-19_run") and not reports.is_run_name("run")
     assert one(spark, reports.next_trial(F.array(F.lit("t3"), F.lit("t12"), F.lit("x")), "t")) == 13
     assert one(spark, reports.next_trial(F.array().cast("array<string>"), "t")) == 1
+
+
+def brute_roots(edges, roots):
+    """Breadth first from every child, upwards; the nearest root, the least name of equals."""
+    parents = {}
+    for c, p in edges:
+        parents.setdefault(c, set()).add(p)
+    out = {}
+    for node in parents:
+        level, seen, depth = {node}, {node}, 0
+        while level and not level & roots:
+            level = {p for n in level for p in parents.get(n, ())} - seen
+            seen |= level
+            depth += 1
+        if level & roots:
+            out[node] = (min(level & roots), depth)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_roots_of_random_graphs(spark, seed):
+    """Chains, nodes with several parents, cycles, roots within roots and nodes that lead nowhere."""
+    import random
+
+    rng = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(60)]
+    edges = [(c, p) for i, c in enumerate(names) for p in rng.sample(names[max(0, i - 6) : i + 1] or names, min(i + 1, rng.choice((1, 1, 1, 2)))) if rng.random() < 0.95]
+    edges += [("x", "y"), ("y", "x"), ("z", "x"), ("w", "nowhere"), edges[0]]
+    roots = {names[0], names[7], names[20], "unused"}
+    got = graph.containment_roots(spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame([(r,) for r in roots], "node string")).collect()
+    assert {r.node: (r.root, r.depth) for r in got} == brute_roots(edges, roots) and len(got) == len({r.node for r in got})
+
+
+def test_a_deep_chain_takes_few_rounds(spark):
+    steps = spark.range(1, 1001).select(F.col("id").alias("node"), (F.col("id") - 1).alias("to"))
+    ended, rounds = graph.chains(steps)
+    assert rounds <= 11 and sorted((r.node, r.to, r.steps) for r in ended.collect()) == [(i, 0, i) for i in range(1, 1001)]
+    loop = spark.range(5).select(F.col("id").alias("node"), F.pmod(F.col("id") + 1, F.lit(5)).alias("to"))
+    assert graph.chains(loop)[0].collect() == [] and graph.chains(loop.limit(0))[0].collect() == []
