@@ -33,13 +33,14 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x))
 
 
-def spaced_picks(length: int, picks: int) -> Column:
+def spaced_picks(length: Column | int, picks: int) -> Column:
     """`picks` integer places spread evenly over 0..length."""
     if picks < 2:
         return F.array(F.lit(0))
     return F.transform(F.sequence(F.lit(0), F.lit(picks - 1)), lambda i: F.floor(i * length / F.lit(picks - 1)).cast("int"))
 
 
-def cyclic_subsets(n: int, size: int) -> Column:
-    """For each of n places the subset of `size` places that starts there, wrapping round."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array(*[((i + k) % n).cast("int") for k in range(size)]))
+def cyclic_subsets(members: Column, size: int) -> Column:
+    """For each place of an array the `size` members that start there, wrapping round."""
+    n = F.size(members)
+    return F.transform(members, lambda _, i: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.get(members, (i + k) % n)))

@@ -196,14 +196,24 @@ def fuzzy_class_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_classes(names.select(F.concat(F.substring("class", 1, 3), F.substring("class", 5, 100)).alias("phrase")).distinct(), names)
 
 
-@query("SELECT i::INTEGER AS place, ((i) % 6)::VARCHAR || ',' || ((i + 1) % 6)::VARCHAR || ',' || ((i + 2) % 6)::VARCHAR AS members FROM range(6) t(i)")
+@query(
+    """
+    WITH m AS (SELECT list_sort(list(DISTINCT l_suppkey)) AS s, l_orderkey FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, i::INTEGER AS place, s[i + 1] || ',' || s[(i + 1) % len(s) + 1] || ',' || s[(i + 2) % len(s) + 1] AS members FROM m, range(20) t(i) WHERE i < len(s)
+    """
+)
 def cyclic_model_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.posexplode(cyclic_subsets(6, 3)).alias("place", "m")).select("place", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
+    """The suppliers of each order as models: three at a time, from each of them on, wrapping round."""
+    models = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("m"))
+    found = models.select("l_orderkey", F.posexplode(cyclic_subsets(F.col("m"), 3)).alias("place", "s"))
+    return found.select("l_orderkey", "place", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query("SELECT i::INTEGER AS place, floor(i * 31 / 3.0)::INTEGER AS layer FROM range(4) t(i)")
+@query("SELECT l_orderkey, i::INTEGER AS place, floor(i * n / 3.0)::INTEGER AS layer FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), range(4) t(i)")
 def linspace_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.posexplode(spaced_picks(31, 4)).alias("place", "layer"))
+    """Four places spread evenly over the lines of each order, its layers."""
+    layers = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return layers.select("l_orderkey", F.posexplode(spaced_picks(F.col("n"), 4)).alias("place", "layer"))
 
 
 @query(
@@ -228,12 +238,19 @@ def command_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", parsed["verb"].alias("verb"), F.array_join(parsed["args"], "|").alias("args"))
 
 
-@query("SELECT * FROM (VALUES ('dining room', 'dining_room', 1), ('the kitchen', 'kitchen', 1), ('living room', 'home_office', 1), ('Bedroom', 'kids_bedroom', 1), ('bathroom', 'none', 0)) t(phrase, class, tier)")
+@query(
+    """
+    WITH p AS (SELECT c_custkey, ['dining room', 'the kitchen', 'living room', 'Bedroom', 'bathroom'][c_custkey % 5 + 1] AS phrase FROM customer)
+    SELECT c_custkey, p.phrase, class, tier FROM p JOIN (VALUES ('dining room', 'dining_room', 1), ('the kitchen', 'kitchen', 1), ('living room', 'home_office', 1), ('Bedroom', 'kids_bedroom', 1), ('bathroom', 'none', 0)) t(phrase, class, tier) USING (phrase)
+    """
+)
 def room_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Room names take the first of their classes that a scene has."""
-    classes = spark.createDataFrame([("dining_room",), ("kitchen",), ("home_office",), ("kids_bedroom",)], ["class"])
-    phrases = spark.createDataFrame([("dining room",), ("the kitchen",), ("living room",), ("Bedroom",), ("bathroom",)], ["phrase"])
-    return match_classes(phrases, classes, fuzzy=False).na.fill({"class": "none", "tier": 0})
+    """Rooms that customers name take the first of their classes that the nations' scenes have."""
+    pick = lambda key, names: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
+    classes = table(spark, sf_dir, "nation").select(pick("n_nationkey", ("dining_room", "kitchen", "home_office", "kids_bedroom")).alias("class")).distinct()
+    said = table(spark, sf_dir, "customer").select("c_custkey", pick("c_custkey", ("dining room", "the kitchen", "living room", "Bedroom", "bathroom")).alias("phrase"))
+    found = match_classes(said.select("phrase").distinct(), classes, fuzzy=False).na.fill({"class": "none", "tier": 0})
+    return said.join(found, "phrase").select("c_custkey", "phrase", "class", "tier")
 
 
 @query(

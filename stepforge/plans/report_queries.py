@@ -44,7 +44,8 @@ def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", line.alias("line"))
 
 
-@query("SELECT i AS pos, k::INTEGER AS dim, round(CASE WHEN k % 2 = 0 THEN sin(i / pow(10000.0, (k // 2) * 2 / 8.0)) ELSE cos(i / pow(10000.0, (k // 2) * 2 / 8.0)) END, 6) AS value FROM range(16) t(i), range(8) u(k)")
+@query("SELECT event_id, k::INTEGER AS dim, round(CASE WHEN k % 2 = 0 THEN sin((event_id % 512) / pow(10000.0, (k // 2) * 2 / 8.0)) ELSE cos((event_id % 512) / pow(10000.0, (k // 2) * 2 / 8.0)) END, 6) + 0.0 AS value FROM events, range(8) u(k)")
 def positional_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(16).select(F.col("id").alias("pos"), F.posexplode(reports.positional(F.col("id"), 8)).alias("dim", "value"))
-    return rows.select("pos", "dim", F.round("value", 6).alias("value"))
+    """Events encoded by their place in windows of 512."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.posexplode(reports.positional(F.col("event_id") % 512, 8)).alias("dim", "value"))
+    return rows.select("event_id", "dim", (F.round("value", 6) + 0.0).alias("value"))

@@ -95,19 +95,26 @@ def trajectory_rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH u AS (SELECT user_id, count(*) AS n, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id)
-    SELECT 'u' || user_id AS episode_id, 'no_task' AS error FROM u WHERE user_id % 10 = 3
-    UNION ALL SELECT 'u' || user_id, 'not_done' FROM u WHERE last <> 'purchase'
-    UNION ALL SELECT 'u' || user_id, 'no_success' FROM u WHERE last <> 'purchase' AND user_id % 2 = 0
+    WITH h AS (SELECT user_id AS u, event_id AS e, event_type AS a FROM events WHERE user_id % 12 <> 5),
+    u AS (
+        SELECT u, arg_max(a, e) AS last, bool_or(a <> 'view' OR u % 9 <> 4) AS acts, max(CASE WHEN a = 'purchase' THEN 1.0 ELSE 0.0 END) AS best FROM h GROUP BY u
+    ), every AS (SELECT DISTINCT user_id AS u FROM events)
+    SELECT 'u' || u AS episode_id, 'no_task' AS error FROM every WHERE u % 10 = 3
+    UNION ALL SELECT 'u' || u, 'no_trial' FROM every WHERE u % 14 = 6
+    UNION ALL SELECT 'u' || u, 'empty_history' FROM every WHERE u % 12 = 5
+    UNION ALL SELECT 'u' || u, 'no_action' FROM u WHERE NOT acts
+    UNION ALL SELECT 'u' || u, 'not_done' FROM u WHERE last <> 'purchase'
+    UNION ALL SELECT 'u' || u, 'no_success' FROM u WHERE last <> 'purchase' AND u % 2 = 0
     """
 )
 def episode_rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as episodes of what they did."""
-    done = F.col("event_type") == "purchase"
-    step = F.struct("event_id", F.lit("o").alias("observation"), F.col("event_type").alias("action"), done.cast("double").alias("reward"), done.alias("dones"), F.lit("o").alias("next_observation"))
-    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(step).alias("last"))  # the last step decides
-    meta = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("episode_id"), (F.col("user_id") % 2 == 0).alias("expert_success"))
-    rows = own.select(F.when(F.col("user_id") % 10 != 3, "look").alias("task"), F.lit("t").alias("trial_name"), F.array("last").alias("history"), meta.alias("_meta"))
+    """Users as episodes of all that they did, in order; some did nothing, of some no action is told."""
+    u, done = F.col("user_id"), F.col("event_type") == "purchase"
+    told = F.when((u % 9 != 4) | (F.col("event_type") != "view"), F.col("event_type"))
+    step = F.struct("event_id", F.lit("o").alias("observation"), told.alias("action"), done.cast("double").alias("reward"), done.alias("dones"), F.lit("o").alias("next_observation"))
+    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.when(u % 12 != 5, step))).alias("history"))
+    meta = F.struct(F.concat(F.lit("u"), u.cast("string")).alias("episode_id"), (u % 2 == 0).alias("expert_success"))
+    rows = own.select(F.when(u % 10 != 3, "look").alias("task"), F.when(u % 14 != 6, "t").alias("trial_name"), "history", meta.alias("_meta"))
     return validation.episode_errors(rows)
 
 
@@ -170,12 +177,20 @@ def prototype_state_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.prototype_texts(steps.groupBy("conv_id").agg(F.array_sort(F.collect_list("h")).alias("history")), "conv_id")
 
 
-@query("SELECT event_id, event_id % 5 < 2 AND event_id % 3 <> 0 AS valid FROM events")
+@query(
+    """
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'turnon' WHEN 1 THEN 'open' WHEN 2 THEN 'puton' ELSE 'placein' END AS family, event_id % 5 < 3 AND NOT (event_id % 5 = 2 OR event_id % 3 = 0) AND event_id % 7 <> 6 AS valid FROM events
+    """
+)
 def semantic_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Goals that hold and show at the end, and do not show at the start."""
-    k, args = F.col("event_id"), F.array(F.lit("lamp"))
-    end = F.when(k % 5 < 3, "(lamp, is, on), (a, close, lamp)").otherwise("(lamp, is, off)")
-    start = F.when((k % 5 == 2) | (k % 3 == 0), "(lamp, is, on)").otherwise("(lamp, is, off)")
-    family = F.lit("turnon")
+    """Tasks of four families about objects of their own, whose goals hold and show at the end and do not show at the start."""
+    k = F.col("event_id")
+    family = F.element_at(F.array(*map(F.lit, ("turnon", "open", "puton", "placein"))), (k % 4 + 1).cast("int"))
+    one, other = F.concat(F.lit("a"), F.col("user_id").cast("string")), F.concat(F.lit("b"), (F.col("user_id") % 7).cast("string"))
+    args = F.when(family.isin("turnon", "open"), F.array(one)).otherwise(F.array(one, other))
+    holds = F.concat(F.lit("("), one, F.when(family == "turnon", ", is, on)").when(family == "open", ", is, open)").when(family == "puton", F.concat(F.lit(", on, "), other, F.lit(")"))).otherwise(F.concat(F.lit(", inside, "), other, F.lit(")"))))
+    # of some the goal holds for another object alone
+    end = F.when(k % 7 == 6, F.concat(F.lit("(z"), F.substring(holds, 2, 100))).when(k % 5 < 3, F.concat(holds, F.lit(", (room, close, door)"))).otherwise("(room, is, dark)")
+    start = F.when((k % 5 == 2) | (k % 3 == 0), holds).otherwise("(room, is, dark)")
     ok = validation.semantically_valid(validation.goal_satisfied(end, family, args), start, end, family, args)
-    return table(spark, sf_dir, "events").select("event_id", ok.alias("valid"))
+    return table(spark, sf_dir, "events").select("event_id", family.alias("family"), ok.alias("valid"))
