@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import re
 import types
-from dataclasses import MISSING, dataclass, field, fields
+from dataclasses import MISSING, dataclass, fields
 from pathlib import Path
 from typing import Any, Union, get_args, get_origin, get_type_hints
 
+# How run folders begin.
 _DATED = re.compile(r"^\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}")
 
 
@@ -37,8 +38,8 @@ class Curricula:
     datasets: tuple[str, ...] = ()
     name: str = ""
     output_dir: str | None = None
-    retrieval_k: int | None = None
-    prototype_size: int = field(default=16)
+    retrieval_k: int = 3
+    prototype_size: int = 15
 
     def __post_init__(self) -> None:
         for stage in (*self.train, *self.test):
@@ -47,7 +48,7 @@ class Curricula:
             for n in (stage.num_train_samples, stage.num_eval_samples):
                 if n is not None and n < 0:
                     raise ValueError(f"a negative number of samples: {n}")
-        if self.prototype_size < 1 or (self.retrieval_k is not None and self.retrieval_k < 1):
+        if self.prototype_size < 1 or self.retrieval_k < 1:
             raise ValueError("prototype_size and retrieval_k must be positive")
 
 

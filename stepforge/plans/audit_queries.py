@@ -169,7 +169,7 @@ def html_tuple_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(states).cast("long").alias("n_states"), F.get(states, F.lit(0)).alias("first_state"))
 
 
-#: Passages of fewer than seven words at most.
+#: Passages of fewer than seven words that meet a text at a time.
 SHORT_PASSAGES = 1_000
 
 
@@ -177,12 +177,12 @@ SHORT_PASSAGES = 1_000
 def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage: they meet on the passage's first word runs, then the texts are compared.
 
-    Passages of fewer than seven words have no run of five whole words; they are few, and looked for in every text."""
+    Passages of fewer than seven words have no run of five whole words; they are looked for in every text, a block of them at a time."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).filter("passage is not null")
     inner = F.split("passage", " ")
-    short = items.filter(F.size(inner) < 7).limit(SHORT_PASSAGES + 1).collect()
-    if len(short) > SHORT_PASSAGES:
-        raise ValueError(f"more than {SHORT_PASSAGES} passages of fewer than seven words")
+    short = items.filter(F.size(inner) < 7)
+    blocks = max(1, -(-short.count() // SHORT_PASSAGES))
+    short = short.groupBy(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("item_id", "passage")).alias("of"))
     items = items.filter(F.size(inner) >= 7).withColumn("anchor", F.array_join(F.slice(inner, 2, 5), " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.split("text", " ")
@@ -193,7 +193,7 @@ def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = items.select(F.xxhash64("anchor").alias("anchor"), "item_id")
     pairs = anchors.join(F.broadcast(wanted) if items.count() <= 10_000 else wanted, "anchor").select("doc_id", "item_id").distinct()
     hits = pairs.join(docs, "doc_id").join(items.select("item_id", "passage"), "item_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    if short:
-        held = [F.when(F.contains("text", F.lit(r["passage"])), F.lit(r["item_id"])) for r in short]
-        hits = hits.union(docs.select(F.explode(F.array_compact(F.array(*held))).alias("item_id"), "doc_id"))
+    every = docs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(short, "block")
+    held = F.explode(F.filter("of", lambda p: F.contains("text", p["passage"])))
+    hits = hits.union(every.select("doc_id", held.alias("p")).select("p.item_id", "doc_id"))
     return hits.groupBy("item_id").agg(F.count("*").alias("n_docs"))
