@@ -66,27 +66,16 @@ def has_state(nodes: DataFrame, name: str, state: str) -> DataFrame:
 def chains(steps: DataFrame) -> tuple[DataFrame, int]:
     """node, to, steps: for steps (node, to), one for each node, the first node on its way that has no step of its own, and how many rounds it took.
 
-    Pointers are doubled: a round joins each pointer to the pointer of its end, so ways of length d take log2(d) rounds. Nodes whose pointer has not ended
-    when it is longer than there are nodes run in a cycle, or into one, and have no row."""
-    open_ = cut(steps.select("node", "to", F.lit(1).cast("long").alias("steps")))
-    ended, rounds = None, 0
-    left = most = open_.count()
-    while left:
-        on = open_.select(F.col("node").alias("to"), F.col("to").alias("then"), F.col("steps").alias("more"))
-        both = cut(open_.join(on, "to", "left"))
-        done = both.filter("then is null").select("node", "to", "steps")
-        if ended is not None:  # a pointer may meet one that ended in an earlier round
-            known = ended.select(F.col("node").alias("to"), F.col("to").alias("end"), F.col("steps").alias("more"))
-            done = done.join(known, "to", "left").select("node", F.coalesce("end", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-        ended = cut(done if ended is None else ended.unionByName(done))
-        open_ = cut(both.filter("then is not null").select("node", F.col("then").alias("to"), (F.col("steps") + F.col("more")).alias("steps")))
+    Pointers are doubled: a round joins each pointer to the pointer of its end, so ways of length d take log2(d) rounds and one that finds nothing open. Nodes whose
+    pointer is still open when it is longer than there are nodes run in a cycle, or into one, and have no row."""
+    now, rounds, left = steps.select("node", "to", F.lit(1).cast("long").alias("steps"), F.lit(False).alias("open")), 0, 1
+    most = None
+    while left and (most is None or 1 << (rounds - 1) <= most):
+        on = now.select(F.col("node").alias("to"), F.col("to").alias("then"), F.col("steps").alias("more"))
+        now = cut(now.join(on, "to", "left").select("node", F.coalesce("then", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("then").isNotNull().alias("open")))
+        most, left = now.agg(F.count("*"), F.count_if("open")).first()
         rounds += 1
-        left = open_.count()
-        if 1 << rounds > most:
-            break
-    if ended is None:
-        ended = steps.select("node", "to", F.lit(1).cast("long").alias("steps"))
-    return ended, rounds
+    return now.filter("not open").drop("open"), rounds
 
 
 def containment_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -94,27 +83,25 @@ def containment_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     Nodes with one parent are jumped over by pointer doubling, in rounds that grow with the logarithm of their depth. What is left, nodes with several
     parents, is relaxed over the jumps, a round for each of them on the longest way; cycles end by themselves."""
-    inside = edges.select("child", "parent").distinct()
-    tops = cut(roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth")).distinct())
-    below = inside.join(tops.select(F.col("node").alias("child")), "child", "left_anti")  # a root is its own, whatever it lies in
-    count = below.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
-    count = cut(count)
-    jumps, _ = chains(count.filter("n = 1").select(F.col("child").alias("node"), F.col("parent").alias("to")))
-    jumps = cut(jumps)
-    several = below.join(count.filter("n > 1").select("child"), "child", "left_semi")
-    over = jumps.select(F.col("node").alias("parent"), F.col("to").alias("end"), "steps")
-    ways = cut(several.join(over, "parent", "left").select("child", F.coalesce("end", "parent").alias("to"), (1 + F.coalesce("steps", F.lit(0))).alias("steps")))
-    best = F.min(F.struct("depth", "root")).alias("best")
-    known, seen = tops, None
-    while not ways.isEmpty():
-        reached = ways.join(known, F.col("to") == F.col("node")).groupBy(F.col("child").alias("node")).agg(F.min(F.struct((F.col("depth") + F.col("steps")).alias("depth"), "root")).alias("best"))
-        known = cut(tops.unionByName(reached.select("node", "best.root", "best.depth")).groupBy("node").agg(best).select("node", "best.root", "best.depth"))
-        now = known.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("node", "root", "depth"), F.lit(1 << 40)))).first()
-        if now == seen:
-            break
-        seen = now
+    tops = roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth")).distinct()
+    below = edges.select("child", "parent").distinct().join(tops.select(F.col("node").alias("child")), "child", "left_anti")  # a root is its own, whatever it lies in
+    count = cut(below.groupBy("child").agg(F.collect_set("parent").alias("parents")))
+    one, several = F.size("parents") == 1, count.filter(F.size("parents") > 1).select("child", F.explode("parents").alias("parent"))
+    jumps, _ = chains(count.filter(one).select(F.col("child").alias("node"), F.col("parents")[0].alias("to")))
+    known = tops
+    if not several.isEmpty():
+        over = jumps.select(F.col("node").alias("parent"), F.col("to").alias("end"), "steps")
+        ways = cut(several.join(over, "parent", "left").select("child", F.coalesce("end", "parent").alias("to"), (1 + F.coalesce("steps", F.lit(0))).alias("steps")))
+        best, seen = F.min(F.struct("depth", "root")).alias("best"), None
+        while True:
+            reached = ways.join(known, F.col("to") == F.col("node")).select(F.col("child").alias("node"), "root", (F.col("depth") + F.col("steps")).alias("depth"))
+            known = cut(tops.unionByName(reached).groupBy("node").agg(best).select("node", "best.root", "best.depth"))
+            now = known.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("node", "root", "depth"), F.lit(1 << 40)))).first()
+            if now == seen:
+                break
+            seen = now
     by_jump = jumps.join(known.select(F.col("node").alias("to"), "root", "depth"), "to").select("node", "root", (F.col("depth") + F.col("steps")).alias("depth"))
-    return known.join(inside.select(F.col("child").alias("node")).distinct(), "node", "left_semi").unionByName(by_jump)
+    return known.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_semi").unionByName(by_jump)
 
 
 def best_nodes(nodes: DataFrame, by: list[str], order: list) -> DataFrame:

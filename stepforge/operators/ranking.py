@@ -43,19 +43,20 @@ def classed(rows: DataFrame, by: list[str], key: str, seed: int, cuts: Callable[
     counts = hashed.groupBy(*by, F.substring("_hash", 1, DIGITS).alias("_bin")).agg(F.count("*").alias("_n"))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     cutting = F.array(*[c.cast("long") for c in cuts(F.col("_total"))])
-    asks = cut(totals.select(*by, "_total", F.posexplode(cutting).alias("_class", "_want")).withColumn("_prefix", F.lit("")))
+    asks = totals.select(*by, "_total", F.posexplode(cutting).alias("_class", "_want")).withColumn("_prefix", F.lit(""))
     edges, digits = None, DIGITS
     while True:
         # the bin in which the wanted number is reached; what lies before it is counted off
         upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by, F.substring("_bin", 1, digits - DIGITS)).orderBy("_bin")))
         met = asks.alias("a").join(upto.alias("u"), _same("a", "u", by) & F.col("u._bin").startswith(F.col("a._prefix")) & (F.col("a._want") > F.col("u._upto") - F.col("u._n")) & (F.col("a._want") <= F.col("u._upto")))
-        met = cut(met.select(*[F.col(f"a.{c}").alias(c) for c in by], "a._class", "a._total", (F.col("a._want") - F.col("u._upto") + F.col("u._n")).alias("_want"), F.col("u._bin").alias("_prefix"), "u._n"))
-        open_ = (F.col("_n") > BIN_ROWS) & (F.col("_want") < F.col("_n")) & F.lit(digits + DIGITS <= 64)
-        done = met.filter(~open_).drop("_n")
-        edges = done if edges is None else edges.unionByName(done)
-        asks = met.filter(open_).drop("_n")
-        if asks.isEmpty():
+        met = met.select(*[F.col(f"a.{c}").alias(c) for c in by], "a._class", "a._total", (F.col("a._want") - F.col("u._upto") + F.col("u._n")).alias("_want"), F.col("u._bin").alias("_prefix"), "u._n")
+        if digits + DIGITS > 64 or (counts.agg(F.max("_n")).first()[0] or 0) <= BIN_ROWS:
+            edges = met.drop("_n") if edges is None else edges.unionByName(met.drop("_n"))
             break
+        met = cut(met)
+        open_ = (F.col("_n") > BIN_ROWS) & (F.col("_want") < F.col("_n"))
+        edges = met.filter(~open_).drop("_n") if edges is None else edges.unionByName(met.filter(~open_).drop("_n"))
+        asks = met.filter(open_).drop("_n")
         # only bins in which a cut falls are counted finer
         inside = hashed.alias("h").join(asks.select(*by, "_prefix").distinct().alias("a"), _same("h", "a", by) & (F.substring("h._hash", 1, digits) == F.col("a._prefix")))
         digits += DIGITS
@@ -67,7 +68,7 @@ def classed(rows: DataFrame, by: list[str], key: str, seed: int, cuts: Callable[
     full = every.alias("t").join(edges.alias("e"), _same("t", "e", by) & (F.col("t._class") == F.col("e._class")), "left")
     prefix = F.coalesce("e._prefix", F.when(F.col("t._asked") > 0, "~").otherwise(""))
     full = full.select(*[F.col(f"t.{c}").alias(c) for c in by], "t._total", F.col("t._class").alias("_class"), prefix.alias("_prefix"), F.coalesce("e._want", F.lit(0)).alias("_want"))
-    cuts_of = cut(full.groupBy(*by, "_total").agg(at))
+    cuts_of = full.groupBy(*by, "_total").agg(at)
     both = hashed.alias("h").join(cuts_of.alias("c"), _same("h", "c", by)).select("h.*", "c._cuts", "c._total")
     below = lambda c: F.substring("_hash", 1, F.length(c["_prefix"])) < c["_prefix"]
     on_edge = lambda c: (c["_want"] > 0) & F.col("_hash").startswith(c["_prefix"])

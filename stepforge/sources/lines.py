@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from stepforge.functions.text import sentences, triple_texts
 
 _SPLIT = ["source", "path", "block"]
-# The keys that step rows have.
+# The keys that step rows have, and how episodes of rows without an id are named.
 STEP_KEYS = ("instruction", "observation", "action", "next_observation")
+LOOSE = "legacy-row-"
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -108,7 +109,7 @@ def _named_by_place(loose: DataFrame, span: int = 1 << 16) -> DataFrame:
     counts = spans.groupBy(*keys).agg(F.count("*").alias("n"))
     before = counts.select(*keys, (F.sum("n").over(Window.orderBy(*keys)) - F.col("n")).alias("before"))  # a row for `span` lines
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("line")) - 1
-    name = F.concat(F.lit("legacy-row-"), (F.col("before") + F.col("place")).cast("string"))
+    name = F.concat(F.lit(LOOSE), (F.col("before") + F.col("place")).cast("string"))
     return spans.withColumn("place", place).join(before, keys).select("source", "path", "line", name.alias("trajectory_id"), "step")
 
 
