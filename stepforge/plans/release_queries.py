@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import zipfile
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.functions import text as tx
-from stepforge.operators import planning, releases, store, validation
+from stepforge.operators import planning, releases, splits, stages, store, validation
 from stepforge.plans.registry import query, table
 from stepforge.plans.stream_queries import _folder
 from stepforge.sources import archives, jsonl
@@ -312,3 +313,35 @@ def unseen_task_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def held_out_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents shuffled, then sorted by source: one source in the order of the shuffle."""
     return planning.held_out_order(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 4).select("doc_id", "place")
+
+
+@query(
+    """
+    WITH s AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('11:' || o_orderkey), o_orderkey) <= greatest(1, round_even(count(*) OVER (PARTITION BY o_orderpriority) * 0.2, 0)::BIGINT) AS held, o_orderpriority, o_custkey % 4 AS c FROM orders)
+    SELECT CASE WHEN held THEN 'monitor' ELSE 'train' END AS part, 'c' || c AS cluster, o_orderpriority AS task, count(*) AS n FROM s GROUP BY 1, 2, 3
+    """
+)
+def resumed_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A release in three stages; the first run stops after the second one, the next goes on from there."""
+    folder = _folder(spark)
+
+    def counted(fails: bool):
+        def make(_: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
+            if fails:
+                raise InterruptedError
+            return t["views"].groupBy("part", "cluster", F.col("o_orderpriority").alias("task")).agg(F.count("*").alias("n"))
+
+        return make
+
+    def plan(fails: bool) -> list[stages.Stage]:
+        return [
+            stages.Stage("orders", lambda s, _: table(s, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")),
+            stages.Stage("views", lambda _, t: splits.holdout(t["orders"], ["o_orderpriority"], "o_orderkey", 0.2, 11).select("*", F.when(F.col("held_out"), "monitor").otherwise("train").alias("part"), F.concat(F.lit("c"), (F.col("o_custkey") % 4).cast("string")).alias("cluster")), ("orders",)),
+            stages.Stage("counts", counted(fails), ("views",)),
+        ]
+
+    with contextlib.suppress(InterruptedError):
+        stages.build(spark, folder, plan(True), sf_dir)
+    tables, made = stages.build(spark, folder, plan(False), sf_dir)
+    assert made == ["counts"]
+    return tables["counts"]
