@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ STEMS, NEAR = (4, 5, 6, 7), 4
 ROUNDS, DEPTH, RATE, BINS, LEAF = 60, 4, 0.2, 32, 8
 #: Units that a task remembers, and UTF-8 bytes of a slice of texts.
 REMEMBERED, SLICE = 200_000, 2 << 20
+#: The same of texts whose entries are listed one by one.
+SMALL = 1 << 18
 
 # Second-person words of English, French, German and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer ti tus tuyo usted ustedes vosotros".split())
@@ -233,7 +236,7 @@ class Toxicity:
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each word and word beginning of a text once."""
-    for part in text_slices(batches):
+    for part in text_slices(batches, limit=SMALL):
         found: list[tuple[str, bool, int]] = []
         for text, toxic, fold in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
             words = {w for u in (text or "").split() if (w := core(u))}
@@ -261,17 +264,12 @@ def learned_lexicon(counts: DataFrame, totals: dict[tuple[int, int], int], witho
     return Lexicon({r.entry: r.w for r in top if not r.stem}, {r.entry: r.w for r in top if r.stem})
 
 
-def _sample_features(lexica: list[Lexicon]):
-    """Features of each text by the lexicon that was learned without its fold."""
-
+def _sample_features(lexicon: Lexicon):
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Units(x) for x in lexica]
+        known = Units(lexicon)
         for part in text_slices(batches, limit=SLICE):
-            for f in range(len(lexica)):
-                own = part.filter(pa.compute.equal(part.column("fold"), f))
-                if own.num_rows:
-                    x = features(known[f], own.column("text"))
-                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("doc_id", "toxic", "fold")), pa.array(list(x), type=pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
+            x = features(known, part.column("text"))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "toxic", "fold")), pa.array(list(x), type=pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
 
     return take
 
@@ -291,7 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     totals = {(r.fold, r.toxic): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     entries = kept(entry_counts(sample), "toxic-entries")
     lexicon = learned_lexicon(entries, totals)
-    rows = sample.mapInArrow(_sample_features([learned_lexicon(entries, totals, f) for f in range(FOLDS)]), "doc_id long, toxic int, fold int, x array<double>").collect()
+    # a task holds the units of one lexicon
+    parts = [sample.filter(F.col("fold") == f).mapInArrow(_sample_features(learned_lexicon(entries, totals, f)), "doc_id long, toxic int, fold int, x array<double>") for f in range(FOLDS)]
+    rows = reduce(DataFrame.union, parts).collect()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if len({r.toxic for r in rows}) < 2:
         return Toxicity(lexicon, None, np.zeros(1), np.zeros(1), prior)
