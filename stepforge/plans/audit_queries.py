@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,29 +172,37 @@ def html_tuple_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Passages of fewer than seven words that meet a text at a time.
 SHORT_PASSAGES = 1_000
+#: Longer passages that are broadcast; where there are more, only numbers of documents and passages meet on runs.
+PASSAGES = 10_000
 
 
 @query("SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def verbatim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage: they meet on the passage's first word runs, then the texts are compared.
 
-    Passages of fewer than seven words have no run of five whole words; they are looked for in every text, a block of them at a time."""
+    Up to PASSAGES passages come to the texts, which are then read once and not shuffled. Passages of fewer than seven words have no run of
+    five whole words; they are looked for in every text, a block of them at a time."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).filter("passage is not null")
     inner = F.split("passage", " ")
     short = items.filter(F.size(inner) < 7)
-    blocks = max(1, -(-short.count() // SHORT_PASSAGES))
-    short = short.groupBy(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("item_id", "passage")).alias("of"))
-    items = items.filter(F.size(inner) >= 7).withColumn("anchor", F.array_join(F.slice(inner, 2, 5), " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.split("text", " ")
     # runs of five words are told apart by their hash; the texts decide
-    run = lambda w, k: F.xxhash64(F.array_join(F.slice(w, k, F.lit(5)), " "))
-    runs = F.when(F.size(words) >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda k: run(words, k))))
-    anchors = docs.select("doc_id", F.explode(runs).alias("anchor"))
-    wanted = items.select(F.xxhash64("anchor").alias("anchor"), "item_id")
-    pairs = anchors.join(F.broadcast(wanted) if items.count() <= 10_000 else wanted, "anchor").select("doc_id", "item_id").distinct()
-    hits = pairs.join(docs, "doc_id").join(items.select("item_id", "passage"), "item_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    every = docs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(short, "block")
-    held = F.explode(F.filter("of", lambda p: F.contains("text", p["passage"])))
-    hits = hits.union(every.select("doc_id", held.alias("p")).select("p.item_id", "doc_id"))
-    return hits.groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    items = items.filter(F.size(inner) >= 7).withColumn("anchor", F.xxhash64(F.array_join(F.slice(inner, 2, 5), " ")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null")
+    words = docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text", F.split("text", " ").alias("words"))
+    # an expression of array functions would split the text again for every run
+    runs = NGram(n=5, inputCol="words", outputCol="runs").transform(words).select("doc", "doc_id", "text", F.explode("runs").alias("run"))
+    anchors = runs.withColumn("anchor", F.xxhash64("run"))
+    held = F.contains("text", F.col("passage"))
+    if items.count() <= PASSAGES:
+        same = items.groupBy("item_id", "passage", "anchor").agg(F.count("*").alias("times"))
+        hits = anchors.join(F.broadcast(same), "anchor").filter(held).select("doc", "item_id", F.xxhash64("passage").alias("of"), "times").distinct().select("item_id", "times")
+    else:
+        pairs = anchors.select("doc_id", "anchor").join(items.select("anchor", "item_id"), "anchor").select("doc_id", "item_id").distinct()
+        hits = pairs.join(docs, "doc_id").join(items.select("item_id", "passage"), "item_id").filter(held).select("item_id", F.lit(1).cast("long").alias("times"))
+    if n := short.count():
+        blocks = -(-n // SHORT_PASSAGES)
+        short = short.groupBy(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("item_id", "passage")).alias("of"))
+        every = docs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(short), "block")
+        inside = F.explode(F.filter("of", lambda p: F.contains("text", p["passage"])))
+        hits = hits.union(every.select(inside.alias("p")).select("p.item_id", F.lit(1).cast("long")))
+    return hits.groupBy("item_id").agg(F.sum("times").alias("n_docs"))
