@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringStartsWith
 
@@ -67,3 +68,38 @@ def test_written_archives(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["0.zip", "1.zip", "2.zip"]
     back = archives.members(spark, str(tmp_path / "out"), payload=True).select("member", F.col("payload").cast("string").alias("payload"))
     assert sorted(map(tuple, back.collect())) == sorted((r.member, r.payload) for r in rows.collect())
+
+
+def test_a_range_reads_its_own_entries(tmp_path, monkeypatch):
+    """What is wrong with an entry of the directory is met by the task of its range alone, since no other reads it."""
+    packed(tmp_path, "a", [(f"m{i}", str(i)) for i in range(40)])
+    parts = archives.Reader(str(tmp_path), 10, True).partitions()
+    assert [(p.start, p.stop) for p in parts] == [(0, 10), (10, 20), (20, 30), (30, 40)]
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    raw[raw.rindex(b"PK\x01\x02")] = 0
+    (tmp_path / "a.zip").write_bytes(raw)
+    reader = archives.Reader(str(tmp_path), 10, True)
+    assert [x for p in parts[:3] for b in reader.read(p) for x in b.column("payload").to_pylist()] == [str(i).encode() for i in range(30)]
+    with pytest.raises(zipfile.BadZipFile):
+        list(reader.read(parts[3]))
+
+
+@pytest.mark.parametrize("form", ["plain", "comment", "prefix", "long"])
+def test_forms_of_directories(tmp_path, monkeypatch, form):
+    """Comments at the end, bytes before the archive, long records, directories passed in small pieces, and more ranges than partitions."""
+    for name, n in (("DIRECTORY_BYTES", 100), ("BLOCK", 7), ("PARTITIONS", 6)):
+        monkeypatch.setattr(archives, name, n)
+    if form == "long":
+        monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 10)
+    want = [(f"{'d' * (i % 60)}/é{i}", f"{i}é".encode() * (i % 9)) for i in range(50)]
+    (tmp_path / "a.zip").write_bytes(b"before" * 9 if form == "prefix" else b"")
+    with zipfile.ZipFile(tmp_path / "a.zip", "a", zipfile.ZIP_DEFLATED) as z:
+        z.comment = b"x" * 300 if form == "comment" else b""
+        for member, content in want:
+            z.writestr(member, content)
+    reader = archives.Reader(str(tmp_path), 3, True)
+    parts = reader.partitions()
+    assert [p.start for p in parts] == list(range(0, 50, 9))
+    batches = [b for p in parts for b in reader.read(p)]
+    assert [r for b in batches for r in zip(b.column("member").to_pylist(), b.column("payload").to_pylist(), strict=True)] == want
+    assert [i for b in batches for i in b.column("place").to_pylist()] == list(range(50))
