@@ -18,6 +18,8 @@ _SPLIT = ["source", "path", "block"]
 # The keys that step rows have, and how episodes of rows without an id are named.
 STEP_KEYS = ("instruction", "observation", "action", "next_observation")
 LOOSE = "legacy-row-"
+#: Rows of a part of a text file, more or less, as ranges are sampled.
+PART = 200_000
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -29,31 +31,41 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _before(counts: DataFrame, n: str) -> Column:
-    """How much of n the splits before have, within a file."""
-    return F.sum(n).over(Window.partitionBy("source", "path").orderBy("block")) - F.col(n)
+def write_parts(rows: DataFrame, path: str, file: str, order: list[str], value: Column) -> None:
+    """Text files of the values of rows in order, in a folder `<file>=…` for each value of a column: parts of at most PART rows, more or less, that are one file in the order of their names.
 
+    No file is in one task; values are made after rows have found their places, so that they are not shuffled."""
+    parts = -(-rows.count() // PART) + rows.select(file).distinct().count()
+    placed = rows.repartitionByRange(parts, file, *order).sortWithinPartitions(file, *order)
+    placed.select(file, value.alias("value")).write.partitionBy(file).text(path)
 
-def located(rows: DataFrame, wanted: Column) -> DataFrame:
+
+def _before(n: str, through: bool) -> Column:
+    """How much of n the splits before have, within a file, or within a source whose files are parts of one."""
+    window = Window.partitionBy("source").orderBy("path", "block") if through else Window.partitionBy("source", "path").orderBy("block")
+    return F.sum(n).over(window) - F.col(n)
+
+
+def located(rows: DataFrame, wanted: Column, through: bool = False) -> DataFrame:
     """source, path, line (from 1), text of the wanted ones of `lines`, found in one pass: only they, and a count for each split, are shuffled.
 
-    The wanted lines of a split are gathered in a row; use numbered where these may be most of the lines."""
+    With through, lines are numbered through the files of a source, in the order of their paths. The wanted lines of a split are gathered in a row; use numbered where these may be most of the lines."""
     own = F.collect_list(F.when(wanted, F.struct("at", "text")))
     splits = rows.groupBy(*_SPLIT).agg(F.count("*").alias("n"), F.min("at").alias("first"), own.alias("own"))
-    placed = splits.withColumn("before", _before(splits, "n")).select("source", "path", "first", "before", F.explode("own").alias("of"))
+    placed = splits.withColumn("before", _before("n", through)).select("source", "path", "first", "before", F.explode("own").alias("of"))
     return placed.select("source", "path", (F.col("of.at") - F.col("first") + F.col("before") + 1).alias("line"), "of.text")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """source, path, line (from 1), text of all of `lines`; the lines are not shuffled where the counts of the splits are few enough to be broadcast."""
+def numbered(rows: DataFrame, through: bool = False) -> DataFrame:
+    """source, path, line (from 1), text of all of `lines`, numbered as in `located`. The lines are not shuffled: what is broadcast has a row for each split, as the driver's list of files has."""
     splits = rows.groupBy(*_SPLIT).agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    splits = splits.select(*_SPLIT, "first", _before(splits, "n").alias("before"))
-    return rows.join(splits, _SPLIT).select("source", "path", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "text")
+    splits = splits.select(*_SPLIT, "first", _before("n", through).alias("before"))
+    return rows.join(F.broadcast(splits), _SPLIT).select("source", "path", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "text")
 
 
-def variants(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def variants(spark: SparkSession, paths: str | list[str], through: bool = False) -> DataFrame:
     """source, path, line, text, row (a variant) of the lines that are not blank; a line that is no JSON has a null row."""
-    return numbered(lines(spark, paths)).filter(F.trim("text") != "").withColumn("row", F.try_parse_json("text"))
+    return numbered(lines(spark, paths), through).filter(F.trim("text") != "").withColumn("row", F.try_parse_json("text"))
 
 
 def has(row: Column, key: str) -> Column:
@@ -75,13 +87,13 @@ def _or_fail(value: Column, fine: Column, what: str) -> Column:
     return F.when(fine, value).otherwise(F.raise_error(F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(f": {what}"))))
 
 
-def evaluation_rows(spark: SparkSession, paths: str | list[str]) -> tuple[str, DataFrame]:
+def evaluation_rows(spark: SparkSession, paths: str | list[str], through: bool = False) -> tuple[str, DataFrame]:
     """Kind and episodes of line-JSON files; the first row, by the order of paths and then of lines, tells the kind.
 
     episodes: source, path, line, task, trial_name, history (observation, action, next_observation of each step) of every row. steps: trajectory_id, source, path, line (of its first
     row) and its steps, in order of step_index (0 where there is none), then of the rows. Rows without trajectory_id are episodes of their own, named
     legacy-row-<how many came before>. No rows, a first row of no kind, lines that are no JSON, and rows without what the kind needs are errors."""
-    rows = variants(spark, paths)
+    rows = variants(spark, paths, through)
     first = rows.orderBy("source", "path", "line").select(has(F.col("row"), "history").alias("episodes"), (kind_of_row(F.col("row")) == "steps").alias("steps")).first()
     if first is None:
         raise ValueError(f"no rows in {paths}")
@@ -113,7 +125,7 @@ def _named_by_place(loose: DataFrame, span: int = 1 << 16) -> DataFrame:
     return spans.withColumn("place", place).join(before, keys).select("source", "path", "line", name.alias("trajectory_id"), "step")
 
 
-def prototype_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def prototype_rows(spark: SparkSession, paths: str | list[str], through: bool = False) -> DataFrame:
     """source, path, line, pos, text: the state texts that prototypes are made of, each row by its own kind.
 
     Steps give the triples of both observations (or the observation, if it holds none; nothing where it is null or empty), episodes the sentences of every step's, others every string in
@@ -127,4 +139,4 @@ def prototype_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     of_other = F.transform(strings, lambda v: F.variant_get(v, "$", "string"))
     kind = kind_of_row(row)
     texts = F.when(kind == "steps", of_step).when(kind == "episodes", of_episode).otherwise(of_other)
-    return variants(spark, paths).select("source", "path", "line", F.posexplode(texts).alias("pos", "text"))
+    return variants(spark, paths, through).select("source", "path", "line", F.posexplode(texts).alias("pos", "text"))

@@ -87,3 +87,20 @@ def test_prototype_rows(spark, tmp_path):
     ]
     got = [(r.line, r.pos, r.text) for r in lines.prototype_rows(spark, written(tmp_path, rows)).collect()]
     assert sorted(got) == [(1, 0, "(a, is, b)"), (1, 1, "(c)"), (1, 2, "plain"), (3, 0, "One."), (3, 1, "Two!"), (3, 2, "Three"), (5, 0, "last"), (5, 1, "first")]
+
+
+def test_parts_of_files(spark, tmp_path, small_splits, monkeypatch):
+    """Files are written in parts, none of them by one task, and their lines are numbered through the parts."""
+    monkeypatch.setattr(lines, "PART", 50)
+    path, n = str(tmp_path / "out"), 600
+    rows = spark.range(n).withColumn("file", (F.col("id") % 2).cast("int")).repartition(5, F.xxhash64("id"))
+    lines.write_parts(rows, path, "file", ["id"], F.when(F.col("id") % 50 == 3, "").otherwise(F.concat(F.lit('{"id": '), "id", F.lit("}"))))
+    assert all(len(list((tmp_path / "out" / f"file={i}").glob("*.txt"))) > 3 for i in range(2))
+    assert max(len(p.read_text().split("\n")) for p in (tmp_path / "out").rglob("*.txt")) < n // 4
+    folders = [f"{path}/file={i}" for i in range(2)]
+    want = {(k % 2, k // 2 + 1): "" if k % 50 == 3 else f'{{"id": {k}}}' for k in range(n)}
+    found = lines.numbered(lines.lines(spark, folders), through=True)
+    assert {(r.source, r.line): r.text for r in found.collect()} == want
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    bad = jsonl.malformed(spark, folders, "id long", blank_is_error=True, through=True)
+    assert sorted(r.line for r in bad.collect()) == sorted(k for (_, k), x in want.items() if not x)
