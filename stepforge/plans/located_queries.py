@@ -47,14 +47,13 @@ def _files(spark: SparkSession, sf_dir: str) -> str:
     faults = [(e % 59 == 2, r'"instruction":"[^"]*"', '"instruction":5'), (e % 61 == 3, r'"_meta":\{.*\}\}$', '"_meta":"x"}'), (e % 79 == 7, r'"task_args":\["lamp"', '"task_args":[1'), (e % 83 == 8, r'"step_index":(\d)', '"step_index":"$1"')]
     for when, pattern, fault in faults:
         text = F.regexp_replace(text, F.when(when, pattern).otherwise(r"$^"), F.lit(fault))
-    rows = table(spark, sf_dir, "events").select("event_id", role.alias("role"), text.alias("value"))
-    rows.repartition(2, "role").sortWithinPartitions("role", "event_id").select("role", "value").write.partitionBy("role").text(path)
+    lines.write_parts(table(spark, sf_dir, "events").select("event_id", role.alias("role")), path, "role", ["event_id"], text)
     return path
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _files(spark, sf_dir)
-    rows = lines.variants(spark, [f"{path}/role=train", f"{path}/role=test"])
+    rows = lines.variants(spark, [f"{path}/role=train", f"{path}/role=test"], through=True)
     rows = rows.withColumn("role", F.when(F.col("source") == 0, "train").otherwise("test")).withColumn("split", F.when(F.col("source") == 0, "seen_seen").otherwise("unseen_seen"))
     return located.checked(rows, spark.createDataFrame([(f"s{i}",) for i in range(3)], "scene string"))
 
