@@ -8,13 +8,14 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cuts and joins batches between rows so that the texts of a slice have at most limit bytes, or one row; and at most `rows` rows."""
+    release()
     held: list[pa.RecordBatch] = []
     held_bytes = 0
     for batch in batches:
@@ -102,6 +104,29 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
     settle()
 
 
+_remembered: dict[Hashable, tuple[int | None, object]] = {}
+
+
+def _task() -> int | None:
+    return context.taskAttemptId() if (context := TaskContext.get()) else None
+
+
+def remembered[V](key: Hashable, make: Callable[[], V]) -> V:
+    """What a Python worker keeps from task to task as long as each task asks for it."""
+    value = _remembered[key][1] if key in _remembered else make()
+    _remembered[key] = _task(), value
+    return value
+
+
+def release() -> None:
+    """Forgets what the worker's current task has not asked for: that was for tasks of other operators."""
+    task = _task()
+    if task is not None and (old := [k for k, (asked, _) in _remembered.items() if asked != task]):
+        for k in old:
+            del _remembered[k]
+        settle()
+
+
 def settle() -> None:
     """Gives back the memory that allocators hold on to after a task, since workers live on."""
     pa.default_memory_pool().release_unused()

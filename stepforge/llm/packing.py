@@ -53,6 +53,7 @@ def slice_ids(path: str, texts: pa.Array, remembered: int = REMEMBERED) -> Itera
 def _pieces(path: str, capacity: int, end_id: int, remembered: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        loaded(path, words=True, most=remembered)  # asked for before the task's slices, it is kept from the task before
         for rows in text_slices(batches, limit=SLICE):
             out = []
             for doc, ids in zip(rows.column("doc_id").to_pylist(), slice_ids(path, rows.column("text"), remembered), strict=True):

@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from stepforge.llm.common import remembered
+
 #: Distinct units that a Python worker remembers, with their pre-tokens.
 REMEMBERED = 700_000
 #: UTF-8 bytes of a slice of texts: the more, the more often a unit is met within it.
@@ -217,15 +219,10 @@ class Vocabulary:
         self.values.add(values, lengths)
 
 
-_loaded: dict[tuple[str, bool, bool, int], Vocabulary] = {}
-
-
 def loaded(path: str, words: bool, counts: bool = False, most: int = REMEMBERED) -> Vocabulary:
-    """One per Python worker."""
+    """One per Python worker, until it has a task that does not ask for it."""
     key = (path, words, counts, most)
-    if key not in _loaded:
-        _loaded[key] = Vocabulary(*key)
-    return _loaded[key]
+    return remembered(key, lambda: Vocabulary(*key))
 
 
 def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
