@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import kept, table
+from stepforge.llm.common import SLICE_BYTES, kept, table
 from stepforge.llm.language import identified
 from stepforge.llm.near_dups import first_of_each
 from stepforge.llm.packing import packed_documents
@@ -50,7 +50,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text is one piece, the end id; repeated rows are packed each; an empty table gives no rows."""
     # workers of the stages before hold memory of their own
-    return packed_documents(docs, tokenizer("word_bpe_49k.json"), remembered=300_000)
+    return packed_documents(docs, tokenizer("word_bpe_49k.json"), remembered=100_000, limit=SLICE_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -50,11 +50,11 @@ def slice_ids(path: str, texts: pa.Array, remembered: int = REMEMBERED) -> Itera
         yield flat[spread(begins[own], lengths[own])]
 
 
-def _pieces(path: str, capacity: int, end_id: int, remembered: int):
+def _pieces(path: str, capacity: int, end_id: int, remembered: int, limit: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         loaded(path, words=True, most=remembered)  # asked for before the task's slices, it is kept from the task before
-        for rows in text_slices(batches, limit=SLICE):
+        for rows in text_slices(batches, limit=limit):
             out = []
             for doc, ids in zip(rows.column("doc_id").to_pylist(), slice_ids(path, rows.column("text"), remembered), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -69,13 +69,13 @@ def _pieces(path: str, capacity: int, end_id: int, remembered: int):
     return cut
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED, limit: int = SLICE) -> DataFrame:
     """A row per piece: ids of the text by the word tokenizer at path, then end_id, cut after every capacity ids.
 
     part and nth number the pieces: nth is the number of pieces of the same length before it in its part. A null
     or empty text is the end id alone; repeated rows have pieces each, a null doc_id stays null."""
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(path, capacity, end_id, remembered), f"{PIECE}, part int, nth long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(path, capacity, end_id, remembered, limit), f"{PIECE}, part int, nth long")
 
 
 def best_fit(counts: Content, capacity: int) -> list[tuple[Content, int]]:
@@ -296,12 +296,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(_seated(_seats(plan)), PACKED)
 
 
-def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
+def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED, limit: int = SLICE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece of every row of docs.
 
     A null or empty text is a piece of the end id alone; only documents over capacity are cut. Repeated
     rows are packed each, a null doc_id stays null, other columns are not read, an empty table gives an
     empty result. Of pieces of one length, which goes where depends on how the table is split into tasks. A Python worker remembers that many units
-    of the texts; fewer take less memory and more time.
+    of the texts, and takes limit bytes of them at a time; fewer take less memory and more time.
     """
-    return pack(kept(pieces(docs, path, capacity, end_id, remembered), "pieces"), capacity)
+    return pack(kept(pieces(docs, path, capacity, end_id, remembered, limit), "pieces"), capacity)
