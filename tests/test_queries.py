@@ -50,3 +50,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["located_overlaps", "located_row_errors", "located_statistics", "located_trajectory_errors"])
+def test_located_files_are_written_in_parts(spark, sf_dir, duck, monkeypatch, name):
+    """No task writes a whole train or test file, however many rows it has, and lines are numbered through the parts."""
+    from stepforge.plans import located_queries
+    from stepforge.sources import lines
+
+    paths, write = [], lines.write_parts
+    monkeypatch.setattr(lines, "PART", 100)
+    monkeypatch.setattr(lines, "write_parts", lambda rows, path, *rest: paths.append(path) or write(rows, path, *rest))
+    got = located_queries.__dict__[name](spark, sf_dir).toPandas()
+    assert rows_of(got) == rows_of(duck.sql(oracle_sql()[name]).df())
+    sizes = [r["count"] for path in paths for r in lines.lines(spark, [f"{path}/role=train", f"{path}/role=test"]).groupBy("path").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 250 and len(sizes) >= 8
