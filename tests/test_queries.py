@@ -65,3 +65,11 @@ def test_located_files_are_written_in_parts(spark, sf_dir, duck, monkeypatch, na
     assert rows_of(got) == rows_of(duck.sql(oracle_sql()[name]).df())
     sizes = [r["count"] for path in paths for r in lines.lines(spark, [f"{path}/role=train", f"{path}/role=test"]).groupBy("path").count().collect()]
     assert sum(sizes) == 1000 and max(sizes) <= 250 and len(sizes) >= 8
+
+
+def test_located_rows_do_not_meet_by_scene(spark, sf_dir):
+    """The few scenes come to the rows: no plan deals the rows out by scene, with which task sizes would follow a scene's rows."""
+    from stepforge.plans import located_queries
+
+    plan = located_queries._checked(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [scene#" in plan and "hashpartitioning(scene#" not in plan
